@@ -1,0 +1,6 @@
+"""Registered queries of the listing operators."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict = {}
