@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, mixing, simhash, token_counts, token_files, toxicity
+from . import decontaminate, html_text, language, mixing, pii, simhash, token_counts, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,12 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with personal data replaced by format-preserving pseudonyms."""
+    docs = table(spark, sf_dir, "documents")
+    return pii.pseudonymize(docs, key="a key from a secret store goes here").select("doc_id", "text", "pii")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Systematic sampling of all documents to source weights 5, 2, 1 and 150 % of all words."""
     return mixing.mixture_copies(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -59,6 +65,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_language": op3_language,
+    "op4_pii": op4_pii,
     "op5_mixing": op5_mixing,
     "op6_token_files": op6_token_files,
     "op7_token_counts": op7_token_counts,
