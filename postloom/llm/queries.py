@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, mixing, pii, simhash, token_counts, token_files, toxicity
+from . import decontaminate, html_text, language, mixing, mtree, pii, simhash, token_counts, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_mtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 vectors of largest inner product for every fiftieth vector."""
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     return language.predict_languages(table(spark, sf_dir, "documents"))
@@ -64,6 +69,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_mtree": op2_mtree,
     "op3_language": op3_language,
     "op4_pii": op4_pii,
     "op5_mixing": op5_mixing,
@@ -74,4 +80,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_mtree": mtree.ORACLE, "op5_mixing": mixing.ORACLE}
