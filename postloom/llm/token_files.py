@@ -20,16 +20,25 @@ from pyspark.sql import functions as F
 from ..storage import new_path, stored
 
 #: Words and pieces that a worker remembers, each at most.
-_KEPT = 400_000
+_KEPT = 500_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it is printable Latin-1, else the next from U+0100."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class WordEncoder:
-    """Ids of whole texts from a byte-level BPE of the tokenizers library, which is asked once for each word.
+    """Ids of whole texts from a byte-level BPE of the tokenizers library, which is asked once for each piece.
 
     The library's splitter never joins what lies before a space that follows a non-space with what lies after
-    it, so a text's ids are those of its first word and of each further word with its space. Words are
-    remembered, new ones are encoded by the library. A text where a lone space follows white space, or that
-    holds a special string, is encoded by the library whole, as is any text if the splitter is another.
+    it, so a text's ids are those of its first word and of each further word with its space. Words (500,000 at
+    most) are remembered; a new one is cut into the splitter's pieces, and the library's model merges those that are new
+    too. Words with other characters than plain letters, digits, signs and white space are encoded by the library as
+    they are; so is, whole, a text where a lone space follows white space or that holds a special string, and every text
+    if the tokenizer is of another make.
     """
 
     def __init__(self, path: str, dtype: np.dtype):
@@ -44,45 +53,39 @@ class WordEncoder:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         pre = config["pre_tokenizer"] or {}
         self.by_word = bool(pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not config["normalizer"] and not config["post_processor"])
-        #: ASCII words as the library cuts them; one with a character outside the pattern goes to the library as it is.
-        self.pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of each word; plain words are first cut, so that the library meets a piece once."""
-        cut = {}
-        for w in words:
-            got = self.pieces.findall(w) if w.isascii() else [w]
-            cut[w] = got if sum(map(len, got)) == len(w) else [w]
-        new = list({p for ps in cut.values() for p in ps if p not in self.inner})
-        fresh = dict(zip(new, self._bytes(new), strict=True))
-        out = {w: b"".join([self.inner[p] if p in self.inner else fresh[p] for p in ps]) for w, ps in cut.items()}
-        if len(self.inner) < _KEPT:
-            self.inner |= fresh
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole, split, new = [], {}, set()
-        for i, t in enumerate(texts):
-            lone = ("  " in t or t[-1:] == " ") and re.search(r"\s (?: |\Z)", t)
-            if not self.by_word or lone or (self.special and self.special.search(t)):
-                whole.append(i)
-            else:
-                first, *rest = t.split(" ")
-                split[i] = first, rest
-                new.update([w for w in rest if w not in self.known])
-        learnt = self._learn([" " + w for w in new])
-        learnt = {w[1:]: ids for w, ids in learnt.items()}
-        if len(self.known) < _KEPT:
-            self.known |= learnt
-        known = self.known
-        starts = self._learn(list({first for first, _ in split.values()}))
-        out = dict(zip(whole, self._bytes([texts[i] for i in whole]), strict=True))
-        for i, (first, rest) in split.items():
-            out[i] = starts[first] + b"".join([known[w] if w in known else learnt[w] for w in rest])
-        return [out[i] for i in range(len(texts))]
+        self.pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
+        self.letters = _byte_letters()
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        if (got := self.inner.get(piece)) is None:
+            merged = self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+            got = np.array([t.id for t in merged], self.dtype).tobytes()
+            if len(self.inner) < _KEPT:
+                self.inner[piece] = got
+        return got
+
+    def _word(self, word: str) -> bytes:
+        pieces = self.pieces.findall(word)
+        if sum(map(len, pieces)) != len(word):
+            return self._whole(word)
+        return b"".join(map(self._piece, pieces))
+
+    def encode(self, text: str) -> bytes:
+        lone = ("  " in text or text[-1:] == " ") and re.search(r"\s (?: |\Z)", text)
+        if not self.by_word or lone or (self.special and self.special.search(text)):
+            return self._whole(text)
+        first, *rest = text.split(" ")
+        got = list(map(self.known.get, rest))
+        if None in got:
+            for i, ids in enumerate(got):
+                if ids is None:
+                    got[i] = ids = self._word(" " + rest[i])
+                    if len(self.known) < _KEPT:
+                        self.known[rest[i]] = ids
+        return b"".join([self._word(first), *got])
 
 
 @functools.cache
@@ -106,14 +109,14 @@ def _put(path: str, blobs: Iterator[bytes]) -> None:
     store.move(own, at)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int | None, vocab: int, id_col: str = "doc_id", text_col: str = "text", batch: int = 256) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int | None, vocab: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode whole texts and write them under path in ascending id order; return the manifest.
 
     Each shard is ``tokens-NNNNN.bin``, little-endian unsigned ids one after another (16 bits if vocab is at most
     65,536, else 32), and ``tokens-NNNNN.idx``, little-endian 64-bit words: the number of documents n, their ids,
     then n + 1 offsets into the shard counted in token ids. The manifest (shard, n_docs, n_tokens, base_docs,
     base_tokens) holds the prefix sums that turn them into offsets in the whole. Shards are ranges of the id, each
-    written by one task in bounded batches; path must be in a folder that all executors share.
+    written by one task as it encodes; path must be in a folder that all executors share.
 
     Null texts are empty; rows with a null id come first, as id -2**63; repeated ids are kept in the order of their
     texts; an empty table gives an empty manifest. Other columns are not read.
@@ -130,12 +133,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
 
         def ids() -> Iterator[bytes]:
             for b in batches:
-                for at in range(0, b.num_rows, batch):
-                    part = b.slice(at, batch)
-                    names.extend(part.column(0).to_pylist())
-                    for got in encoder(tokenizer, dtype.str).encode(part.column(1).to_pylist()):
-                        offsets.append(offsets[-1] + (len(got) + len(end)) // dtype.itemsize)
-                        yield got + end
+                names.extend(b.column(0).to_pylist())
+                for text in b.column(1):
+                    got = encoder(tokenizer, dtype.str).encode(text.as_py()) + end
+                    offsets.append(offsets[-1] + len(got) // dtype.itemsize)
+                    yield got
 
         first = next(flow := ids(), None)
         if first is None:
