@@ -1,6 +1,319 @@
-"""Registered queries of the listing operators."""
+"""Registered queries of the listing operators, with DuckDB SQL for each that SQL can express."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import dates, text, urls
+from ..operators import incremental, resolve, select, trust, userstate
+from .bind import TODAY, postings, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+_NORM_SQL = r"""
+raw AS (SELECT o_orderkey, c_name, o_orderpriority, o_orderkey % 5 AS board, o_orderdate::DATE AS d,
+    regexp_replace(lower(c_name), '[^a-z0-9]+', '', 'g') AS ck, regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '', 'g') AS tk
+  FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_NORM_SQL},
+e AS (SELECT a.o_orderkey AS x, b.o_orderkey AS y FROM raw a JOIN raw b ON a.ck = b.ck AND a.tk = b.tk AND a.board <> b.board AND abs(date_diff('day', a.d, b.d)) <= 7),
+r AS (SELECT o_orderkey AS v, o_orderkey AS c FROM raw UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.v),
+m AS (SELECT v, min(c) AS entity FROM r GROUP BY v)
+SELECT entity, min(d) AS deadline_at, count(DISTINCT d) > 1 AS deadline_conflict, count(DISTINCT board) AS source_count, count(*) - 1 AS duplicate_count
+FROM m JOIN raw ON o_orderkey = v GROUP BY entity"""
+)
+def resolve_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of five boards to entities: keys, links, components, merged fields."""
+    norm = resolve.normalize_postings(postings(spark, sf_dir), now=F.lit(f"{TODAY} 00:00:00").cast("timestamp"), compose=False)
+    out = resolve.resolve_entities(norm, now=F.lit(f"{TODAY} 00:00:00").cast("timestamp"))
+    return out.select("entity", "deadline_at", "deadline_conflict", "source_count", "duplicate_count")
+
+
+@query(
+    f"""WITH {_NORM_SQL} SELECT o_orderkey::VARCHAR AS id, ck || ':' || tk AS dedupe_key, d AS deadline_at,
+  CASE WHEN d < o.day THEN 'expired' WHEN d = o.day THEN 'today' WHEN d <= o.day + 3 THEN 'closing-soon' ELSE 'upcoming' END AS deadline_status,
+  date_diff('day', o.day, d) AS days_remaining, true AS needs_review
+FROM raw, (SELECT DATE '{TODAY}' AS day) o"""
+)
+def normalize_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw postings in one shape."""
+    raw = postings(spark, sf_dir).withColumn("last_seen_at", F.lit(f"{TODAY} 03:00:00").cast("timestamp"))
+    norm = resolve.normalize_postings(raw, now=F.lit(f"{TODAY} 03:00:00").cast("timestamp"), compose=False)
+    return norm.select("id", "dedupe_key", "deadline_at", "deadline_status", F.col("days_remaining").cast("long").alias("days_remaining"), "needs_review")
+
+
+@query(
+    r"""SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS clean, substr(regexp_replace(lower(text), '[\s\p{P}\p{S}]+', '', 'g'), 1, 500) AS fingerprint FROM documents"""
+)
+def clean_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned text and fingerprint of documents."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", text.clean_text(F.col("text"), compose=False).alias("clean"), text.fingerprint(F.col("text")).alias("fingerprint"))
+
+
+@query(
+    """SELECT page_id, lower(regexp_extract(url, '^(\\w+)://', 1)) || '://' || lower(regexp_extract(url, '^\\w+://([^/?#]+)', 1)) || regexp_extract(url, '^\\w+://[^/?#]+([^?#]*)', 1)
+  || CASE WHEN url LIKE '%?%' THEN '?' || list_aggregate(list_sort(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&')), 'string_agg', '&') ELSE '' END AS canonical,
+  starts_with(url, 'https://') AND (regexp_extract(url, '^\\w+://([^/?#]+)', 1) LIKE '%.example.com') AS under_host FROM pages""".replace("\\\\", "\\")
+)
+def canonical_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical URLs of pages."""
+    p = table(spark, sf_dir, "pages")
+    secure = F.lower(urls.part(F.col("url"), "PROTOCOL")) == "https"
+    return p.select("page_id", urls.canonical_url(F.col("url")).alias("canonical"), (secure & urls.host_matches(F.col("url"), "example.com")).alias("under_host"))
+
+
+@query(
+    f"""SELECT o_orderkey AS ord, o_totalprice AS score FROM orders JOIN customer ON o_custkey = c_custkey
+WHERE c_mktsegment = 'BUILDING' AND o_orderdate::DATE >= DATE '{TODAY}' AND contains(lower(o_orderpriority || ' ' || c_name), 'urgent')
+ORDER BY o_totalprice DESC, o_orderkey LIMIT 24 OFFSET 24"""
+)
+def filtered_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of a filtered list."""
+    df = postings(spark, sf_dir).withColumns({"search_text": text.search_text(F.col("title"), F.col("company")), "department": F.col("category"), "deadline_at": F.to_date("deadline"), "published_at": F.to_date("deadline"), "first_seen_at": F.col("last_seen_at"), "deadline": F.lit("")})
+    found = select.filter_postings(df, {"query": "Urgent", "department": "BUILDING", "availability": "진행 중"}, today=F.lit(TODAY).cast("date"))
+    page, _ = select.stable_page(found, [F.desc("score"), F.asc("ord")], 24, 24)
+    return page.select("ord", "score")
+
+
+@query("""SELECT o_orderkey AS ord, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS position FROM orders""")
+def numbered_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every posting with its place in the list."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), "o_totalprice")
+    return select.numbered(o, [F.desc("o_totalprice"), F.asc("ord")]).select("ord", "position")
+
+
+@query("""SELECT o_orderpriority AS tier, count(*) AS n FROM orders GROUP BY 1""")
+def tier_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows for each tier."""
+    return select.histogram(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("tier")))
+
+
+@query("""SELECT DISTINCT lang AS value FROM documents WHERE lang IS NOT NULL""")
+def facet_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct values of a facet."""
+    return select.facet_values(table(spark, sf_dir, "documents"), "lang")
+
+
+_DISCOVER = """WITH d AS (SELECT event_id, ts, coalesce(event_type = 'signup', false) AS ap, coalesce(event_type = 'view', false) AS se, ts > TIMESTAMP '2024-01-15' AS late FROM events),
+f AS (SELECT *, NOT ap AND NOT se AS unseen, NOT ap AND NOT se AND late AS new FROM d)"""
+
+
+@query(f"""{_DISCOVER} SELECT event_id AS ord FROM f WHERE new""")
+def discover_new(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that are new to a user."""
+    return _discover(spark, sf_dir)[0].select("ord")
+
+
+@query(f"""{_DISCOVER} SELECT count(*) FILTER (new) AS new_count, count(*) FILTER (unseen) AS unseen_count, count(*) AS all_count, count(*) FILTER (ap) AS applied_count FROM f""")
+def discovery_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all discovery modes."""
+    return _discover(spark, sf_dir)[1]
+
+
+def _discover(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = table(spark, sf_dir, "events")
+    df = e.select(F.col("event_id").alias("ord"), F.col("event_id").cast("string").alias("id"), F.col("ts").alias("first_seen_at"))
+    of = lambda kind: e.where(F.col("event_type") == kind).select(F.col("event_id").cast("string").alias("id"))
+    return select.discover(df, "new", F.lit("2024-01-15").cast("timestamp"), of("view"), of("signup"))
+
+
+@query(
+    """WITH b AS (SELECT p_partkey AS ord, p_brand AS host, CASE WHEN p_size <= 25 THEN 0 ELSE 1 END AS g, p_retailprice AS s FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY g, host ORDER BY s DESC, ord) AS turn, first_value(s) OVER (PARTITION BY g, host ORDER BY s DESC, ord) AS best, first_value(ord) OVER (PARTITION BY g, host ORDER BY s DESC, ord) AS tie FROM b),
+n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn, best DESC, tie) - 1 AS k FROM r)
+SELECT ord, CASE WHEN g = 0 THEN k // 2 * 3 + k % 2 ELSE k * 3 + 2 END::BIGINT AS slot FROM n"""
+)
+def fair_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in turns of their brands, two of one group and one of the other."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.col("p_brand").alias("host"), F.when(F.col("p_size") <= 25, 0).otherwise(1).alias("g"), F.col("p_retailprice").alias("score"))
+    return select.fair_interleave(p, "g", "host", "score").select("ord", F.col("slot").cast("long").alias("slot"))
+
+
+@query("""SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) <= 20""")
+def newest_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 newest events of each user."""
+    e = table(spark, sf_dir, "events")
+    return select.cap_per_key(e, ["user_id"], "ts", 20, tie="event_id").select("user_id", "event_id")
+
+
+@query("""SELECT user_id, event_type, min(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2""")
+def unique_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each key at its first position, with its last values."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    return select.unique_by(e, ["user_id", "event_type"], "event_id", values="last")
+
+
+_STATUS = f"""WITH p AS (SELECT l_suppkey AS source_id, count(*) AS n, max(l_shipdate) AS last FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1),
+s AS (SELECT s_suppkey AS source_id, coalesce(n, 0) AS count, last AS last_success_at, CASE WHEN s_acctbal < 0 THEN 'error' ELSE 'success' END AS run, s_nationkey % 2 = 0 AS fresh FROM supplier LEFT JOIN p ON source_id = s_suppkey),
+t AS (SELECT *, count > 0 AND run = 'error' AS fb, coalesce(epoch(TIMESTAMP '{TODAY}') - epoch(last_success_at) > 86400, false) OR run = 'error' OR (count > 0 AND last_success_at IS NULL) AS stale FROM s),
+u AS (SELECT *, CASE WHEN fb THEN 'fallback-cache' WHEN fresh AND run = 'success' THEN 'live' WHEN count > 0 OR last_success_at IS NOT NULL THEN 'cache' ELSE 'none' END AS data_origin FROM t),
+v AS (SELECT *, CASE WHEN fb THEN 'fallback' WHEN stale THEN 'stale' WHEN data_origin = 'live' THEN 'fresh' WHEN data_origin = 'cache' THEN 'cached' ELSE 'unavailable' END AS freshness, count > 0 AND data_origin <> 'live' AS from_cache FROM u)"""
+
+
+def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").select(F.col("l_suppkey").alias("source_entry_id"), "l_shipdate")
+    last = rows.groupBy(F.col("source_entry_id").alias("source_id")).agg(F.max("l_shipdate").alias("last_success_at"))
+    s = table(spark, sf_dir, "supplier")
+    runs = s.select(F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("name"), F.when(F.col("s_acctbal") < 0, "error").otherwise("success").alias("status"), (F.col("s_nationkey") % 2 == 0).alias("fresh"), F.lit(False).alias("external")).join(last, "source_id", "left").withColumn("last_attempt_at", F.col("last_success_at"))
+    return trust.source_status(runs, rows, now=F.lit(TODAY).cast("timestamp"))
+
+
+@query(f"""{_STATUS} SELECT source_id, count, CASE WHEN run = 'success' THEN 'auto' WHEN count > 0 THEN 'stale' ELSE 'error' END AS status, stale, fb AS is_fallback, data_origin, freshness FROM v""")
+def source_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as sources, the last shipment as last success (A3)."""
+    return _status(spark, sf_dir).select("source_id", "count", "status", "stale", "is_fallback", "data_origin", "freshness")
+
+
+@query(
+    f"""{_STATUS}, l AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem),
+a AS (SELECT l_orderkey AS entity, bool_or(freshness = 'fresh') AS f, bool_or(fb) AS b, bool_or(stale) AS st, bool_or(from_cache) AS c FROM l JOIN v ON l_suppkey = source_id GROUP BY 1)
+SELECT entity, CASE WHEN f THEN CASE WHEN b OR st OR c THEN 'mixed' ELSE 'fresh' END WHEN b THEN 'fallback' WHEN st THEN 'stale' WHEN c THEN 'cached' ELSE 'unknown' END AS trust_state FROM a"""
+)
+def posting_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trust of each order from its suppliers' states."""
+    links = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("entity"), F.col("l_suppkey").alias("source_entry_id"))
+    return trust.posting_trust(links, _status(spark, sf_dir)).select("entity", "trust_state")
+
+
+@query(
+    f"""{_STATUS}, n AS (SELECT count(*) AS merged, count(*) FILTER (o_orderstatus <> 'P') AS visible FROM orders),
+g AS (SELECT count(*) AS sources, count(*) FILTER (freshness = 'fresh') AS fresh, count(*) FILTER (fb) AS fallback, count(*) FILTER (stale) AS stale, count(*) FILTER (run = 'error') AS failed FROM v)
+SELECT sources, fresh, fallback, stale, failed, merged, visible, CASE WHEN fallback > 0 OR failed > 0 THEN 'partial' ELSE 'other' END AS trust_state FROM g, n"""
+)
+def snapshot_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row about the whole snapshot (A5)."""
+    o = table(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "P").alias("needs_review"), F.lit("health").alias("category"))
+    out = trust.snapshot_rollup(_status(spark, sf_dir), o, raw_count=F.lit(0))
+    return out.select("sources", "fresh", "fallback", "stale", "failed", "merged", "visible", "trust_state")
+
+
+@query("""SELECT user_id AS source, event_type AS id, min(ts) AS first_seen_at, max(ts) AS last_seen_at FROM events GROUP BY 1, 2""")
+def seen_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First and last sight over two runs."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("source"), F.col("event_type").alias("id"), F.col("ts").alias("seen_at"))
+    cut = F.lit("2024-01-15").cast("timestamp")
+    before = incremental.seen_state(e.where(F.col("seen_at") < cut))
+    return incremental.seen_state(e.where(F.col("seen_at") >= cut), before)
+
+
+@query(
+    """WITH h AS (SELECT o_custkey AS id, o_orderpriority AS q, o_orderkey, o_totalprice FROM orders WHERE o_orderpriority NOT LIKE '5%' AND o_orderdate >= TIMESTAMP '1995-01-01'),
+f AS (SELECT id, arg_max(o_totalprice, o_orderkey) AS price, list_aggregate(list_sort(list(DISTINCT q)), 'string_agg', ',') AS keywords FROM h GROUP BY id),
+p AS (SELECT o_custkey AS id, arg_max(o_totalprice, o_orderkey) AS price, list_sort(list(DISTINCT o_orderpriority)) AS ks FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01' GROUP BY 1)
+SELECT * FROM f UNION ALL SELECT id, price, list_aggregate(ks, 'string_agg', ',') FROM p WHERE list_contains(ks, '5-LOW') AND id NOT IN (SELECT id FROM f)"""
+)
+def merge_query_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of five queries, one of which failed, over the rows of the run before."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("query_label"), F.col("o_orderkey").alias("query_ord"), F.col("o_totalprice").alias("price"), "o_orderdate")
+    cut = F.lit("1995-01-01").cast("timestamp")
+    runs = o.select("query_label").distinct().withColumn("ok", ~F.col("query_label").startswith("5"))
+    all_ok = runs.withColumn("ok", F.lit(True))
+    before = incremental.merge_query_results(o.where(F.col("o_orderdate") < cut).drop("o_orderdate"), all_ok)
+    out = incremental.merge_query_results(o.where(F.col("o_orderdate") >= cut).drop("o_orderdate"), runs, before)
+    return out.select("id", "price", F.array_join("search_keywords", ",").alias("keywords"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey % 3 ORDER BY l_linenumber DESC, l_partkey * 1000 + l_quantity DESC) = 1""")
+def merge_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last row of each key over pages."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_partkey") % 3).alias("k"), F.col("l_linenumber").alias("page_no"), (F.col("l_partkey") * 1000 + F.col("l_quantity")).alias("pos"), "l_quantity")
+    return incremental.merge_pages(rows, ["l_orderkey", "k"]).select("l_orderkey", F.col("page_no").alias("l_linenumber"), "l_quantity")
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber) = max(l_linenumber) AND min(l_quantity) > 1)""")
+def complete_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of orders whose lines are all there."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("batch_id"), "l_linenumber", "l_quantity")
+    pages = rows.select("batch_id", F.col("l_linenumber").alias("page_no"), F.max("l_linenumber").over(Window.partitionBy("batch_id")).alias("n_pages"), (F.col("l_quantity") - 1).cast("long").alias("n_rows"))
+    whole, _ = incremental.require_complete_batch(rows, pages, max_rows=1_000_000)
+    return whole.select(F.col("batch_id").alias("l_orderkey"), "l_linenumber")
+
+
+@query("""WITH f AS (SELECT o_custkey, arg_max(o_orderstatus, o_orderkey) AS op, max(o_orderkey) AS ts, count(*) AS revision FROM orders GROUP BY 1) SELECT * FROM f""")
+def fold_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last operation of each key and its revision."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderstatus").alias("op"), F.col("o_orderkey").alias("ts"))
+    return userstate.fold_events(o, ["o_custkey"], "op", "ts")
+
+
+@query("""SELECT user_id, event_type AS job_id, max(ts) AS viewed_at FROM events GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY max(ts) DESC, event_type) <= 3""")
+def mark_viewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest views of each user (T5)."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("job_id"), F.col("ts").alias("viewed_at"))
+    return userstate.mark_viewed(e, newest=3)
+
+
+@query("""WITH a AS (SELECT user_id AS owner, event_id AS seq, event_type AS job_key, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events)
+SELECT owner, seq FROM a WHERE n IS NULL OR n <> job_key QUALIFY row_number() OVER (PARTITION BY owner ORDER BY seq DESC) <= 100""")
+def compact_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of mutations of one key as their last."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("owner"), F.col("event_id").alias("seq"), F.col("event_type").alias("job_key"))
+    return userstate.adjacent_compaction(e).select("owner", "seq")
+
+
+@query("""SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts)) RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW) AS in_window FROM events""")
+def rate_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user in the day before each."""
+    return userstate.rate_view(table(spark, sf_dir, "events"), key="user_id", at="ts", seconds=86400).select("event_id", "in_window")
+
+
+@query()
+def sliding_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events admitted under a limit of 2 in 6 hours for each user."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return userstate.sliding_admission(e, key="user_id", at="ts", limit=2, seconds=21_600, tie="event_id").select("event_id", "admitted")
+
+
+@query(
+    f"""SELECT 'deadline:' || o_custkey || ':' || o_orderkey || ':' || date_diff('day', DATE '{TODAY}', o_orderdate::DATE) AS id, o_custkey AS user_id, o_orderkey AS job_key
+FROM orders WHERE date_diff('day', DATE '{TODAY}', o_orderdate::DATE) IN (0, 1, 3)"""
+)
+def deadline_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts for saved postings at 3, 1 and 0 days."""
+    o = table(spark, sf_dir, "orders")
+    saved = o.select(F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("job_key"))
+    jobs = o.select(F.col("o_orderkey").alias("job_key"), F.to_date("o_orderdate").alias("deadline_at"))
+    return userstate.deadline_alerts(saved, jobs, today=F.lit(TODAY).cast("date")).select("id", "user_id", "job_key")
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey, max(l_shipdate) AS seen FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1)
+SELECT o_orderkey FROM orders LEFT JOIN c ON l_orderkey = o_orderkey WHERE coalesce(epoch(TIMESTAMP '1998-06-01') - epoch(seen) > 6 * 3600, true) AND coalesce(epoch(TIMESTAMP '1998-06-01') - epoch(seen) > 30 * 60, true)"""
+)
+def due_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings whose detail is due."""
+    c = table(spark, sf_dir, "lineitem").where("l_returnflag = 'N'").groupBy(F.col("l_orderkey").alias("url_key")).agg(F.max("l_shipdate").alias("checked_at")).withColumn("attempted_at", F.col("checked_at"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("url_key"))
+    return incremental.due_details(o, c, now=F.lit("1998-06-01").cast("timestamp")).select("o_orderkey")
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN d < 0 THEN 'closed' WHEN d = 0 THEN 'today' WHEN d <= 7 THEN 'soon' ELSE 'open' END AS label, CASE WHEN a <= 3 THEN 'new' WHEN a <= 14 THEN 'recent' ELSE 'stale' END AS freshness,
+  CASE WHEN a <= 7 THEN 0 WHEN a <= 14 THEN 2 WHEN a <= 28 THEN 5 ELSE 9 END AS penalty
+FROM (SELECT o_orderkey, date_diff('day', DATE '1996-06-15', o_orderdate::DATE) AS d, date_diff('day', o_orderdate::DATE, DATE '1996-06-15') AS a FROM orders)"""
+)
+def listing_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deadline labels, freshness and age penalties."""
+    today, day = F.lit(TODAY).cast("date"), F.to_date("o_orderdate")
+    age = dates.listing_age(day, day, today)
+    return table(spark, sf_dir, "orders").select("o_orderkey", dates.deadline_label(day, F.lit(""), today).alias("label"), dates.freshness(age).alias("freshness"), dates.age_penalty(age).alias("penalty"))
