@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ class Rule:
     reason: str | None = None
     field: str = "text"
     unless: str | None = None
-    scrub: tuple[str, ...] = field(default=())
+    scrub: tuple[str, ...] = ()
 
 
 def holds(rule: Rule, inputs: dict[str, Column]) -> Column:
@@ -62,3 +62,28 @@ def apply_rules(df: DataFrame, rules: Sequence[Rule], inputs: dict[str, str], *,
     if mode == "sum":
         return df.withColumn(into, total(rules, cols)).withColumn(f"{into}_reasons", reasons(rules, cols, k))
     raise ValueError(f"mode is first, all or sum, not {mode}")
+
+
+_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+_BLANK = r"[\s 　]"
+
+
+def js(pattern: str) -> str:
+    """A browser's case-blind pattern in Java's dialect: word edges are ASCII, white space includes the ideographic space."""
+    out, i, inside = [], 0, False
+    while i < len(pattern):
+        two = pattern[i : i + 2]
+        if two == r"\b" and not inside:
+            out.append(_EDGE)
+            i += 2
+        elif two == r"\s":
+            out.append(r"\s 　" if inside else _BLANK)
+            i += 2
+        elif two[:1] == "\\":
+            out.append(two)
+            i += 2
+        else:
+            inside = (inside or two[:1] == "[") and two[:1] != "]"
+            out.append(pattern[i])
+            i += 1
+    return "(?i)" + "".join(out)

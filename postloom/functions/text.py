@@ -27,12 +27,15 @@ REGIONS = (("서울", "11"), ("부산", "26"), ("대구", "27"), ("인천", "28"
 EMPLOYMENT = (("정규직", "정규직"), ("계약직|촉탁직|파견직", "계약직"), ("기간제", "기간제"), ("시간제|파트타임|아르바이트", "시간제"), ("인턴", "인턴"), ("일용", "일용직"))
 
 
-@F.arrow_udf("string")
-def nfkc(text: pa.Array) -> pa.Array:
-    """Unicode compatibility composition; Spark SQL has no function for it."""
+def _composed(text: pa.Array) -> pa.Array:
     return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string())
 
 
+def nfkc(c: Column) -> Column:
+    """Unicode compatibility composition; Spark SQL has no function for it."""
+    return F.arrow_udf(_composed, "string")(c)
+
+
 def clean_text(c: Column, *, compose: bool = True) -> Column:
     """Composed, without zero-width characters, white space squeezed and trimmed; null becomes empty."""
     c = F.coalesce(c.cast("string"), F.lit(""))

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, text, urls
-from ..operators import incremental, resolve, select, trust, userstate
+from ..functions import dates, rules, text, urls
+from ..operators import classify, incremental, match, reputation, resolve, sections, select, trust, userstate
+from ..sources import extract
 from .bind import TODAY, postings, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -317,3 +318,134 @@ def listing_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
     today, day = F.lit(TODAY).cast("date"), F.to_date("o_orderdate")
     age = dates.listing_age(day, day, today)
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.deadline_label(day, F.lit(""), today).alias("label"), dates.freshness(age).alias("freshness"), dates.age_penalty(age).alias("penalty"))
+
+
+_RULES = (rules.Rule(r"\bthe\b", "article", 5, "article"), rules.Rule(r"\bder\b|\bdie\b", "german", 10, "german"), rules.Rule(r"\bles\b|\bune\b", "french", 10, "french"), rules.Rule("license", "licence", -30, "licence", unless="mit"))
+
+
+@query(
+    r"""WITH h AS (SELECT doc_id, regexp_matches(lower(text), '\bthe\b') AS a, regexp_matches(lower(text), '\bder\b|\bdie\b') AS b, regexp_matches(lower(text), '\bles\b|\bune\b') AS c, regexp_matches(lower(text), 'license') AND NOT regexp_matches(lower(text), 'mit') AS d FROM documents)
+SELECT doc_id, 5 * a::INT + 10 * b::INT + 10 * c::INT - 30 * d::INT AS score, concat_ws(',', CASE WHEN a THEN 'article' END, CASE WHEN b THEN 'german' END, CASE WHEN c THEN 'french' END, CASE WHEN d THEN 'licence' END) AS reasons FROM h"""
+)
+def rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores and reasons of a rule table over documents (the engine of C1 to C20)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
+    edged = [rules.Rule(r.pattern, r.label, r.points, r.reason, unless=r.unless) for r in _RULES]
+    out = rules.apply_rules(d, edged, {"text": "text"}, mode="sum", into="score", k=4)
+    return out.select("doc_id", "score", F.array_join("score_reasons", ",").alias("reasons"))
+
+
+@query()
+def application_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facets, dimensions and tiers of every document read as a posting."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("description"), "source")
+    out = classify.application_tier(classify.with_facets(d), today=F.lit(TODAY).cast("date"))
+    return out.select("doc_id", "department", "facility_type", "care_role", "non_shift", "tier", "tier_score", "tier_confidence")
+
+
+@query(
+    r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '(?i)</?(?:nav|ul|li|div|article|h1|p|br|footer)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS x FROM pages),
+u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS x FROM t)
+SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '[ \t\r\f\v]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM u"""
+)
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every page."""
+    return table(spark, sf_dir, "pages").select("page_id", extract.html_to_text(F.col("html")).alias("text"))
+
+
+@query(r"""SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">', 1)) AS href FROM pages""")
+def listed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of the list of every page, by a row spec (S3)."""
+    spec = extract.HtmlSpec("page", "nav li", {"href": ("a", "href", ""), "title": ("a", "text", "")})
+    p = table(spark, sf_dir, "pages").select(F.lit("page").alias("source_id"), F.col("page_id").alias("page_no"), F.col("html").alias("body"))
+    return extract.extract_html(p, [spec]).select(F.col("page_no").alias("page_id"), "href")
+
+
+@query("""SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events WHERE json_extract(props, '$.k')::BIGINT >= 5""")
+def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a JSON payload."""
+    spec = extract.JsonSpec("events", "struct<rows:array<struct<k:bigint>>>", "rows", {"k": "item.k"}, {}, "item.k >= 5")
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("page_no"), F.concat(F.lit('{"rows":['), "props", F.lit("]}")).alias("body"))
+    return extract.extract_json(e, spec).select(F.col("page_no").alias("event_id"), "k")
+
+
+@query(
+    r"""WITH l AS (SELECT doc_id, unnest(list_filter(list_transform(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> '')) AS line, unnest(range(0, 1000000)[1:len(list_filter(list_transform(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), lambda x: trim(x)), lambda x: x <> ''))]) AS pos FROM documents),
+h AS (SELECT *, length(line) <= 20 AS head FROM l),
+n AS (SELECT *, count(*) FILTER (head) OVER (PARTITION BY doc_id ORDER BY pos) AS section_no FROM h)
+SELECT doc_id, pos::INT AS pos, section_no FROM n WHERE NOT head AND section_no <= 24"""
+)
+def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents in the sections that short lines open."""
+    lines = sections.lines_of(table(spark, sf_dir, "documents"), key="doc_id")
+    return sections.assign_sections(lines, key="doc_id", is_heading=F.length("line") <= 20).select("doc_id", "pos", "section_no")
+
+
+@query(
+    """WITH c AS (SELECT c_custkey, lower(c_mktsegment) AS words, n_name AS region, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey),
+q AS (SELECT r_regionkey AS query_id, list(n_name) AS regions, CASE WHEN r_regionkey % 2 = 0 THEN 'building' ELSE 'machinery' END AS word, r_regionkey * 1000 AS pay FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY ALL),
+m AS (SELECT query_id, c_custkey AS ord, CASE WHEN len(list_filter(regions, lambda r: contains(region, r))) > 0 THEN 'matched' ELSE 'mismatched' END AS required_region, CASE WHEN contains(words, word) THEN 'mismatched' ELSE 'unknown' END AS excluded_keywords, CASE WHEN c_acctbal::BIGINT >= pay THEN 'matched' ELSE 'mismatched' END AS preferred_salary FROM c, q)
+SELECT query_id, ord, required_region, excluded_keywords, preferred_salary, CASE WHEN required_region = 'mismatched' OR excluded_keywords = 'mismatched' THEN 'mismatched' ELSE 'needs_review' END AS overall FROM m"""
+)
+def match_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five stated queries against every customer."""
+    n = table(spark, sf_dir, "nation")
+    p = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("ord"), F.lower("c_mktsegment").alias("search_text"), F.array().cast("array<string>").alias("role_tags"), match.eligibility(F.lit(""), F.lit("")).alias("eligibility"), F.col("n_name").alias("region"), classify.schedule_of(F.lit("")).alias("schedule"),
+        F.array().cast("array<string>").alias("employment_types"), F.lit(None).cast("string").alias("experience_level"), F.round("c_acctbal").cast("long").alias("salary_minimum"), F.lit(False).alias("checked"), F.lit(False).alias("stale"), F.lit(None).cast("date").alias("published_at"),
+    )
+    r = table(spark, sf_dir, "region").join(n, F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_regionkey").alias("query_id")).agg(F.collect_list("n_name").alias("regions"))
+    q = r.select("query_id", "regions", F.array(F.when(F.col("query_id") % 2 == 0, "building").otherwise("machinery")).alias("excluded_keywords"), (F.col("query_id") * 1000).cast("long").alias("salary_minimum"), F.lit(False).alias("weekday_daytime"))
+    return match.match_queries(p, q).select("query_id", "ord", "required_region", "excluded_keywords", "preferred_salary", "overall")
+
+
+@query(
+    """WITH a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user')
+SELECT conv_id, turn, len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '))::INT AS words, 'any' AS experience_level FROM a""".replace("\\\\", "\\")
+)
+def intent_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intents of the users' turns."""
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return match.extract_intent(c).select("conv_id", "turn", F.size(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).alias("words"), "experience_level")
+
+
+@query(
+    """WITH c AS (SELECT s_suppkey AS company_id, lower(regexp_replace(s_name, '[^A-Za-z0-9]+', '', 'g')) AS key FROM supplier),
+r AS (SELECT c_custkey AS rating_id, 'supplier' || lpad(c_custkey::VARCHAR, 9, '0') || CASE WHEN c_custkey % 2 = 0 THEN 'ltd' ELSE '' END AS key FROM customer),
+e AS (SELECT company_id, rating_id, 'ok' AS status FROM c JOIN r USING (key)),
+f AS (SELECT company_id, rating_id, least(length(c.key), length(r.key)) / greatest(length(c.key), length(r.key)) AS q FROM c JOIN r ON c.key <> r.key AND (contains(c.key, r.key) OR contains(r.key, c.key)) WHERE company_id NOT IN (SELECT company_id FROM e))
+SELECT * FROM e UNION ALL SELECT company_id, arg_min(rating_id, (-q, rating_id)), 'candidate' FROM f WHERE q >= 0.5 GROUP BY company_id"""
+)
+def company_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers with ratings by equal or contained name."""
+    c = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("company_id"), text.compact_key(F.col("s_name"), compose=False).alias("key"))
+    r = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("rating_id"), F.concat(F.lit("supplier"), F.lpad(F.col("c_custkey").cast("string"), 9, "0"), F.when(F.col("c_custkey") % 2 == 0, "ltd").otherwise("")).alias("key"))
+    return reputation.company_lookup(c, r).select("company_id", "rating_id", "status")
+
+
+@query(
+    """WITH v AS (SELECT o_orderkey AS pos, o_orderkey::VARCHAR AS id FROM orders WHERE o_orderstatus <> 'P'), k AS (SELECT * FROM v ORDER BY pos LIMIT 450),
+x AS (SELECT DISTINCT l_orderkey::VARCHAR AS id FROM lineitem WHERE l_returnflag = 'R')
+SELECT (SELECT count(*) FROM orders) AS received, count(*) FILTER (x.id IS NULL) AS inserted, count(*) FILTER (x.id IS NOT NULL) AS updated, (SELECT count(*) FROM orders) - count(*) AS rejected FROM k LEFT JOIN x ON x.id = k.id"""
+)
+def import_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an imported feed adds, renews and loses."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("https://jobs.example.com/view/"), "o_orderkey")).otherwise("http://elsewhere.example/1").alias("url"), F.col("o_orderpriority").alias("title"), F.col("o_orderkey").alias("pos"))
+    x = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").cast("string").alias("id")).distinct().withColumn("first_seen_at", F.lit(TODAY).cast("timestamp"))
+    return incremental.import_feed(o, x, now=F.lit(TODAY).cast("timestamp"), host="example.com")[1]
+
+
+@query("""WITH s AS (SELECT doc_id, list_distinct(list_filter(list_transform(string_split_regex(text, '[\n\r]+|[.!?] +'), lambda x: trim(x)), lambda x: x <> '')) AS xs FROM documents) SELECT doc_id, len(xs) > 0 AS has FROM s""")
+def clause_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a document has clauses."""
+    return table(spark, sf_dir, "documents").select("doc_id", (F.size(text.split_clauses(F.col("text"))) > 0).alias("has"))
+
+
+@query(
+    """WITH b AS (SELECT user_id AS query_id, event_type AS company_key, event_id AS pos, value FROM events)
+SELECT query_id, company_key, round(arg_max(least(value, 50) / 10, pos), 1)::DOUBLE AS rating, arg_max(pos, pos)::INT AS review_count FROM b GROUP BY 1, 2"""
+)
+def rating_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last rating and count of each company."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), F.lit("s").alias("source"), F.col("event_type").alias("company_key"), F.col("event_id").alias("pos"), F.col("props").alias("url"), F.lit(1).alias("priority"), F.col("event_type").alias("name"), (F.least("value", F.lit(50)) / 10).alias("rating"), F.col("event_id").alias("review_count"))
+    return reputation.rating_aggregate(e).select("query_id", "company_key", F.col("rating").cast("double").alias("rating"), "review_count")

@@ -28,6 +28,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def text_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Let Python functions of this session get at most so many rows at once: texts can be long, and 10,000 of them large.
+
+    Spark reads the setting when a plan is run, so it stays set; a smaller one of the user's stays as it is.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and return a scan of the files, so a lost executor costs no recomputation."""
     path = new_path(df.sparkSession, label)
