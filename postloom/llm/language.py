@@ -100,7 +100,9 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     that. A language weighs what its words weigh, whatever its share of the documents.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & training_rows(id_col)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    sizes = rows.groupBy("lang").count()
+    sizes = stored(rows.groupBy("lang").count(), "language-sizes")
+    if sizes.count() <= 10_000:
+        sizes = F.broadcast(sizes)  # else the join deals the texts by language
     draw = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / F.lit(1_000_000.0)
     sample = rows.join(sizes, "lang").where(draw * F.col("count") < per_language).select("lang", "text")
 
