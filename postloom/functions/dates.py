@@ -39,7 +39,7 @@ def _in_year(text: Column, year: Column) -> Column:
     return real_date(year.cast("string"), _group(text, _MONTH_DAY, 1), _group(text, _MONTH_DAY, 2))
 
 
-def parse_published(raw: Column, observed: Column, *, tz: str = TZ, compose: bool = True) -> Column:
+def parse_published(raw: Column, observed: Column, *, tz: str = TZ, compose: bool = False) -> Column:
     """(date, kind). Relative words count from the day of observation; a month and day lie at most 7 days ahead, else a year back."""
     text, today = meaningful(raw, compose=compose), local_day(observed, tz)
     days = F.when(text.rlike("그제|그저께"), -2).when(text.rlike("어제"), -1).when(text.rlike(r"오늘|방금|\d+\s*(?:분|시간)\s*전"), 0).otherwise(-_group(text, r"(\d+)\s*일\s*전", 1).try_cast("int"))
@@ -51,7 +51,7 @@ def parse_published(raw: Column, observed: Column, *, tz: str = TZ, compose: boo
     return F.struct(F.when(days.isNotNull(), F.date_add(today, days)).otherwise(date).alias("date"), kind.alias("kind"))
 
 
-def parse_deadline(raw: Column, observed: Column, *, tz: str = TZ, compose: bool = True) -> Column:
+def parse_deadline(raw: Column, observed: Column, *, tz: str = TZ, compose: bool = False) -> Column:
     """(date, kind): always open, until filled, fixed or unknown; a month and day lie within 180 days."""
     text, today = meaningful(raw, compose=compose), local_day(observed, tz)
     days = F.when(text.rlike("오늘"), 0).when(text.rlike("내일"), 1).otherwise(_group(text, r"(?i)D\s*-\s*(\d+)", 1).try_cast("int"))

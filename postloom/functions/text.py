@@ -37,19 +37,23 @@ def nfkc(c: Column) -> Column:
 
 
 def clean_text(c: Column, *, compose: bool = True) -> Column:
-    """Composed, without zero-width characters, white space squeezed and trimmed; null becomes empty."""
+    """Composed, without zero-width characters, white space squeezed and trimmed; null becomes empty.
+
+    The other functions take text that is composed already, unless told otherwise: a Python function can't run inside the
+    lambdas that some of them use.
+    """
     c = F.coalesce(c.cast("string"), F.lit(""))
     c = F.regexp_replace(nfkc(c) if compose else c, "[​﻿]", "")
     return F.trim(F.regexp_replace(c, WS + "+", " "))
 
 
-def meaningful(c: Column, preset: str = "listing", *, compose: bool = True) -> Column:
+def meaningful(c: Column, preset: str = "listing", *, compose: bool = False) -> Column:
     """The cleaned text, or null where it says nothing."""
     text = clean_text(c, compose=compose)
     return F.when(~text.rlike(UNKNOWN[preset]), text)
 
 
-def compact_key(c: Column, *, compose: bool = True) -> Column:
+def compact_key(c: Column, *, compose: bool = False) -> Column:
     """Lower case letters and digits only."""
     return F.regexp_replace(F.lower(clean_text(c, compose=compose)), r"[^\p{L}\p{N}]+", "")
 
@@ -58,23 +62,23 @@ def _strip_legal(c: Column, compose: bool) -> Column:
     return F.regexp_replace(F.regexp_replace(clean_text(c, compose=compose), LEGAL_MARKS, " "), f"(?:{LEGAL_NAMES}|법인)", " ")
 
 
-def company_tokens(c: Column, *, compose: bool = True) -> Column:
+def company_tokens(c: Column, *, compose: bool = False) -> Column:
     """The sorted tokens of a company name without its legal form."""
     tokens = F.split(_strip_legal(c, compose), r"[\s·,./()\[\]|]+")
     return F.array_sort(F.filter(F.transform(tokens, lambda t: F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", "")), lambda t: t != ""))
 
 
-def company_key(c: Column, *, compose: bool = True) -> Column:
+def company_key(c: Column, *, compose: bool = False) -> Column:
     """One key for a name whatever the order of its words."""
     return F.array_join(company_tokens(c, compose=compose), "")
 
 
-def company_compact_key(c: Column, *, compose: bool = True) -> Column:
+def company_compact_key(c: Column, *, compose: bool = False) -> Column:
     """P5: one key for a name whatever its spacing."""
     return F.regexp_replace(F.lower(_strip_legal(c, compose)), r"[^\p{L}\p{N}]+", "")
 
 
-def title_key(title: Column, company: Column, *, compose: bool = True) -> Column:
+def title_key(title: Column, company: Column, *, compose: bool = False) -> Column:
     """The title without notice words, date ranges, legal forms and the company's own name (unless nothing else is left)."""
     t = F.regexp_replace(clean_text(title, compose=compose), r"^새로운\s*글\s*", "")
     t = F.regexp_replace(t, r"\(\s*\d{1,2}\s*[./-]\s*\d{1,2}\s*[~∼-]\s*\d{1,2}\s*[./-]\s*\d{1,2}\s*\)", "")
@@ -87,14 +91,14 @@ def title_key(title: Column, company: Column, *, compose: bool = True) -> Column
     return F.when(bare != "", bare).otherwise(t)
 
 
-def dedupe_key(company: Column, title: Column, source: Column, row_id: Column, *, compose: bool = True) -> Column:
+def dedupe_key(company: Column, title: Column, source: Column, row_id: Column, *, compose: bool = False) -> Column:
     """Company and title, or source and id where the company is only a placeholder."""
     c, t = company_key(company, compose=compose), title_key(title, company, compose=compose)
     own = F.concat_ws(":", F.lit("source"), clean_text(source, compose=compose), clean_text(row_id, compose=compose))
     return F.when((c == "") | (t == "") | c.rlike(PLACEHOLDER_COMPANY), own).otherwise(F.concat_ws(":", c, t))
 
 
-def dedupe_keys(company: Column, title: Column, *, compose: bool = True) -> Column:
+def dedupe_keys(company: Column, title: Column, *, compose: bool = False) -> Column:
     """All keys under which a row may meet another: both forms of the company with the title."""
     t = title_key(title, company, compose=compose)
     names = F.filter(F.array_distinct(F.array(company_key(company, compose=compose), company_compact_key(company, compose=compose))), lambda c: (c != "") & ~c.rlike(PLACEHOLDER_COMPANY))
@@ -111,19 +115,19 @@ def all_labels(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
     return F.array_distinct(F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(v)) for p, v in rules])))
 
 
-def region_code(c: Column, *, compose: bool = True) -> Column:
+def region_code(c: Column, *, compose: bool = False) -> Column:
     """The code of the first region in list order that the text names."""
     return first_label(meaningful(c, compose=compose), REGIONS)
 
 
-def location_parts(c: Column, *, compose: bool = True) -> Column:
+def location_parts(c: Column, *, compose: bool = False) -> Column:
     """(text, region, district)."""
     text = meaningful(c, "match", compose=compose)
     district = F.regexp_extract(text, r"([가-힣]{1,10}(?:시|구|군))(?:\s|$)", 1)
     return F.struct(text.alias("text"), first_label(text, [(n, n) for n, _ in REGIONS]).alias("region"), F.when(district != "", district).alias("district"))
 
 
-def employment_type(c: Column, *, strict_regular: bool = False, compose: bool = True) -> Column:
+def employment_type(c: Column, *, strict_regular: bool = False, compose: bool = False) -> Column:
     """Labels joined by a dot, else the text itself. Unless strict, a text with 비정규직 counts as 정규직 too."""
     text = meaningful(c, compose=compose)
     rules = [(("(?<!비)정규직" if strict_regular else p) if v == "정규직" else p, v) for p, v in EMPLOYMENT]
@@ -131,14 +135,14 @@ def employment_type(c: Column, *, strict_regular: bool = False, compose: bool =
     return F.when(F.size(found) > 0, F.array_join(found, "·")).otherwise(text)
 
 
-def employment_display(*fields: Column, compose: bool = True) -> Column:
+def employment_display(*fields: Column, compose: bool = False) -> Column:
     """All values of the fields without unknown ones and those that are a part of a longer one."""
     parts = F.flatten(F.array(*[F.split(F.coalesce(meaningful(f, "display", compose=compose), F.lit("")), r"\s*[·,/]\s*") for f in fields]))
     values = F.array_distinct(F.filter(parts, lambda x: x != ""))
     return F.array_join(F.filter(values, lambda x: ~F.exists(values, lambda y: (y != x) & y.contains(x))), "·")
 
 
-def experience_level(c: Column, *, compose: bool = True) -> Column:
+def experience_level(c: Column, *, compose: bool = False) -> Column:
     """Open to all, newcomer, experienced, or the text itself."""
     text = meaningful(c, compose=compose)
     return F.when(text.rlike(r"경력\s*무관|신입\s*·?\s*경력|신입\s*/\s*경력"), "경력무관").when(text.rlike("신입|졸업예정"), "신입").when(text.rlike(r"경력|\d+\s*년"), "경력").otherwise(text)

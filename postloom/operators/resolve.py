@@ -43,9 +43,12 @@ def normalize_postings(raw: DataFrame, seen: DataFrame | None = None, *, now: Co
     """Raw postings in one shape: cleaned text, keys, codes, dates, seen times, role evidence and deadline state.
 
     Rows without id or title go. ``seen`` (source, id, first_seen_at, last_seen_at) keeps first sights; a first sight never lies
-    after the last. ``ord`` is the position of a row in its input and decides between equals.
+    after the last. Text is composed first, in one pass, if ``compose`` is set. ``ord`` is the position of a row in its input and decides between equals.
     """
     df = with_columns(raw, OPTIONAL)
+    if compose:
+        df = df.withColumns({c: text.nfkc(F.col(c)) for c, t in df.dtypes if t == "string" and c in (*OPTIONAL, "id", "title")})
+        compose = False
     clean = lambda c: text.clean_text(F.col(c), compose=compose)
     known = lambda c, other: F.coalesce(text.meaningful(F.col(c), compose=compose), F.lit(other))
     df = df.withColumns({"id": clean("id"), "title": text.meaningful(F.col("title"), compose=compose), "source": clean("source"), "url": clean("url"), "company": known("company", "기관 정보 확인"), "region": known("region", "원문 확인"), "deadline": known("deadline", "원문 확인")})

@@ -62,7 +62,7 @@ def group_runs(rows: DataFrame, *, key: str, kind: str, value: str) -> DataFrame
     """Neighbours of one kind as one block: (key, run_no, kind, values)."""
     w = Window.partitionBy(key).orderBy("pos")
     df = rows.withColumn("_b", F.when(F.lag(kind).over(w).eqNullSafe(F.col(kind)), 0).otherwise(1)).withColumn("_n", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return df.groupBy(key, F.col("_n").alias("run_no"), kind).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", value))), lambda x: x[value]).alias("values"))
+    return df.groupBy(key, F.col("_n").alias("run_no"), kind).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col(value).alias("v")))), lambda x: x["v"]).alias("values"))
 
 
 def highlights(sentences: DataFrame, definitions: Sequence[tuple[str, str]], *, key: str, need: int = 2) -> DataFrame:
