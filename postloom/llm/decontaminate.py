@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranks import ordered_parts, prefix_sums
+from ..storage import text_batches
 
 #: A token: a run of letters and digits, in lower case.
 _TOKEN = re.compile(r"[^\W_]+")
@@ -137,6 +138,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     size, each of them put to all documents. Null and empty texts hold nothing; items without id or with fewer
     than min_match tokens, or null, can't be found; repeated items are found each.
     """
+    text_batches(docs.sparkSession)
     out = F.array().cast(_FOUND_SQL)
     for items in benchmark_blocks(benchmark, id_col=item_col, text_col=item_text_col, block_chars=block_chars):
         index = docs.sparkSession.sparkContext.broadcast(BenchmarkIndex(items, min_match))

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import text_batches
+
 # Element names and the words of class, id and role values that mark parts of a page.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style title textarea noscript template iframe svg math object select option xmp noembed noframes".split())
@@ -263,6 +265,7 @@ def extract_main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str
     Null, empty and textless pages give an empty text. Each row is worked on by itself, so repeated rows give
     repeated results and nothing is shuffled; other columns are not read.
     """
+    text_batches(pages.sparkSession)
     three = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import stored, text_batches
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the n-grams, in the order in which they are asked.
@@ -99,6 +99,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     lengths stay; each language's frequencies are smoothed by one half count. The driver gets no more than
     that. A language weighs what its words weigh, whatever its share of the documents.
     """
+    text_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & training_rows(id_col)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     sizes = stored(rows.groupBy("lang").count(), "language-sizes")
     if sizes.count() <= 10_000:
@@ -158,6 +159,7 @@ def language(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> C
     lang is a learnt language, ``und`` if the text is null, empty or has no letter (score 0); of equal scores the
     first language by name. score is the share of the best language if all were as likely beforehand.
     """
+    text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang:string,score:double>")

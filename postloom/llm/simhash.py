@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import connected_components
-from ..storage import stored
+from ..storage import stored, text_batches
 
 SEED = 42
 #: Bits of the byte values 0 to 255, lowest first.
@@ -49,6 +49,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((simhash(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
+    text_batches(docs.sparkSession)
     two = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return two.mapInArrow(run, T.StructType([T.StructField("id", two.schema["id"].dataType), T.StructField("fp", T.LongType())]))
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import text_batches
+
 #: Words beside the vocabulary that a worker remembers.
 _KEPT = 500_000
 _SPACE = "▁"
@@ -105,6 +107,7 @@ def token_counts(docs: DataFrame, tokenizer: str, *, limit: int = 4096, id_col:
     not read. The table of whole-token words is made once here and sent with the tasks: it is at most as large
     as the vocabulary.
     """
+    text_batches(docs.sparkSession)
     whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(tokenizer))
     two = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 

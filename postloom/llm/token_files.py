@@ -17,10 +17,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import new_path, stored
+from ..storage import new_path, stored, text_batches
 
-#: Words and pieces that a worker remembers, each at most.
-_KEPT = 500_000
+#: Words that a worker remembers at most, and pieces of words that are no word themselves.
+_KEPT, _KEPT_PIECES = 250_000, 50_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -34,7 +34,7 @@ class WordEncoder:
     """Ids of whole texts from a byte-level BPE of the tokenizers library, which is asked once for each piece.
 
     The library's splitter never joins what lies before a space that follows a non-space with what lies after
-    it, so a text's ids are those of its first word and of each further word with its space. Words (500,000 at
+    it, so a text's ids are those of its first word and of each further word with its space. Words (250,000 at
     most) are remembered; a new one is cut into the splitter's pieces, and the library's model merges those that are new
     too. Words with other characters than plain letters, digits, signs and white space are encoded by the library as
     they are; so is, whole, a text where a lone space follows white space or that holds a special string, and every text
@@ -60,10 +60,13 @@ class WordEncoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        if (got := self.inner.get(piece)) is None:
+        got = self.known.get(piece[1:]) if piece[0] == " " else self.inner.get(piece)
+        if got is None:
             merged = self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-            got = np.array([t.id for t in merged], self.dtype).tobytes()
-            if len(self.inner) < _KEPT:
+            got = b"".join([t.id.to_bytes(self.dtype.itemsize, "little") for t in merged])
+            if piece[0] == " " and len(self.known) < _KEPT:
+                self.known[piece[1:]] = got
+            elif piece[0] != " " and len(self.inner) < _KEPT_PIECES:
                 self.inner[piece] = got
         return got
 
@@ -121,6 +124,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, end_id: int
     Null texts are empty; rows with a null id come first, as id -2**63; repeated ids are kept in the order of their
     texts; an empty table gives an empty manifest. Other columns are not read.
     """
+    text_batches(docs.sparkSession)
     dtype = np.dtype("<u2") if vocab <= 65_536 else np.dtype("<u4")
     end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
     two = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import stored, text_batches
 
 #: Words are runs of letters, in lower case.
 _WORD = re.compile(r"[^\W\d_]+")
@@ -142,6 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     same examples. Rows with a null id, label or text, and labels other than 0 and 1, teach nothing. What reaches
     the driver is bounded by max_examples and max_terms.
     """
+    text_batches(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     sample = known.orderBy(F.xxhash64("id"), "id").limit(max_examples)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(sample), "id")
@@ -212,6 +213,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", *, s
     Every whole text is scored where it stands, nothing is shuffled. Texts without a term of the model, null and
     empty ones among them, get the base rate of such examples and no evidence.
     """
+    text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf(_OUT_SQL)
