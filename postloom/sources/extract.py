@@ -288,9 +288,13 @@ def extract_fields(pages: DataFrame, *, key: str, body: str = "body", aliases: d
     return rows.groupBy(key).pivot("field", sorted(set(names.values()))).agg(F.min_by("value", "pos"))
 
 
+def _cp949(body: pa.Array) -> pa.Array:
+    return pa.array([None if b is None else b.decode("cp949", "replace") for b in body.to_pylist()], pa.string())
+
+
 def decode_body(c: Column, content_type: Column, url: Column, cp949_hosts: Sequence[str] = ("medicaljob.co.kr",)) -> Column:
     """Bytes as text: code page 949 where the content type or host says so, else UTF-8."""
     korean = F.lower(content_type).rlike("euc-kr|cp949|ks_c_5601|ms949")
     for h in cp949_hosts:
         korean |= F.coalesce(F.try_parse_url(url, F.lit("HOST")).endswith(h), F.lit(False))
-    return F.when(F.coalesce(korean, F.lit(False)), F.decode(c, "MS949")).otherwise(F.decode(c, "UTF-8"))
+    return F.when(F.coalesce(korean, F.lit(False)), F.arrow_udf(_cp949, "string")(F.when(korean, c))).otherwise(F.decode(c, "UTF-8"))

@@ -7,8 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import incremental
 
@@ -34,35 +33,22 @@ def first_views(events: DataFrame, *, keys: list[str], at: str = "ts", late: str
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-class _Admission(StatefulProcessor):
-    """The admitted times of a key that still lie in the window."""
-
-    def __init__(self, limit: int, seconds: float, at: str, tie: str):
-        self.limit, self.seconds, self.at, self.tie = limit, seconds, at, tie
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getListState("admitted", StructType([StructField("at", TimestampType())]), int(self.seconds * 1000))
+def admission_stream(events: DataFrame, *, key: str, at: str, limit: int, seconds: float, tie: str) -> DataFrame:
+    """(key, id, admitted) for a stream; the state of a key is its admitted times in the window, at most ``limit``."""
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:  # noqa: N802
-        times = sorted(t[0] for t in self.times.get())
-        df = pd.concat(list(rows)).sort_values([self.at, self.tie])
+    def admit(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times = list(state.get[0]) if state.exists else []
+        df = pd.concat(list(batches)).sort_values([at, tie])
         flags = []
-        for t in df[self.at]:
-            times = [x for x in times if (t - pd.Timestamp(x)).total_seconds() < self.seconds]
-            flags.append(len(times) < self.limit)
+        for t in df[at].map(lambda x: x.timestamp()):
+            times = [x for x in times if t - x < seconds]
+            flags.append(len(times) < limit)
             if flags[-1]:
-                times.append(t.to_pydatetime())
-        self.times.put([(pd.Timestamp(t).to_pydatetime(),) for t in times]) if times else self.times.clear()
-        yield pd.DataFrame({"key": str(key[0]), "id": df[self.tie].astype(str), "admitted": flags})
+                times.append(t)
+        state.update((times,))
+        yield pd.DataFrame({"key": str(name[0]), "id": df[tie].astype(str), "admitted": flags})
 
-    def close(self) -> None:
-        pass
-
-
-def admission_stream(events: DataFrame, *, key: str, at: str, limit: int, seconds: float, tie: str) -> DataFrame:
-    """(key, id, admitted) for a stream; the state of a key is at most ``limit`` times."""
-    out = StructType([StructField("key", StringType()), StructField("id", StringType()), StructField("admitted", BooleanType())])
-    return events.groupBy(key).transformWithStateInPandas(_Admission(limit, seconds, at, tie), out, "Append", "ProcessingTime")
+    return events.groupBy(key).applyInPandasWithState(admit, "key string, id string, admitted boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def upsert_batches(fold: Callable[[DataFrame, DataFrame | None], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
