@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -155,3 +157,89 @@ def clause_evidence(docs: DataFrame, rules: Sequence[tuple[str, str, int]], *, k
     best = rows.groupBy(key).agg(F.max("rank").alias("top"))
     at = rows.join(best, key).where("rank = top")
     return at.groupBy(key).agg(F.when(F.count_distinct("domain") > 1, "unspecified").otherwise(F.min("domain")).alias("domain"), F.min_by(F.substring("clause", 1, 140), F.struct("pos", "domain")).alias("evidence"))
+
+
+def experience_display(level: Column, domain: Column) -> Column:
+    """(value, experienced, label): the level and, for experienced posts, the domain they ask for."""
+    known = F.coalesce(text.experience_level(level), F.lit("원문 확인"))
+    experienced = known.rlike("경력") & ~known.rlike("무관")
+    label = F.when(experienced & domain.isNotNull() & (domain != "unspecified"), F.concat(known, F.lit(" · "), domain)).otherwise(known)
+    return F.struct(known.alias("value"), experienced.alias("experienced"), label.alias("label"))
+
+
+def role_document_assign(roles: DataFrame, documents: DataFrame, *, key: str) -> DataFrame:
+    """Each attached text goes to the one role whose department its header names; with none or several it opens a role of its own.
+
+    roles: (key, role_no, department), documents: (key, doc_no, header), both of one posting by key.
+    """
+    hit = documents.join(roles, key).where((F.col("department") != "") & F.col("header").contains(F.col("department"))).select(key, "doc_no", "role_no")
+    one = hit.groupBy(key, "doc_no").agg(F.count("*").alias("_n"), F.min("role_no").alias("role_no")).where("_n = 1").drop("_n")
+    return documents.join(one, [key, "doc_no"], "left").withColumn("new_role", F.col("role_no").isNull())
+
+
+def finalize_detail(df: DataFrame, fields: Sequence[str], fallback: Sequence[str] = ()) -> DataFrame:
+    """``verified`` where any field of the page says something, ``body_available`` for the description; unverified rows keep only the fallback fields."""
+    said = lambda c: text.meaningful(F.col(c), "detail").isNotNull()
+    any_of = F.lit(False)
+    for c in fields:
+        any_of |= said(c)
+    df = df.withColumns({"verified": any_of, "body_available": said("description") if "description" in df.columns else F.lit(False)})
+    return df.withColumns({c: F.when(F.col("verified"), F.col(c)) for c in fields if c not in fallback})
+
+
+#: Numbered headings of official notices.
+NOTICE_HEADINGS = {"모집분야": "roles", "채용분야": "roles", "모집부문": "roles", "응시자격": "qualifications", "지원자격": "qualifications", "근무조건": "conditions", "보수": "salary", "급여": "salary", "전형방법": "process", "전형절차": "process", "제출서류": "documents", "접수기간": "deadline", "원서접수": "deadline"}
+
+
+def official_notice_fields(notices: DataFrame, *, key: str, text_col: str = "text") -> DataFrame:
+    """One row for each notice with the text under its numbered headings, and headcount and deadline lines."""
+    lines = assign_sections(lines_of(notices, key=key, text_col=text_col), key=key, headings=NOTICE_HEADINGS)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n")
+    by = lines.groupBy(key).pivot("section", sorted(set(NOTICE_HEADINGS.values()))).agg(body)
+    facts = notices.select(key, F.regexp_extract(text_col, r"(?<!\d)(\d{1,3})\s*명", 1).try_cast("int").alias("headcount"), F.nullif(F.regexp_extract(text_col, r"(\d{4}\s*[.년-]\s*\d{1,2}\s*[.월-]\s*\d{1,2}[^\n]{0,20}까지)", 1), F.lit("")).alias("deadline_line"))
+    return by.join(facts, key)
+
+
+def recruitment_roles(cells: DataFrame, *, key: str, labels: dict[str, str]) -> DataFrame:
+    """Roles from table cells (of explode_table): each row under a header row, one column for each labelled header.
+
+    Lines of conditions that depend on something (``단``, ``경우``) move to notes.
+    """
+    head = cells.where("row_no = 0").select(key, "table_no", "col_no", F.try_element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), F.regexp_replace("text", r"\s+", "")).alias("field")).where("field IS NOT NULL")
+    rows = cells.where("row_no > 0").join(head, [key, "table_no", "col_no"])
+    out = rows.groupBy(key, "table_no", "row_no").pivot("field", sorted(set(labels.values()))).agg(F.min("text"))
+    if "conditions" not in out.columns:
+        return out
+    depends = F.col("conditions").rlike(r"(?:^|\s)단[,.\s]|경우")
+    return out.withColumn("notes", F.when(depends, F.col("conditions"))).withColumn("conditions", F.when(~depends, F.col("conditions")))
+
+
+def _rich_lines(nodes: pa.Array) -> pa.Array:
+    def walk(x, mark=""):
+        if isinstance(x, list):
+            return [line for y in x for line in walk(y, mark)]
+        if not isinstance(x, dict):
+            return []
+        kind, inside = x.get("type"), x.get("content") or x.get("children") or []
+        if kind in ("bulletList", "orderedList"):
+            return [line for n, y in enumerate(inside, 1) for line in walk(y, "- " if kind == "bulletList" else f"{n}. ")]
+        if x.get("text"):
+            return [mark + str(x["text"])]
+        lines = [line for y in inside for line in walk(y)]
+        if kind in ("paragraph", "heading"):
+            lines = ["".join(lines)] if lines else []
+        return [mark + lines[0], *lines[1:]] if lines and mark else lines
+
+    out = []
+    for t in nodes.to_pylist():
+        try:
+            out.append("\n".join(walk(json.loads(t))) if t else None)
+        except ValueError:
+            out.append(None)
+    return pa.array(out, pa.string())
+
+
+
+def rich_text_lines(c: Column) -> Column:
+    """The lines of a rich-text tree given as JSON, list items bulleted or numbered."""
+    return F.arrow_udf(_rich_lines, "string")(c)

@@ -206,3 +206,52 @@ def facet_values(df: DataFrame, c: str) -> DataFrame:
     """The distinct values of a column or array column, sorted."""
     array = dict(df.dtypes)[c].startswith("array")
     return df.select(F.explode(c).alias("value") if array else F.col(c).alias("value")).where("value IS NOT NULL").distinct().orderBy("value")
+
+
+#: Region presets of the second board.
+PRESETS = {"metro": ("11", "28", "41"), "metro-all": ("11", "28", "41", None)}
+
+
+def second_board_filter(df: DataFrame, *, today: Column, query: str = "", role: str | None = None, region: str | None = None, employment: str | None = None, experience: str | None = None, deadline: str | None = None) -> DataFrame:
+    """text, tag, region (a preset, ``remote`` or a code), employment, experience class and deadline (active, today, open) of the second board."""
+    keep = F.col("search_text").contains(query.strip().lower()) if query.strip() else F.lit(True)
+    if role:
+        keep &= F.array_contains("ai_tags", role)
+    if region == "remote":
+        keep &= F.coalesce(F.col("is_remote"), F.lit(False))
+    elif region in PRESETS:
+        codes = [c for c in PRESETS[region] if c]
+        near = F.col("region_code").isin(*codes)
+        keep &= near | F.col("region_code").isNull() | F.coalesce(F.col("is_remote"), F.lit(False)) if None in PRESETS[region] else near
+    elif region:
+        keep &= F.col("region_code") == region
+    if employment:
+        keep &= F.col("employment_type") == employment
+    if experience:
+        keep &= {"entry": F.coalesce("experience_years", F.lit(0)) == 0, "junior": F.coalesce("experience_years", F.lit(0)) <= 3, "senior": F.col("experience_years") >= 4}[experience]
+    if deadline:
+        days = F.datediff("deadline_at", today)
+        keep &= {"active": F.coalesce(days >= 0, F.lit(True)), "today": days == 0, "open": F.col("deadline_at").isNull()}[deadline]
+    return df.where(keep)
+
+
+ORDERS |= {
+    "second_board": lambda today: [F.element_at(F.create_map(*[F.lit(x) for kv in (("S", 0), ("A", 1), ("B", 2), ("C", 3), ("exclude", 4)) for x in kv]), F.col("ai_tier")).asc(), F.col("ai_score").desc(), F.col("deadline_at").asc_nulls_last(), F.col("last_seen_at").desc(), F.col("ord").asc()],
+    "published": lambda today: [F.col("published_at").desc_nulls_last(), F.col("last_seen_at").desc(), F.col("ord").asc()],
+    "recent": lambda today: [F.col("first_seen_at").desc_nulls_last(), F.col("ord").asc()],
+}
+
+
+def job_by_any_id(wanted: DataFrame, *frames: DataFrame, key: str = "ord", id_col: str = "id") -> DataFrame:
+    """For each wanted id the first row that has it under any name, frames in order of preference."""
+    out = None
+    for rank, df in enumerate(frames):
+        named = df.select(F.col(key).alias("_key"), F.explode(identities(df)).alias(id_col)).withColumn("_rank", F.lit(rank))
+        out = named if out is None else out.unionByName(named)
+    best = out.join(wanted.select(id_col).distinct(), id_col).groupBy(id_col).agg(F.min(F.struct("_rank", "_key")).alias("_b"))
+    return best.select(id_col, F.col("_b._rank").alias("frame"), F.col("_b._key").alias(key))
+
+
+def collection_stats(runs: DataFrame) -> DataFrame:
+    """A10: requested, successful and failed queries of each source. runs: (source_id, query_label, ok)."""
+    return runs.groupBy("source_id").agg(F.count("*").alias("requested"), F.count_if("ok").alias("successful"), F.count_if(~F.col("ok")).alias("failures"))
