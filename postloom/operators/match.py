@@ -21,6 +21,29 @@ KINDS = (("정규직|공무직", "regular"), ("계약직|기간제|촉탁직|파
 QUALIFICATIONS = (r"간호사\s*(?:면허|자격증?)", "간호사 면허"), ("산업위생관리기사", "산업위생관리기사"), ("산업안전기사", "산업안전기사"), ("인간공학기사", "인간공학기사"), ("대기환경기사", "대기환경기사")
 STOP_WORDS = ("추천", "공고", "채용", "일자리", "찾아줘", "보여줘", "원해", "가능한", "가능", "없는", "간호사", "직무", "근무")
 
+#: What free texts and qualifications say.
+WORDS = {
+    "no_contract": r"(?:계약직|기간제).{0,5}(?:싫|제외|말고|빼)",
+    "no_shift": r"(?:야간|나이트|밤근무|3교대|교대).{0,8}(?:없|제외|싫|말고|안\s*하|피하)|주간\s*근무|데이\s*근무|데이만|상근만",
+    "particles": "(?:에서|으로|부터|까지|이면|이고|이나|거나|하고|위주로|정도로)$",
+    "known_kinds": "정규직|계약직|기간제|시간제|파트|신입|경력|무관|야간|나이트|교대",
+    "entry": r"신입|경력\s*무관|무경력|경력\s*(?:없|상관)|졸업\s*예정",
+    "experienced": r"경력직|경력\s*\d+|\d+년\s*이상|경력\s*간호",
+    "week": r"이번\s*주|일주일",
+    "closing": r"마감\s*임박",
+    "salary": "연봉|월급|급여|만원",
+    "commute": r"출퇴근|통근|분\s*이내|가까운|거리",
+    "must_day": r"(?:오늘|\d+\s*일\s*이내|이번\s*주).{0,4}(?:만|꼭|무조건|반드시)",
+    "must_role": r"보건\s*관리자|산업\s*간호사|간호사",
+    "must_level": r"신입|경력직|경력\s*무관",
+    "licence": r"간호사\s*(?:면허|면허증|자격증?)\s*(?:소지자|소지|필수|보유|가능)?|간호사\s*면허로\s*지원",
+    "barred": r"간호사\s*(?:면허|자격)(?:만으로는)?\s*(?:지원\s*)?(?:불가|제외|인정하지\s*않)",
+    "safety": "산업(?:안전(?:관리)?|위생관리)기사|건설안전기사|인간공학기사",
+    "composite": r"안전\s*[·ㆍ/&+]\s*보건|보건\s*[·ㆍ/&+]\s*안전|안전보건",
+    "only": "필수|소지자만|자격요건",
+}
+WORKPLACES = ("검진센터", "외래", "병동", "수술실", "중환자실", "응급실", "인공신장실", "감염관리", "보험심사", "연구간호", "보건교사")
+
 
 def _strings(c: str) -> Column:
     """An array column without null, blank and repeated entries; null is empty."""
@@ -49,11 +72,11 @@ def criteria_rows(criteria: DataFrame) -> DataFrame:
 
 def eligibility(raw: Column, duties: Column) -> Column:
     """(qualifications, status, composite): what a text lists and whether a nurse's licence is enough."""
-    own = raw.rlike(js(r"간호사\s*(?:면허|면허증|자격증?)\s*(?:소지자|소지|필수|보유|가능)?|간호사\s*면허로\s*지원"))
-    barred = raw.rlike(js(r"간호사\s*(?:면허|자격)(?:만으로는)?\s*(?:지원\s*)?(?:불가|제외|인정하지\s*않)"))
-    safety = raw.rlike("산업(?:안전(?:관리)?|위생관리)기사|건설안전기사|인간공학기사")
-    both = duties.rlike(r"안전\s*[·ㆍ/&+]\s*보건|보건\s*[·ㆍ/&+]\s*안전|안전보건") & safety & ~own
-    only = safety & raw.rlike("필수|소지자만|자격요건") & ~own
+    own = raw.rlike(js(WORDS["licence"]))
+    barred = raw.rlike(js(WORDS["barred"]))
+    safety = raw.rlike(WORDS["safety"])
+    both = duties.rlike(WORDS["composite"]) & safety & ~own
+    only = safety & raw.rlike(WORDS["only"]) & ~own
     status = F.when(barred | (only & ~both), "ineligible").when(own, "eligible").otherwise("unknown")
     return F.struct(text.all_labels(raw, [(js(p), v) for p, v in QUALIFICATIONS]).alias("qualifications"), status.alias("status"), both.alias("composite"))
 
@@ -155,23 +178,22 @@ def extract_intent(queries: DataFrame, *, text_col: str = "text", length: int =
     q = F.substring(F.trim(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\s+", " ")), 1, length)
     regions = [n for n, _ in text.REGIONS]
     must = lambda words: q.rlike(f"(?:{words}).{{0,4}}(?:만|꼭|필수|무조건|반드시)")
-    no_contract = q.rlike(r"(?:계약직|기간제).{0,5}(?:싫|제외|말고|빼)")
-    no_shift = q.rlike(r"(?:야간|나이트|밤근무|3교대|교대).{0,8}(?:없|제외|싫|말고|안\s*하|피하)|주간\s*근무|데이\s*근무|데이만|상근만")
-    work = ("검진센터", "외래", "병동", "수술실", "중환자실", "응급실", "인공신장실", "감염관리", "보험심사", "연구간호", "보건교사")
+    no_contract = q.rlike(WORDS["no_contract"])
+    no_shift = q.rlike(WORDS["no_shift"])
     solid = F.replace(q, F.lit(" "), F.lit(""))
-    tokens = F.transform(F.split(F.regexp_replace(q, r"[()\[\]{}.,!?/\\:;\"']", " "), r"\s+"), lambda w: F.regexp_replace(w, "(?:에서|으로|부터|까지|이면|이고|이나|거나|하고|위주로|정도로)$", ""))
-    own = F.slice(F.filter(tokens, lambda w: (F.length(w) >= 2) & ~w.isin(*STOP_WORDS, *regions) & ~w.rlike("정규직|계약직|기간제|시간제|파트|신입|경력|무관|야간|나이트|교대")), 1, 8)
-    hold = F.concat(F.array_compact(F.array(F.when(q.contains("상근"), F.lit("상근")).when(q.rlike(r"주간|데이\s*근무"), F.lit("주간")), *[F.when(solid.contains(w), F.lit(w)) for w in work])), own)
+    tokens = F.transform(F.split(F.regexp_replace(q, r"[()\[\]{}.,!?/\\:;\"']", " "), r"\s+"), lambda w: F.regexp_replace(w, WORDS["particles"], ""))
+    own = F.slice(F.filter(tokens, lambda w: (F.length(w) >= 2) & ~w.isin(*STOP_WORDS, *regions) & ~w.rlike(WORDS["known_kinds"])), 1, 8)
+    hold = F.concat(F.array_compact(F.array(F.when(q.contains("상근"), F.lit("상근")).when(q.rlike(r"주간|데이\s*근무"), F.lit("주간")), *[F.when(solid.contains(w), F.lit(w)) for w in WORKPLACES])), own)
     avoid = F.concat(F.when(no_shift, F.array(*[F.lit(w) for w in ("야간", "나이트", "N-KEEP", "3교대", "교대근무")])).otherwise(F.array().cast("array<string>")), F.when(no_contract, F.array(F.lit("계약직"), F.lit("기간제"))).otherwise(F.array().cast("array<string>")))
     kinds = F.array_compact(F.array(*[F.when(q.rlike(p) & (~no_contract if k == "contract" else F.lit(True)), F.lit(k)) for p, k in KINDS]))
     named = F.regexp_extract(q, r"(\d+)\s*일\s*이내", 1).try_cast("int")
-    musts = [("role", must(r"보건\s*관리자|산업\s*간호사|간호사")), ("region", must("|".join(regions))), ("employment", must("정규직|계약직|기간제|시간제")), ("experience", must(r"신입|경력직|경력\s*무관")), ("deadline", q.rlike(r"(?:오늘|\d+\s*일\s*이내|이번\s*주).{0,4}(?:만|꼭|무조건|반드시)"))]
+    musts = [("role", must(WORDS["must_role"])), ("region", must("|".join(regions))), ("employment", must("정규직|계약직|기간제|시간제")), ("experience", must(WORDS["must_level"])), ("deadline", q.rlike(WORDS["must_day"]))]
     return queries.withColumns({
         "regions": F.array_compact(F.array(*[F.when(q.contains(n), F.lit(n)) for n in regions])), "role_tags": text.all_labels(q, [(js(w), r) for r, w in ROLE_WORDS.items()]), "employment_types": kinds,
-        "experience_level": F.when(q.rlike(r"신입|경력\s*무관|무경력|경력\s*(?:없|상관)|졸업\s*예정"), "entry").when(q.rlike(r"경력직|경력\s*\d+|\d+년\s*이상|경력\s*간호"), "experienced").otherwise("any"),
+        "experience_level": F.when(q.rlike(WORDS["entry"]), "entry").when(q.rlike(WORDS["experienced"]), "experienced").otherwise("any"),
         "include_keywords": F.slice(F.array_distinct(hold), 1, 10), "exclude_keywords": F.slice(F.array_distinct(avoid), 1, 10),
-        "deadline_days": F.when(named.isNotNull(), F.least(named, F.lit(90))).when(q.rlike(r"이번\s*주|일주일"), 7).when(q.rlike(r"마감\s*임박"), 3),
-        "unresolved": F.array_compact(F.array(F.when(q.rlike("연봉|월급|급여|만원"), F.lit("salary")), F.when(q.rlike(r"출퇴근|통근|분\s*이내|가까운|거리"), F.lit("commute")))),
+        "deadline_days": F.when(named.isNotNull(), F.least(named, F.lit(90))).when(q.rlike(WORDS["week"]), 7).when(q.rlike(WORDS["closing"]), 3),
+        "unresolved": F.array_compact(F.array(F.when(q.rlike(WORDS["salary"]), F.lit("salary")), F.when(q.rlike(WORDS["commute"]), F.lit("commute")))),
         "required_fields": F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in musts])),
     })
 
