@@ -56,14 +56,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _halves(flip: bool) -> Column:
     """The two 32-bit segments of fp as (segment, key): its value, with flip also each value that has one zero bit set."""
-    out = []
-    for seg, value in enumerate((F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(0xFFFFFFFF))):
-        keys = F.array(value)
-        if flip:
-            powers = F.array(*[F.lit(1 << i).cast("long") for i in range(32)])
-            keys = F.concat(keys, F.transform(F.filter(powers, lambda p, v=value: v.bitwiseAND(p) == 0), lambda p, v=value: v.bitwiseOR(p)))
-        out.append(F.transform(keys, lambda k, s=seg: F.struct(F.lit(s).alias("seg"), k.alias("key"))))
-    return F.concat(*out)
+    return F.concat(_half(0, F.shiftrightunsigned("fp", 32), flip), _half(1, F.col("fp").bitwiseAND(0xFFFFFFFF), flip))
+
+
+def _half(seg: int, value: Column, flip: bool) -> Column:
+    keys = F.array(value)
+    if flip:
+        powers = F.array(*[F.lit(1 << i).cast("long") for i in range(32)])
+        keys = F.concat(keys, F.transform(F.filter(powers, lambda p: value.bitwiseAND(p) == 0), lambda p: value.bitwiseOR(p)))
+    return F.transform(keys, lambda k: F.struct(F.lit(seg).alias("seg"), k.alias("key")))
 
 
 def _spanning(left: np.ndarray, right: np.ndarray, left_id: np.ndarray, right_id: np.ndarray, limit: int) -> set[tuple[int, int]]:
