@@ -98,7 +98,8 @@ def encoder(path: str, kind: str) -> WordEncoder:
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if re.match(r"\w+://?", path) else (pafs.LocalFileSystem(), path)
+    path = re.sub(r"^file:/+", "/", path)
+    return pafs.FileSystem.from_uri(path) if re.match(r"\w+://", path) else (pafs.LocalFileSystem(), path)
 
 
 def _put(path: str, blobs: Iterator[bytes]) -> None:
