@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranks import ordered_parts, prefix_sums
@@ -14,6 +14,11 @@ from ..storage import stored
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def word_count(text_col: str) -> Column:
+    """Words of a text; of a null one 0."""
+    return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def source_targets(sizes: DataFrame, source_col: str, *, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """(source, source_size, target, rank) for each source of sizes (source, size).
 
@@ -41,7 +46,7 @@ def source_targets(sizes: DataFrame, source_col: str, *, weights: Sequence[int]
     )
 
 
-def mixture_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix", carry: bool = False) -> DataFrame:
+def mixture_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
     """Each row of docs with size, source_size, target, copies and taken (copies times size).
 
     A document's expected copies are target / source_size of its source. Within a source, documents stand in order
@@ -52,14 +57,10 @@ def mixture_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     is spread over many tasks.
 
     A null text has size 0, a null source is a source; null ids come first, repeated rows count as documents of
-    their own. Sources without words get as many expected copies as target / size can't give: none. Columns other
-    than those named are dropped unless carry is set; columns of docs called like an added one are then replaced.
+    their own. A source without words gives no copies, as its target is 0. Only id and source stay of docs' columns.
     An empty table gives no rows.
     """
-    added = ("size", "source_size", "target", "copies", "taken", "part", "rank", "before")
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    kept = [c for c in docs.columns if c.lower() not in added] if carry else [c for c in (id_col, source_col)]
-    base = docs.select(*[F.col(f"`{c}`") for c in kept], size.alias("size"))
+    base = docs.select(id_col, source_col, word_count(text_col).alias("size"))
     order = [F.col(source_col).asc_nulls_last(), F.col("size"), F.col(id_col)]
     parts = ordered_parts(base, order, "mix-order")
     targets = stored(source_targets(parts.select(source_col, "size"), source_col, weights=weights, share=share, cap=cap), "mix-targets")
@@ -78,13 +79,28 @@ def mixture_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mixture itself: each row of docs as often as :func:`mixture_copies` says, with the columns of docs."""
-    if clash := {"size", "source_size", "target", "copies", "taken", "part", "rank", "before"} & {c.lower() for c in docs.columns}:
-        renamed = docs.select(*[F.col(f"`{c}`").alias(f"_kept_{c}" if c.lower() in clash else c) for c in docs.columns])
-        mixed = mix_documents(renamed, id_col, text_col, source_col, **how)
-        return mixed.select(*[F.col(f"`_kept_{c}`").alias(c) if c.lower() in clash else F.col(f"`{c}`") for c in docs.columns])
-    mixed = mixture_copies(docs, id_col, text_col, source_col, carry=True, **how)
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mixture itself: each row of docs as often as :func:`mixture_copies` says, with the columns of docs.
+
+    What is decided about ids, sources and sizes meets the texts in one join, which deals them by id, so that long texts
+    don't gather as they would in order of size. Rows that share id, source and size share their copies out among
+    themselves, in order of a hash of the text.
+    """
+    keys = ["_mix_id", "_mix_source", "_mix_size"]
+    decided = mixture_copies(docs, id_col, text_col, source_col, **how).select(F.col(id_col).alias("_mix_id"), F.col(source_col).alias("_mix_source"), F.col("size").alias("_mix_size"), "copies")
+    # rows with equal keys differ by one copy at most, so this array has few entries
+    plan = decided.groupBy(*keys, "copies").agg(F.count("*").alias("n")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("copies", "n")), asc=False).alias("_mix_plan"))
+    plan = stored(plan.where("_mix_plan[0].copies > 0"), "mix-plan")
+    whole = docs.withColumn("_mix_n", word_count(text_col))
+    on = F.col(id_col).eqNullSafe(F.col("_mix_id")) & F.col(source_col).eqNullSafe(F.col("_mix_source")) & (F.col("_mix_n") == F.col("_mix_size"))
+    mixed = whole.join(plan, on)
+    if plan.where("size(_mix_plan) > 1 OR _mix_plan[0].n > 1").isEmpty():
+        copies = F.col("_mix_plan")[0]["copies"]
+    else:
+        mixed = mixed.withColumn("_mix_row", F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(text_col))).cast("long"))
+        zero = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(0).cast("long").alias("copies"))
+        step = lambda acc, p: F.struct((acc["seen"] + p["n"]).alias("seen"), F.when((F.col("_mix_row") > acc["seen"]) & (F.col("_mix_row") <= acc["seen"] + p["n"]), p["copies"]).otherwise(acc["copies"]).alias("copies"))
+        copies = F.aggregate("_mix_plan", zero, step, lambda acc: acc["copies"])
+    return mixed.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), copies.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""
