@@ -91,6 +91,16 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "l long, r long")).count() == 0
 
 
+def test_components_of_long_chains(spark):
+    rng = random.Random(5)
+    names = rng.sample(range(1000, 2000), 200)
+    chains = [(i, i + 1) for i in range(249)] + [(a, b) for a, b in zip(names, names[1:], strict=False)]
+    got = {r["id"]: r["component"] for r in connected_components(spark.createDataFrame(chains, "l long, r long")).collect()}
+    assert got == {i: 0 for i in range(250)} | {i: min(names) for i in names}
+    words = [(f"w{i:03}", f"w{i + 1:03}") for i in range(99)]
+    assert {tuple(r) for r in connected_components(spark.createDataFrame(words, "l string, r string")).collect()} == {(f"w{i:03}", "w000") for i in range(100)}
+
+
 def test_links(spark):
     norm = resolve.normalize_postings(frame(spark, ROWS), now=NOW())
     links = resolve.entity_links(norm, connected_components(resolve.link_postings(norm)))
