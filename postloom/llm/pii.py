@@ -219,7 +219,7 @@ def pseudonymize(docs: DataFrame, *, key: str, text_col: str = "text", into: str
     text = F.col(text_col)
     hits = F.regexp_extract_all(text, F.lit(REGEX), F.lit(0))
     moved = F.transform(hits, lambda h: F.struct(h.alias("hit"), pseudonym(h, key).alias("p")))
-    cut = docs.withColumn("_moved", F.when(text.rlike(r"[0-9@]|(?i:password|passwd|secret|token|api_key)"), moved))
+    cut = docs.withColumn("_moved", F.when(text.rlike(r"[0-9@]|AKIA|(?i:password|passwd|secret|token|api_key)"), moved))
     pieces = F.split(text, REGEX, -1)
     fill = F.transform("_moved", lambda m: F.coalesce(m["p"]["value"], m["hit"]))
     woven = F.array_join(F.transform(F.arrays_zip(pieces.alias("t"), F.concat(fill, F.array(F.lit(""))).alias("f")), lambda x: F.concat(x["t"], x["f"])), "")
