@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,23 +18,23 @@ from ..storage import stored, text_batches
 
 #: Words are runs of letters, in lower case.
 _WORD = re.compile(r"[^\W\d_]+")
-_BLOCK = 64
-#: Lengths of the stems that stand beside words as terms, and occurrences in a text that count as terms of their own.
-_STEMS, _TIMES = (5, 6, 7), 3
+#: Examples of a block.
+_BLOCK = 256
+#: Lengths of the stems that stand beside words as terms.
+_STEMS = (5, 6, 7)
 
 
-def terms_of(words: list[str], heads: frozenset[str] | None = None) -> set[tuple[str, int]]:
-    """Terms of a text: words and stems (``stem+``: longer words that start so), each with its first, second and third occurrence.
-
-    With heads, only words whose first five letters are among them.
-    """
-    n: Counter = Counter()
-    for w in words if heads is None else [w for w in words if w[: _STEMS[0]] in heads]:
-        n[w] += 1
+def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(term, count) of a text: words and stems (``stem+``: longer words that start so) by their 64-bit hash, in rising order."""
+    n: Counter = Counter(_WORD.findall((text or "").lower()))
+    for w, m in list(n.items()):
         for k in _STEMS:
             if len(w) > k:
-                n[w[:k] + "+"] += 1
-    return {(w, i) for w, c in n.items() for i in range(1, min(c, _TIMES) + 1)}
+                n[w[:k] + "+"] += m
+    keys = map(str.encode, n, repeat("utf-8"), repeat("surrogatepass"))
+    terms = np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(n)).view(np.int64)
+    order = np.argsort(terms)
+    return terms[order], np.fromiter(n.values(), np.float64, len(n))[order]
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -41,83 +42,101 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The positions start, start + 1, ... of each range, one range after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class ExampleIndex:
-    """Inverted lists over unit vectors, in blocks of example numbers with the largest weight of each list and block."""
+    """Inverted lists over unit vectors, cut into blocks of example numbers; of each list and block the largest weight is kept.
 
-    def __init__(self, vectors: list[dict[int, float]], labels: np.ndarray, n_terms: int):
-        self.labels, self.n = labels, len(vectors)
+    The lists lie one after the other in flat arrays: ``cuts[t, b]`` is where the part of term t in block b starts.
+    """
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_terms: int):
+        self.labels, self.n = np.asarray(labels, float), len(vectors)
         self.n_blocks = -(-self.n // _BLOCK)
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for e, v in enumerate(vectors):
-            for t, w in v.items():
-                lists[t].append((e, w))
-        self.lists = [(np.array([e for e, _ in x], np.int64), np.array([w for _, w in x])) for x in lists]
-        self.block_max, self.cuts = [], []
-        for e, w in self.lists:
-            top = np.zeros(self.n_blocks)
-            np.maximum.at(top, e // _BLOCK, w)
-            self.block_max.append(top)
-            self.cuts.append(np.searchsorted(e, np.arange(self.n_blocks + 1) * _BLOCK))
-
-    def search(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest positive cosine with a unit query, as (cosine, example), ties to the smaller number.
+        term = np.concatenate([t for t, _ in vectors] or [np.empty(0)]).astype(np.int64)
+        weight = np.concatenate([w for _, w in vectors] or [np.empty(0)]).astype(np.float32)
+        example = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
+        order = np.lexsort((example, term))
+        self.weight, self.example = weight[order], example[order].astype(np.int32)
+        part = term[order] * self.n_blocks + self.example // _BLOCK
+        ends = np.searchsorted(part, np.arange(n_terms * self.n_blocks + 1))
+        self.cuts = ends.astype(np.int32 if len(part) < 1 << 31 else np.int64)
+        self.most = np.zeros((n_terms, self.n_blocks), np.float32)
+        np.maximum.at(self.most.reshape(-1), part, self.weight)
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(example, cosine) of the k examples of largest positive cosine with a unit query, ties to the smaller number.
 
         A block's bound is the sum of its lists' largest weights times the query's. Blocks are scored whole, from the
         largest bound down, until a bound is below the k-th cosine found; those left can't hold a nearer one.
         """
-        bound = np.zeros(self.n_blocks)
-        for t, q in query.items():
-            bound += q * self.block_max[t]
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1][0] - 1e-9):
-                break
-            scores = np.zeros(_BLOCK)
-            for t, q in query.items():
-                lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
-                e, w = self.lists[t]
-                scores[e[lo:hi] - b * _BLOCK] += q * w[lo:hi]
-            if 0 <= skip - b * _BLOCK < _BLOCK:
-                scores[skip - b * _BLOCK] = 0
-            near = np.flatnonzero(scores > (best[-1][0] - 1e-9 if len(best) == k else 0))
-            best = sorted([*best, *[(round(float(scores[j]), 12), b * _BLOCK + j) for j in near.tolist()]], key=lambda x: (-x[0], x[1]))[:k]
-        return best
+        best, cosines = np.empty(0, np.int64), np.empty(0)
+        bound = weights @ self.most[terms]
+        line = np.argsort(-bound, kind="stable")
+        line = line[bound[line] > 0]
+        at, step = 0, 1
+        while at < len(line) and not (len(best) == k and bound[line[at]] < cosines[-1] - 1e-6):
+            place = terms[:, None] * self.n_blocks + np.sort(line[at : at + step])
+            start = self.cuts[place].ravel()
+            size = self.cuts[place + 1].ravel() - start
+            post = _spread(start, size)
+            q = np.repeat(np.repeat(weights, place.shape[1]), size)
+            scores = np.bincount(self.example[post], q * self.weight[post], self.n)
+            if skip >= 0:
+                scores[skip] = 0
+            near = np.flatnonzero(scores > (cosines[-1] - 1e-9 if len(best) == k else 0))
+            best, cosines = np.concatenate([best, near]), np.concatenate([cosines, scores[near].round(9)])
+            top = np.lexsort((best, -cosines))[:k]
+            best, cosines = best[top], cosines[top]
+            at, step = at + step, 2 * step
+        return best, cosines
 
 
 @dataclass
 class ToxicityModel:
-    """What scoring needs; its size is bounded by the number of examples and terms that it was fitted with."""
+    """What scoring needs; its size is bounded by the words of the examples that it was fitted with."""
 
-    terms: dict[tuple[str, int], int]
-    heads: frozenset[str]
-    idf: np.ndarray
-    index: ExampleIndex
-    ids: list[int]
+    terms: np.ndarray
+    weights: np.ndarray
     base: float
     k: int
     power: float
     prior: float
-    steps: tuple[np.ndarray, np.ndarray]
-
-    def vector(self, terms: set[tuple[str, int]]) -> dict[int, float]:
-        v = {t: float(self.idf[t]) for x in terms if (t := self.terms.get(x)) is not None}
-        norm = sum(x * x for x in v.values()) ** 0.5
-        return {t: x / norm for t, x in sorted(v.items())}
-
-    def vote(self, near: list[tuple[float, int]]) -> float:
+    index: ExampleIndex = field(default_factory=lambda: ExampleIndex([], np.empty(0), 0))
+    ids: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    steps: tuple[np.ndarray, np.ndarray] = (np.empty(0), np.empty(0))
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms of a text and their weights, to length 1."""
+        terms, counts = term_counts(text)
+        if not len(self.terms) or not len(terms):
+            return np.empty(0, np.int64), np.empty(0)
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        known = self.terms[at] == terms
+        return self.weighted(at[known], counts[known])
+
+    def weighted(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(1 + ln tf) times the term's weight, to length 1."""
+        w = (1 + np.log(counts)) * self.weights[terms]
+        norm = np.sqrt(w @ w)
+        return (terms, w / norm) if norm > 0 else (terms[:0], w[:0])
+
+    def vote(self, near: np.ndarray, cosines: np.ndarray) -> float:
         """Share of the nearest examples' labels, weighted by a power of the cosine; the base rate votes too."""
-        w = np.array([c for c, _ in near]) ** self.power
-        y = self.index.labels[[e for _, e in near]]
-        return float((w @ y + self.prior * self.base) / (w.sum() + self.prior))
+        w = cosines**self.power
+        return float((w @ self.index.labels[near] + self.prior * self.base) / (w.sum() + self.prior))
 
     def calibrated(self, vote: float) -> float:
         x, y = self.steps
         return float(0.99 * np.interp(vote, x, y) + 0.01 * vote) if len(x) else vote
 
-    def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        query = self.vector(terms_of(_WORD.findall((text or "").lower()), self.heads))
-        near = self.index.search(query, self.k) if query else []
-        return self.calibrated(self.vote(near)) if near else self.base, near
+    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
+        near, cosines = self.index.search(*self.vector(text), self.k)
+        return (self.calibrated(self.vote(near, cosines)) if len(near) else self.base), near, cosines
 
 
 def _steps(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,74 +152,131 @@ def _steps(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.array([p[0] for p in pools]), np.array([(p[1] + 0.5 * (p[1] > 0)) / (p[2] + 1) for p in pools])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_examples: int = 8000, max_terms: int = 2000, min_evidence: float = 30.0, k: int = 15, power: float = 4.0, prior: float = 1.0) -> ToxicityModel:
+def relevance(toxic: np.ndarray, others: np.ndarray, n_toxic: int, n_others: int) -> np.ndarray:
+    """How much a term's presence tells of the label, 0 to 1: their mutual information in parts of the label's entropy.
+
+    A factor of the weights, so that words of a subject don't outweigh those that examples of a label share. No term is left out:
+    the least is 0.0001.
+    """
+    n = n_toxic + n_others
+    part = lambda a, e: np.where(a > 0, a * np.log(np.maximum(a, 1e-300) / np.maximum(e, 1e-300)), 0.0)
+    has, lacks = toxic + others, np.maximum(n - toxic - others, 1e-300)
+    told = part(toxic, has * n_toxic / n) + part(others, has * n_others / n)
+    told += part(n_toxic - toxic, lacks * n_toxic / n) + part(n_others - others, lacks * n_others / n)
+    whole = -(n_toxic * np.log(n_toxic / n) + n_others * np.log(n_others / n))
+    return np.maximum(told, 0) / whole + 1e-4
+
+
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    max_examples: int = 4000,
+    k: int = 15,
+    power: float = 4.0,
+    prior: float = 0.05,
+) -> ToxicityModel:
     """Fit on at most max_examples labelled rows that aren't held out, those of smallest hash of the id.
 
-    Terms (see :func:`terms_of`) are those tied to a label: the log likelihood ratio G2 of term and label is at least
-    min_evidence, counted over examples that differ: of those with one smallest shingle hash, as near copies
-    have, one counts. Of more than max_terms the strongest stay. Inverse document frequencies come from the
-    same examples. Rows with a null id, label or text, and labels other than 0 and 1, teach nothing. What reaches
-    the driver is bounded by max_examples and max_terms.
+    Every term of the examples is in the model (see :func:`term_counts`). Its weight is its inverse document
+    frequency over all rows of docs times its :func:`relevance`, which is counted over examples that differ: of
+    those with one smallest shingle hash, as near copies have, one counts. Votes are calibrated on the
+    examples, each left out of its own search. Rows with a null id, label or text, and labels other than 0 and 1,
+    teach nothing; an id has the larger of its labels and the first of its texts. What reaches the driver and the
+    workers is bounded by max_examples and the words of these examples.
     """
-    text_batches(docs.sparkSession)
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
-    sample = known.orderBy(F.xxhash64("id"), "id").limit(max_examples)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(F.broadcast(sample), "id")
+    spark = docs.sparkSession
+    text_batches(spark)
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
+    known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    two = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sample = stored(known.orderBy(F.xxhash64("id"), "id").limit(max_examples), "toxicity-sample")
+    texts = two.where(F.col("text").isNotNull()).join(F.broadcast(sample), "id")
+    texts = texts.groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kin = []
-            for t in b.column(1):
-                words = _WORD.findall(t.as_py().lower())
-                grams = map(" ".join, zip(words, words[1:], words[2:], strict=False)) if len(words) > 2 else [" ".join(words)]
-                kin.append(min(xxhash.xxh64_intdigest(g, 7) for g in grams) >> 1)
-            yield pa.RecordBatch.from_arrays([b["id"], b["text"], b["y"], pa.array(kin, pa.int64())], ["id", "text", "y", "kin"])
-
-    ex = stored(texts.mapInArrow(prepare, "id long, text string, y int, kin long"), "toxicity-examples")
-    firsts = ex.groupBy("kin", "y").agg(F.min("id").alias("id")).select("id").distinct()
-    counts = {r["y"]: (r["n"], r["kins"]) for r in ex.groupBy("y").agg(F.count("*").alias("n"), F.countDistinct("kin").alias("kins")).collect()}
-    (rows0, n0), (rows1, n1) = counts.get(0, (0, 0)), counts.get(1, (0, 0))
-    base = (rows1 + 0.5) / (rows0 + rows1 + 10)
-    model = ToxicityModel({}, frozenset(), np.empty(0), ExampleIndex([], np.empty(0), 0), [], base, k, power, prior, (np.empty(0), np.empty(0)))
-    if not (n0 and n1):
+            kin, terms, counts = [], [], []
+            for t in b["text"]:
+                words = [w.encode("utf-8", "surrogatepass") for w in _WORD.findall(t.as_py().lower())]
+                grams = map(b" ".join, zip(words, words[1:], words[2:], strict=False)) if len(words) > 2 else [b" ".join(words)]
+                kin.append(min(map(xxhash.xxh64_intdigest, grams)) >> 1)
+                found, n = term_counts(t.as_py())
+                terms.append(found.tobytes())
+                counts.append(n.tobytes())
+            cols = [b["id"], b["y"], pa.array(kin, pa.int64()), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "y", "kin", "terms", "counts"])
+
+    ex = stored(texts.mapInArrow(prepare, "id long, y int, kin long, terms binary, counts binary"), "toxicity-examples")
+    found = sorted(ex.collect(), key=lambda r: r["id"])
+    y = np.array([r["y"] for r in found], float)
+    base = float((y.sum() + 0.5) / (len(y) + 10))
+    model = ToxicityModel(np.empty(0, np.int64), np.empty(0), base, k, power, prior)
+    if not 0 < y.sum() < len(y):
         return model
+    vectors = [(np.frombuffer(r["terms"], np.int64), np.frombuffer(r["counts"])) for r in found]
+    terms = np.unique(np.concatenate([t for t, _ in vectors]))
+    seen, n, has = set(), [0, 0], np.zeros((2, len(terms)))
+    for r, (t, _) in zip(found, vectors, strict=True):
+        if (r["kin"], r["y"]) not in seen:
+            seen.add((r["kin"], r["y"]))
+            n[r["y"]] += 1
+            has[r["y"], np.searchsorted(terms, t)] += 1
+    n_docs, df = _document_frequencies(two.select("text"), terms)
+    model.terms = terms
+    model.weights = np.log((1 + n_docs) / (1 + df)) * relevance(has[1], has[0], n[1], n[0])
+    vectors = [model.weighted(np.searchsorted(terms, t), c) for t, c in vectors]
+    heaviest = [int(t[w.argmax()]) if len(t) else -1 for t, w in vectors]
+    order = np.lexsort((np.arange(len(y)), heaviest, y))  # like examples share blocks
+    model.index = ExampleIndex([vectors[i] for i in order], y[order], len(terms))
+    model.ids = np.array([found[i]["id"] for i in order])
+    places = {int(i): at for at, i in enumerate(model.ids)}
+    sent = spark.sparkContext.broadcast((model, places))
+
+    def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, at = sent.value
+        for b in batches:
+            votes = []
+            for i, t, c in zip(b["id"].to_pylist(), b["terms"].to_pylist(), b["counts"].to_pylist(), strict=True):
+                own = m.weighted(np.searchsorted(m.terms, np.frombuffer(t, np.int64)), np.frombuffer(c))
+                votes.append(m.vote(*m.index.search(*own, m.k, skip=at[i])))
+            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), b["y"]], ["vote", "y"])
+
+    votes = ex.repartition(32, "id").mapInArrow(left_out, "vote double, y int").collect()
+    sent.unpersist()
+    model.steps = _steps(np.array([r["vote"] for r in votes]), np.array([r["y"] for r in votes], float))
+    return model
+
+
+def _document_frequencies(texts: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of all texts, and of those that hold each term; null texts hold none."""
+    sent = texts.sparkSession.sparkContext.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        known = sent.value
+        n, rows = np.zeros(len(known), np.int64), 0
         for b in batches:
-            for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True):
-                seen[y].update(terms_of(_WORD.findall(t.as_py().lower())))
-        rows = [(w, i, seen[1][w, i], seen[0][w, i]) for w, i in seen[0].keys() | seen[1].keys()]
-        for at in range(0, len(rows), 20_000):
-            cols = zip(*rows[at : at + 20_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.string(), *[pa.int64()] * 3), strict=True)], ["w", "i", "a", "b"])
-
-    partial = ex.join(F.broadcast(firsts), "id").select("text", "y").mapInArrow(count, "w string, i long, a long, b long")
-    df = partial.groupBy("w", "i").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a + b >= 5")
-    share = n1 / (n0 + n1)
-    part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
-    g2 = 2 * (part(F.col("a"), (F.col("a") + F.col("b")) * share) + part(F.col("b"), (F.col("a") + F.col("b")) * (1 - share)))
-    picked = sorted(df.withColumn("g2", g2).where(F.col("g2") >= min_evidence).orderBy(F.desc("g2"), "w", "i").limit(max_terms).collect(), key=lambda r: (r["w"], r["i"]))
-    model.terms = {(r["w"], r["i"]): t for t, r in enumerate(picked)}
-    model.heads = frozenset(r["w"].rstrip("+")[: _STEMS[0]] for r in picked)
-    model.idf = np.array([np.log((1 + n0 + n1) / (1 + r["a"] + r["b"])) + 1 for r in picked])
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for i, t, y in zip(b["id"].to_pylist(), b["text"], b["y"].to_pylist(), strict=True):
-                if v := model.vector(terms_of(_WORD.findall(t.as_py().lower()), model.heads)):
-                    rows.append({"id": i, "y": y, "t": list(v), "w": list(v.values())})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("id", pa.int64()), ("y", pa.int32()), ("t", pa.list_(pa.int64())), ("w", pa.list_(pa.float64()))]))
-
-    found = [(dict(zip(r["t"], r["w"], strict=True)), r["y"], r["id"]) for r in ex.mapInArrow(vectors, "id long, y int, t array<long>, w array<double>").collect()]
-    found.sort(key=lambda v: (max(v[0], key=v[0].get), -max(v[0].values()), v[2]))  # like examples share blocks
-    model.index = ExampleIndex([v for v, _, _ in found], np.array([y for _, y, _ in found], float), len(model.terms))
-    model.ids = [i for _, _, i in found]
-    votes = np.array([model.vote(model.index.search(v, k, skip=e)) for e, (v, _, _) in enumerate(found)])
-    model.steps = _steps(votes, model.index.labels)
-    model.base = float((rows1 - sum(y for _, y, _ in found) + 0.5) / (rows0 + rows1 - len(found) + 10))  # of examples without any term
-    return model
+            for t in b.column(0):
+                own = term_counts(t.as_py())[0]
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                n[at[known[at] == own]] += 1
+                rows += 1
+        at = np.flatnonzero(n)
+        for i in range(0, len(at), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 50_000]), pa.array(n[at[i : i + 50_000]])], ["t", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([rows])], ["t", "n"])
+
+    sums = texts.mapInArrow(count, "t long, n long").groupBy("t").agg(F.sum("n").alias("n"))
+    df, rows = np.zeros(len(terms)), 0
+    for b in sums.toArrow().to_batches():
+        t, n = b["t"].to_numpy(), b["n"].to_numpy()
+        df[t[t >= 0]] = n[t >= 0]
+        rows += int(n[t < 0].sum())
+    sent.unpersist()
+    return rows, df
 
 
 _OUT = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.struct([("id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])))])
@@ -211,7 +287,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", *, s
     """A column for docs: score (0 to 1) and evidence, the up to ``shown`` nearest examples with cosine and label.
 
     Every whole text is scored where it stands, nothing is shuffled. Texts without a term of the model, null and
-    empty ones among them, get the base rate of such examples and no evidence.
+    empty ones among them, get the base rate and no evidence.
     """
     text_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -220,21 +296,26 @@ def toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", *, s
     def score(texts: pa.Array) -> pa.Array:
         m, rows = sent.value, []
         for t in texts:
-            s, near = m.score(t.as_py())
-            rows.append({"score": s, "evidence": [{"id": m.ids[e], "cosine": c, "toxic": int(m.index.labels[e])} for c, e in near[:shown]]})
+            s, near, cosines = m.score(t.as_py())
+            shown_now = zip(near[:shown].tolist(), cosines[:shown].tolist(), strict=True)
+            rows.append({"score": s, "evidence": [{"id": int(m.ids[e]), "cosine": c, "toxic": int(m.index.labels[e])} for e, c in shown_now]})
         return pa.array(rows, _OUT)
 
     return score(F.col(text_col))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **how) -> DataFrame:
+def score_documents(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **how
+) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence) for every row of docs, with a model fitted on docs and labels."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col, **how)
     scored = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), toxicity(docs, model, text_col).alias("t"))
     return scored.select("doc_id", "held_out", "t.score", (F.col("t.score") >= threshold).cast("int").alias("predicted"), "t.evidence")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **how) -> DataFrame:
+def drop_toxic(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **how
+) -> DataFrame:
     """docs without the rows that score at or above the threshold; their columns stay."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col, **how)
     return docs.where(toxicity(docs, model, text_col)["score"] < threshold)
