@@ -1,4 +1,5 @@
 import itertools
+import time
 
 import numpy as np
 
@@ -20,6 +21,52 @@ def test_page_without_marks():
     assert m.main_text(page).split("\n")[1] == "Short one." and "Home" not in m.main_text(page) and "Terms" not in m.main_text(page)
 
 
+LONG = "This is a sentence of the article that goes on for quite a while, so that nobody takes it for a menu."
+
+
+def labels_by_sign(page):
+    read = m.read_page(page)
+    found = m.settings(read)
+    home = any(f in (m._HOME_TAG, m._HOME_MARK) for f in found)
+    return "\n".join(b.text for b in read.blocks if m.evidence(b, found[b.element], home) > 0)
+
+
+def test_cut_decides_where_single_blocks_mislead():
+    short = f"<div><p>{LONG}</p><p>Not so</p><p>{LONG}</p><p>Yes</p><p>{LONG}</p></div>"
+    menu = "<ul>" + "".join(f"<li><a href=x>Topic {i}</a></li>" for i in range(4)) + "<li>All about us and our many good friends</li>" + "".join(f"<li><a href=y>More {i}</a></li>" for i in range(4)) + "</ul>"
+    page = f"<html><body>{menu}{short}</body></html>"
+    want = "\n".join([LONG, "Not so", LONG, "Yes", LONG])
+    assert m.main_text(page) == want != labels_by_sign(page)
+    assert "Not so" not in labels_by_sign(page) and "All about us" in labels_by_sign(page)
+
+
+def test_wrappers_do_not_empty_an_article():
+    article = f"<article><h1>A title</h1><p>{LONG}</p><p>{LONG}</p></article>"
+    want = f"A title\n{LONG}\n{LONG}"
+    for name in ("layout has-sidebar", "content with-comments", "content-notice-board", "site-content has-sidebar", "page no-ads", "sidebar", "popup-modal"):
+        side = '<div class="left-sidebar"><p>Popular posts list with some words.</p></div>'
+        assert m.main_text(f'<body><div class="{name}">{article}{side}</div></body>') == want, name
+    marked = f'<body><div class="widget-area sidebar"><p>{LONG}</p><p>{LONG}</p></div><p><a href=x>Home</a></p></body>'
+    assert m.main_text(marked) == f"{LONG}\n{LONG}"
+    comments = f'<body><main><p>{LONG}</p><p>{LONG}</p></main><ol class="comment-list"><li class=comment><article><p>{LONG}</p></article></ol></body>'
+    assert m.main_text(comments) == f"{LONG}\n{LONG}"
+
+
+def test_attributes_of_any_length_and_marks_of_other_names():
+    value = "a > b " * 3000
+    page = f'<body><article><p title="{value}" data-hidden="false">{LONG}</p><p class=\'x\' title=don\'t>{LONG}</p><math><mi>E = m</mi></math></article></body>'
+    assert m.main_text(page) == f"{LONG}\n{LONG}\nE = m"
+    assert m.main_text(f"<p>{LONG} 1 < 2 <!-- left > open") == f"{LONG} 1 < 2"
+
+
+def test_many_odd_signs_take_linear_time():
+    at = time.perf_counter()
+    m.main_text("<p>" + "<d " * 40_000)
+    m.main_text("<p>" + "<a b=' \" " * 40_000)
+    m.main_text("<p>x</p>" + "".join(f"<div class=c{i % 7}><p>words {i} of a block.</p><a href=x>l</a></div>" for i in range(8_000)))
+    assert time.perf_counter() - at < 20
+
+
 def test_cut_is_minimal():
     rng = np.random.default_rng(1)
     for _ in range(200):
