@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranks import ordered_parts, prefix_sums
@@ -20,29 +20,70 @@ def source_targets(sizes: DataFrame, source_col: str, *, weights: Sequence[int]
     Sources in code point order, null last, take the weights in turn. share times all words is divided by weight;
     no target exceeds cap times its source's words, and what is over goes to the others by weight. That is one
     water level: sources in order of their size by weight fill up until the level that uses up the rest fits.
-    One row for each source meets in each window here, never one for each document.
+    Ranks and sums over the sources are taken in ranges, as sources can be as many as web hosts.
     """
-    per = sizes.groupBy(source_col).agg(F.sum("size").alias("source_size"))
-    order = Window.orderBy(F.col(source_col).asc_nulls_last())
+    per = sizes.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("source_size"))
+    order = [F.col("source").asc_nulls_last()]
+    ranked = prefix_sums(ordered_parts(per, order, "mix-sources"), F.lit(1), order, "rank")
     turn = F.array(*[F.lit(int(w)) for w in weights])
-    per = per.withColumn("rank", F.row_number().over(order)).withColumn("weight", F.element_at(turn, (F.pmod(F.col("rank") - 1, F.lit(len(weights))) + 1).cast("int")))
-    every = Window.partitionBy()
-    fill = Window.orderBy(F.col("source_size") / F.col("weight"), "rank")
-    per = (
-        per.withColumn("_all", F.sum("source_size").over(every))
-        .withColumn("_full", F.coalesce(F.sum("source_size").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .withColumn("_rest", F.sum("weight").over(fill.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-        .withColumn("_level", (F.col("_all") * share - F.col("_full") * cap) / F.col("_rest"))
-    )
-    fits = F.col("_level") * F.col("weight") <= F.col("source_size") * cap
-    level = F.min(F.when(fits, F.struct(F.col("source_size") / F.col("weight"), "rank", "_level"))).over(every)["_level"]
-    return per.withColumn("_at", level).select(
-        source_col, "source_size", F.least(F.col("source_size") * F.lit(float(cap)), F.coalesce(F.col("_at") * F.col("weight"), F.col("source_size") * F.lit(float(cap)))).alias("target"), "rank"
+    weighed = ranked.select("source", "source_size", "rank", F.element_at(turn, (F.pmod("rank", F.lit(len(weights))) + 1).cast("int")).alias("weight"))
+    fill = [F.col("source_size") / F.col("weight"), F.col("rank")]
+    parts = ordered_parts(weighed, fill, "mix-fill")
+    full = prefix_sums(parts, F.col("source_size"), fill, "full")
+    both = prefix_sums(full, F.col("weight"), fill, "lighter")
+    every = parts.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weights"))
+    level = (F.col("words") * share - F.col("full") * cap) / (F.col("weights") - F.col("lighter"))
+    levels = stored(both.crossJoin(F.broadcast(every)).withColumn("level", level), "mix-levels")
+    fits = levels.where(F.col("level") * F.col("weight") <= F.col("source_size") * cap)
+    mark = fits.agg(F.min(F.struct(F.col("source_size") / F.col("weight"), "rank", "level"))["level"].alias("mark"))  # one row
+    most = F.col("source_size") * F.lit(float(cap))
+    target = F.least(most, F.coalesce(F.col("mark") * F.col("weight"), most))
+    return levels.crossJoin(F.broadcast(mark)).select(F.col("source").alias(source_col), "source_size", target.alias("target"), "rank")
+
+
+def _decisions(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[int], share: float, cap: float, seed: str
+) -> DataFrame:
+    """(id, source, size, hash, source_size, target, copies) for each row of docs."""
+    parts = ordered_parts(docs.select(*_marks(id_col, text_col, source_col)), _order(), "mix-order")
+    targets = stored(source_targets(parts.select("source", "size"), "source", weights=weights, share=share, cap=cap), "mix-targets")
+    ranked = prefix_sums(parts, F.lit(1), _order()[1:], "before", ["source"])
+    # joined by range and source: a range is as small as any other, a source may not be
+    by_part, t = parts.select("part", "source").distinct().alias("p"), targets.alias("t")
+    known = by_part.join(t, F.col("p.source").eqNullSafe(F.col("t.source"))).select(
+        F.col("p.part").alias("at_part"), F.col("p.source").alias("at_source"), "source_size", "target"
     )
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("source"), F.lit("")))), 1, 8)
+    offset = F.conv(digits, 16, 10).cast("double") / F.lit(4294967296.0)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    copies = F.floor((F.col("before") + 1) * rate + offset) - F.floor(F.col("before") * rate + offset)
+    joined = ranked.join(known, (F.col("part") == F.col("at_part")) & F.col("source").eqNullSafe(F.col("at_source")))
+    return joined.select("id", "source", "size", "hash", "source_size", "target", copies.cast("long").alias("copies"))
+
+
+def _marks(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORD)), F.lit(0)).cast("long")
+    text = F.col(f"`{text_col}`")
+    return [F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), size.alias("size"), F.xxhash64(text).alias("hash")]
+
 
+def _order() -> list[Column]:
+    """By source, then that of the documents within it."""
+    return [F.col("source").asc_nulls_last(), F.col("size"), F.col("id"), F.col("hash")]
 
-def mixture_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: str = "mix", carry: bool = False) -> DataFrame:
-    """Each row of docs with size, source_size, target, copies and taken (copies times size).
+
+def mixture_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    *,
+    weights: Sequence[int] = (5, 2, 1),
+    share: float = 1.5,
+    cap: float = 2.0,
+    seed: str = "mix",
+) -> DataFrame:
+    """(id, source, size, source_size, target, copies, taken) for each row of docs; taken is copies times size.
 
     A document's expected copies are target / source_size of its source. Within a source, documents stand in order
     of size and id; the prefix sums of expected copies get one offset in [0, 1) from the md5 of seed and source,
@@ -53,38 +94,49 @@ def mixture_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A null text has size 0, a null source is a source; null ids come first, repeated rows count as documents of
     their own. Sources without words get as many expected copies as target / size can't give: none. Columns other
-    than those named are dropped unless carry is set; columns of docs called like an added one are then replaced.
-    An empty table gives no rows.
+    than those named are not read. An empty table gives no rows.
     """
-    added = ("size", "source_size", "target", "copies", "taken", "part", "rank", "before")
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    kept = [c for c in docs.columns if c.lower() not in added] if carry else [c for c in (id_col, source_col)]
-    base = docs.select(*[F.col(f"`{c}`") for c in kept], size.alias("size"))
-    order = [F.col(source_col).asc_nulls_last(), F.col("size"), F.col(id_col)]
-    parts = ordered_parts(base, order, "mix-order")
-    targets = stored(source_targets(parts.select(source_col, "size"), source_col, weights=weights, share=share, cap=cap), "mix-targets")
-    ranked = prefix_sums(parts, F.lit(1), order[1:], "before", [source_col])
-    # joined by range and source: a range is as small as any other, a source may not be
-    by_part = parts.select("part", source_col).distinct().alias("p")
-    t = targets.alias("t")
-    known = by_part.join(t, F.col(f"p.{source_col}").eqNullSafe(F.col(f"t.{source_col}"))).select(
-        F.col("p.part").alias("_part"), F.col(f"p.{source_col}").alias("_source"), "source_size", "target"
-    )
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(source_col), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor((F.col("before") + 1) * rate + offset) - F.floor(F.col("before") * rate + offset)
-    joined = ranked.join(known, (F.col("part") == F.col("_part")) & F.col(source_col).eqNullSafe(F.col("_source")))
-    return joined.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size")).drop("_part", "_source", "part", "before")
-
-
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mixture itself: each row of docs as often as :func:`mixture_copies` says, with the columns of docs."""
-    if clash := {"size", "source_size", "target", "copies", "taken", "part", "rank", "before"} & {c.lower() for c in docs.columns}:
-        renamed = docs.select(*[F.col(f"`{c}`").alias(f"_kept_{c}" if c.lower() in clash else c) for c in docs.columns])
-        mixed = mix_documents(renamed, id_col, text_col, source_col, **how)
-        return mixed.select(*[F.col(f"`_kept_{c}`").alias(c) if c.lower() in clash else F.col(f"`{c}`") for c in docs.columns])
-    mixed = mixture_copies(docs, id_col, text_col, source_col, carry=True, **how)
-    return mixed.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = _decisions(docs, id_col, text_col, source_col, weights, share, cap, seed)
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return found.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", taken)
+
+
+def mix_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    *,
+    weights: Sequence[int] = (5, 2, 1),
+    share: float = 1.5,
+    cap: float = 2.0,
+    seed: str = "mix",
+) -> DataFrame:
+    """The mixture itself: each row of docs as often as :func:`mixture_copies` says, with the columns of docs, whatever their names.
+
+    The decisions are made on sizes alone and then merged with the rows by id, source and hash of the text, so texts are
+    dealt once, by a hash, however long texts of one size stand together. Rows that agree in all three share
+    their copies: each takes an even part, the first of them what is over.
+    """
+    found = _decisions(docs, id_col, text_col, source_col, weights, share, cap, seed)
+    found = found.groupBy("id", "source", "hash").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
+    found = stored(found, "mix-decisions")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_marks(id_col, text_col, source_col)).alias("d")
+    f = found.alias("f").hint("merge")
+    same = F.col("d.id").eqNullSafe(F.col("f.id")) & F.col("d.source").eqNullSafe(F.col("f.source")) & (F.col("d.hash") == F.col("f.hash"))
+
+    def emitted(df: DataFrame) -> DataFrame:
+        return df.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row.*")
+
+    one = own.join(f.where("rows = 1"), same).select("row", "copies")
+    if found.where("rows > 1").isEmpty():
+        return emitted(one)
+    key = ["id", "source", "hash"]
+    again = own.join(f.where("rows > 1"), same).select("row", *[f"f.{c}" for c in key], "copies", "rows")
+    place = [*[F.col(c) for c in key], F.xxhash64(F.to_json("row"))]
+    turn = prefix_sums(ordered_parts(again, [*place, F.monotonically_increasing_id()], "mix-again"), F.lit(1), place, "turn", key)
+    part = F.floor(F.col("copies") / F.col("rows")) + (F.col("turn") < F.pmod(F.col("copies"), F.col("rows"))).cast("long")
+    return emitted(one).unionByName(emitted(turn.select("row", part.alias("copies"))))
 
 
 ORACLE = r"""

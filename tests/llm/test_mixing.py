@@ -49,3 +49,15 @@ def test_mixture_repeats_rows(odd_docs, no_docs):
     assert sorted(map(str, m.mix_documents(odd_docs).collect())) == sorted(map(str, mixed.collect()))
     assert {r["size"] for r in mixed.collect()} == {7}
     assert m.mixture_copies(no_docs).count() == 0 == m.mix_documents(no_docs).count()
+
+
+def test_any_column_names_and_repeated_rows(spark):
+    names = ("_source", "_part", "_base", "_copy", "part", "before", "copies", "id", "hash", "row", "rows", "copy", "turn")
+    rows = [(i % 40 if i % 5 else None, "w " * (1 + i % 3), "ab"[i % 2]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(7) for c in names})
+    mixed, copies = m.mix_documents(df), m.mixture_copies(df)
+    assert mixed.columns == df.columns
+    got = {tuple(r): n for *r, n in mixed.groupBy("doc_id", "source").count().collect()}
+    want = {tuple(r): n for *r, n in copies.groupBy("doc_id", "source").agg(F.sum("copies")).where("`sum(copies)` > 0").collect()}
+    assert got == want and {tuple(r) for r in mixed.select(*names).distinct().collect()} == {(7,) * len(names)}
+    assert sorted(map(str, m.mix_documents(df).collect())) == sorted(map(str, mixed.collect()))
