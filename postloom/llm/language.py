@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stored, text_batches
@@ -17,16 +18,13 @@ from ..storage import stored, text_batches
 _WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the n-grams, in the order in which they are asked.
 _ORDERS = (5, 4, 3, 2, 1)
-#: Words beside the model's that a worker remembers.
-_KEPT = 300_000
-#: Characters of a word that its n-grams come from; longer runs of letters are cut into words of this length.
-_LONGEST = 64
+#: N-gram numbers that a worker remembers for words outside the model; it starts anew beyond.
+_KEPT = 2_000_000
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters in lower case; a run of over 64 letters counts as several words."""
-    found = _WORD.findall(text.lower())
-    return found if max(map(len, found), default=0) <= _LONGEST else [w[i : i + _LONGEST] for w in found for i in range(0, len(w), _LONGEST)]
+    """Runs of letters in lower case."""
+    return _WORD.findall(text.lower())
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -35,72 +33,113 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def _hashes(strings: Iterable[str], n: int) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, map(str.encode, strings)), np.uint64, n).view(np.int64)
+
+
 def training_rows(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2, F.lit(True))
 
 
+@dataclass
+class Frequencies:
+    """Log frequencies by language of strings known by their 64-bit hash: what a language adds to its floor, where it has the string."""
+
+    keys: np.ndarray
+    starts: np.ndarray
+    langs: np.ndarray
+    gains: np.ndarray
+    floor: np.ndarray
+
+    @staticmethod
+    def of(keys: np.ndarray, langs: np.ndarray, counts: np.ndarray, n_langs: int) -> Frequencies:
+        """From a row for each string and language that has it; every count has one half added, absent ones too."""
+        order = np.lexsort((langs, keys))
+        keys, langs, counts = keys[order], langs[order], counts[order]
+        first = np.flatnonzero(np.r_[True, np.diff(keys) != 0]) if len(keys) else np.empty(0, np.int64)
+        total = np.bincount(langs, counts, n_langs) + 0.5 * len(first)
+        floor = np.log(0.5 / np.maximum(total, 0.5))
+        gains = np.log(counts + 0.5) - np.log(0.5)
+        return Frequencies(keys[first], np.r_[first, len(keys)], langs.astype(np.int32), gains.astype(np.float32), floor)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each string, -1 where it isn't known."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, at, -1)
+
+    def total(self, at: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The sum by language of the strings' log frequencies times their weights."""
+        size = self.starts[at + 1] - self.starts[at]
+        ends = np.cumsum(size)
+        rows = np.repeat(self.starts[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+        return np.bincount(self.langs[rows], self.gains[rows] * np.repeat(weights, size), len(self.floor)) + weights.sum() * self.floor
+
+
 @dataclass
 class LanguageModel:
-    """Log frequencies by language; bounded by the numbers of words, n-grams and languages it was fitted with."""
+    """Frequencies of words and n-grams; bounded by the texts it was fitted with, a row for each string and language that has it."""
 
     langs: list[str]
-    words: dict[str, int]
-    word_scores: np.ndarray
-    grams: dict[str, int]
-    gram_scores: np.ndarray
-    extra: dict[str, int] = field(default_factory=dict)
-    extra_scores: np.ndarray | None = None
-
-    def backoff(self, word: str) -> np.ndarray:
-        """Mean log frequency of the longest n-grams that the model knows, halved for each shorter length."""
-        for step, n in enumerate(_ORDERS):
-            known = [self.grams[g] for g in grams_of(word, n) if g in self.grams]
-            if known:
-                return self.gram_scores[known].mean(axis=0) * 0.5**step
-        return np.zeros(len(self.langs))
-
-    def _rows(self, words: list[str]) -> np.ndarray:
-        """A row of scores for each word: the model's, or those worked out for new words, which are remembered."""
-        known, extra = self.words, self.extra
-        if self.extra_scores is None:
-            self.extra_scores = np.zeros((_KEPT, len(self.langs)))
-        new = [w for w in set(words) if w not in known and w not in extra]
-        if len(extra) + len(new) > _KEPT:
-            extra.clear()
-            new = [w for w in set(words) if w not in known]
-        for w in new[:_KEPT]:
-            self.extra_scores[len(extra)] = self.backoff(w)
-            extra[w] = len(extra)
-        at = np.fromiter((known[w] if w in known else -1 - extra[w] if w in extra else 1 << 40 for w in words), np.int64, len(words))
-        out = np.empty((len(words), len(self.langs)))
-        out[at >= 0] = self.word_scores[np.where(at == 1 << 40, 0, at)[at >= 0]]
-        out[at < 0] = self.extra_scores[-1 - at[at < 0]]
-        for i in np.flatnonzero(at == 1 << 40).tolist():
-            out[i] = self.backoff(words[i])
-        return out
+    words: Frequencies
+    grams: Frequencies
+    known: dict[str, tuple[int, np.ndarray]] = field(default_factory=dict)
+    size: int = 0
+
+    def backoff(self, word: str) -> tuple[int, np.ndarray]:
+        """The step at which n-grams of the word are known, longest first, and their numbers."""
+        if word not in self.known:
+            found = (len(_ORDERS), np.empty(0, np.int64))
+            for step, n in enumerate(_ORDERS):
+                grams = grams_of(word, n)
+                at = self.grams.find(_hashes(grams, len(grams)))
+                if len(at := at[at >= 0]):
+                    found = (step, at)
+                    break
+            if self.size > _KEPT:
+                self.known.clear()
+                self.size = 0
+            self.known[word] = found
+            self.size += len(found[1]) + len(word) + 10
+        return self.known[word]
+
+    def totals(self, text: str) -> np.ndarray:
+        """Log likelihood by language: words by their frequency; of others the mean of their n-grams, halved for each shorter length."""
+        counts = Counter(words_of(text))
+        at = self.words.find(_hashes(counts, len(counts)))
+        n = np.fromiter(counts.values(), float, len(counts))
+        total = self.words.total(at[at >= 0], n[at >= 0])
+        places, weights = [], []
+        for word, known, times in zip(counts, (at >= 0).tolist(), n.tolist(), strict=True):
+            if not known:
+                step, grams = self.backoff(word)
+                places.append(grams)
+                weights.append(np.full(len(grams), times * 0.5**step / max(1, len(grams))))
+        if places:
+            total += self.grams.total(np.concatenate(places), np.concatenate(weights))
+        return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text or "")
-        if not words or not self.langs:
+        if not self.langs or not _WORD.search(text or ""):
             return "und", 0.0
-        total = np.zeros(len(self.langs))
-        for i in range(0, len(words), 100_000):
-            total += self._rows(words[i : i + 100_000]).sum(axis=0)
+        total = self.totals(text or "")
         p = np.exp(total - total.max())
         best = int(p.argmax())
         return self.langs[best], float(p[best] / p.sum())
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 2000, max_words: int = 30_000, max_grams: int = 30_000) -> LanguageModel:
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1000) -> LanguageModel:
     """Fit on about per_language texts of each language, those whose hash of the id is below its share.
 
     Only text and language of rows that aren't held out are read; rows with a null language or text teach nothing.
-    Of each language the max_words most frequent words that occur twice or more and max_grams n-grams of all
-    lengths stay; each language's frequencies are smoothed by one half count. The driver gets no more than
-    that. A language weighs what its words weigh, whatever its share of the documents.
+    All words of these texts and all n-grams of the words are in the model; each language's frequencies are
+    smoothed by one half count. A language weighs what its words weigh, whatever its share of the documents. The
+    driver gets a row for each string and language that has it, so the bound is per_language texts a language.
     """
     text_batches(docs.sparkSession)
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & training_rows(id_col)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & training_rows(id_col))
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     sizes = stored(rows.groupBy("lang").count(), "language-sizes")
     if sizes.count() <= 10_000:
         sizes = F.broadcast(sizes)  # else the join deals the texts by language
@@ -112,42 +151,36 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
         for b in batches:
             for lang, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 seen.setdefault(lang, Counter()).update(words_of(t.as_py()))
-        for lang, n in seen.items():
-            items = list(n.items())
-            for i in range(0, len(items), 50_000):
-                w, c = zip(*items[i : i + 50_000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(w)), pa.array(w), pa.array(c, pa.int64())], ["lang", "w", "n"])
-
-    words = stored(sample.mapInArrow(count, "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n")), "language-words")
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for b in batches:
-            for lang, w, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for lang, words in seen.items():
+            grams: Counter = Counter()
+            for w, n in words.items():
                 for k in _ORDERS:
                     for g in grams_of(w, k):
-                        seen[lang, g] += n
-        items = list(seen.items())
-        for i in range(0, len(items), 50_000):
-            keys, c = zip(*items[i : i + 50_000], strict=True)
-            lang, g = zip(*keys, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(g), pa.array(c, pa.int64())], ["lang", "g", "n"])
-
-    grams = words.mapInArrow(split, "lang string, g string, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
-    top = lambda c: F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), c))
-    word_rows = words.where("n > 1").withColumn("r", top("w")).where(F.col("r") <= max_words).select("lang", "w", "n").collect()
-    gram_rows = grams.withColumn("r", top("g")).where(F.col("r") <= max_grams).select("lang", "g", "n").collect()
-    langs = sorted({r["lang"] for r in word_rows} | {r["lang"] for r in gram_rows})
-
-    def scores(found: list, name: str) -> tuple[dict[str, int], np.ndarray]:
-        names = {w: i for i, w in enumerate(sorted({r[name] for r in found}))}
-        n = np.full((len(names), len(langs)), 0.5)
-        for r in found:
-            n[names[r[name]], langs.index(r["lang"])] += r["n"]
-        logs = np.log(n / n.sum(axis=0)) if len(names) else n
-        return names, logs
-
-    return LanguageModel(langs, *scores(word_rows, "w"), *scores(gram_rows, "g"))
+                        grams[g] += n
+            for kind, found in (("w", words), ("g", grams)):
+                keys, counts = _hashes(found, len(found)), np.fromiter(found.values(), np.int64, len(found))
+                for i in range(0, len(keys), 50_000):
+                    m = len(keys[i : i + 50_000])
+                    cols = [pa.array([lang] * m), pa.array([kind] * m), pa.array(keys[i : i + 50_000]), pa.array(counts[i : i + 50_000])]
+                    yield pa.RecordBatch.from_arrays(cols, ["lang", "kind", "key", "n"])
+
+    counted = sample.mapInArrow(count, "lang string, kind string, key long, n long")
+    counted = stored(counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "language-counts")
+    langs = sorted(r["lang"] for r in counted.select("lang").distinct().collect())
+    turn = {lang: i for i, lang in enumerate(langs)}
+
+    def frequencies(kind: str) -> Frequencies:
+        keys, names, counts = [], [], []
+        for b in counted.where(F.col("kind") == kind).select("key", "lang", "n").toArrow().to_batches():
+            own = b["lang"].dictionary_encode()
+            number = np.array([turn[x] for x in own.dictionary.to_pylist()] or [0], np.int64)
+            keys.append(b["key"].to_numpy())
+            names.append(number[own.indices.to_numpy()])
+            counts.append(b["n"].to_numpy())
+        join = lambda x: np.concatenate([np.empty(0, np.int64), *x])
+        return Frequencies.of(join(keys), join(names), join(counts), len(langs))
+
+    return LanguageModel(langs, frequencies("w"), frequencies("g"))
 
 
 _OUT = pa.struct([("lang", pa.string()), ("score", pa.float64())])

@@ -1,3 +1,10 @@
+import math
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+
 from postloom.llm import language as m
 
 
@@ -14,11 +21,50 @@ def test_predicts_held_out_rows(spark):
     assert model.predict("a" * 300)[0] in ("xx", "yy")
 
 
-def test_backoff_is_the_longest_known_gram(spark):
-    df = spark.createDataFrame([(0, "abcd abcd", "xx"), (1, "zzzz zzzz", "yy"), (4, "abcd", "xx"), (5, "zzzz", "yy")], "doc_id long, text string, lang string")
-    model = m.fit(df)
-    known = [g for g in m.grams_of("abcx", 4) if g in model.grams]
-    assert known and (model.backoff("abcx") == model.gram_scores[[model.grams[g] for g in known]].mean(axis=0) * 0.5).all()
+def brute_force(rows, text):
+    """Log likelihoods by plain dictionaries of strings; rows: (text, lang) that are learnt from."""
+    words, grams = defaultdict(Counter), defaultdict(Counter)
+    for t, lang in rows:
+        for w in m.words_of(t):
+            words[lang][w] += 1
+            for n in (5, 4, 3, 2, 1):
+                grams[lang].update(m.grams_of(w, n))
+    langs = sorted(words)
+
+    def logs(counts):
+        every = set().union(*counts.values())
+        total = {k: sum(counts[k].values()) + 0.5 * len(every) for k in langs}
+        return {x: np.array([math.log((counts[k][x] + 0.5) / total[k]) for k in langs]) for x in every}
+
+    of_word, of_gram = logs(words), logs(grams)
+    out = np.zeros(len(langs))
+    for w in m.words_of(text):
+        if w in of_word:
+            out += of_word[w]
+            continue
+        for step, n in enumerate((5, 4, 3, 2, 1)):
+            known = [of_gram[g] for g in m.grams_of(w, n) if g in of_gram]
+            if known:
+                out += np.mean(known, axis=0) * 0.5**step
+                break
+    return out
+
+
+def test_scores_are_those_of_brute_force(spark):
+    rng = random.Random(4)
+    word = lambda lang: "".join(rng.choice("aeiou" if lang == "xx" else "abcde") + rng.choice("klmn") for _ in range(rng.randrange(1, 5)))
+    rows = [(i, " ".join(word(k) for _ in range(12)), k) for i in range(60) for k in ("xx", "yy", "zz")]
+    rows = [(n, t, k) for n, (_, t, k) in enumerate(rows)]
+    model = m.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    learnt = [(t, k) for n, t, k in rows if zlib.crc32(str(n).encode()) % 4 != 2]
+    for text in ("akela imoni", "kalassa aka aka", "q", "a" * 300, " ".join(word("xx") for _ in range(50)), "ßß aka"):
+        assert np.allclose(model.totals(text), brute_force(learnt, text), atol=1e-3), text
+
+
+def test_many_languages_cost_a_row_for_each_string(spark):
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} common", f"l{i:03d}") for i in range(300)]
+    model = m.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) > 200 and len(model.words.gains) <= 2 * len(model.langs)
 
 
 def test_odd_rows(odd_docs, no_docs):
