@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -33,6 +34,32 @@ def test_tiles_equal_plain_ones():
         assert sorted(n for n, _, _ in got[0][3]) == sorted(want) if want else not got
 
 
+def test_repetitive_pairs_get_the_same_tiles():
+    rng = random.Random(6)
+    for _ in range(80):
+        alphabet = rng.choice(["a", "ab", "abcd"])
+        doc = np.array([ord(rng.choice(alphabet)) for _ in range(rng.randint(3, 60))], np.uint64)
+        item = np.array([ord(rng.choice(alphabet)) for _ in range(rng.randint(3, 30))], np.uint64)
+        got = m.tile_repetitive(doc, item, 3)
+        assert sorted(n for n, _, _ in got) == sorted(plain_tiles(doc.tolist(), item.tolist(), 3))
+        assert all((doc[i : i + n] == item[j : j + n]).all() for n, i, j in got)
+
+
+def test_a_page_of_one_word_takes_little_memory():
+    index = m.BenchmarkIndex([(1, "spam " * 2000), (2, "spam egg " * 300)], 5)
+    tracemalloc.start()
+    found = {o: matched for o, _, matched, _ in index.matches("spam " * 50_000)}
+    assert found == {1: 2000} and tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
+
+
+def test_short_items_are_found_whole(spark):
+    bench = spark.createDataFrame([(1, "quick brown fox"), (2, "zebra"), (3, "")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "a Quick, brown fox ran"), (2, "brown quick fox"), (3, "the zebra"), (4, "quick brown")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in m.contaminated_pairs(df, bench).collect()) == [(1, 1), (3, 2)]
+    assert sorted(r["doc_id"] for r in m.decontaminate(df, bench, block_chars=5).collect()) == [2, 4]
+
+
 def test_reordered_and_clean(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lam mu nu xi omicron pi rho sigma tau phi"
     w = item.split()
