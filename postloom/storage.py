@@ -6,17 +6,22 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_MADE: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that setting is absent (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that setting is absent and all runs on this machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="spark-postloom-")
@@ -25,7 +30,29 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of the shared folder that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _MADE:
+            _MADE.remove(path)
+
+
+def stored_alone(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> tuple[DataFrame, str]:
+    """The table that make returns, stored, and its path; the tables that make itself stored are deleted then."""
+    first = len(_MADE)
+    df = make()
+    inner = _MADE[first:]
+    out = stored(df, label)
+    path = _MADE[-1]
+    drop(spark, inner)
+    return out, path
 
 
 def text_batches(spark: SparkSession, rows: int = 500) -> None:
