@@ -11,7 +11,8 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import stored, text_batches
@@ -19,7 +20,7 @@ from ..storage import stored, text_batches
 #: Words are runs of letters, in lower case.
 _WORD = re.compile(r"[^\W\d_]+")
 #: Examples of a block.
-_BLOCK = 256
+_BLOCK = 512
 #: Lengths of the stems that stand beside words as terms.
 _STEMS = (5, 6, 7)
 
@@ -57,14 +58,14 @@ class ExampleIndex:
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_terms: int):
         self.labels, self.n = np.asarray(labels, float), len(vectors)
         self.n_blocks = -(-self.n // _BLOCK)
-        term = np.concatenate([t for t, _ in vectors] or [np.empty(0)]).astype(np.int64)
-        weight = np.concatenate([w for _, w in vectors] or [np.empty(0)]).astype(np.float32)
-        example = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors])
-        order = np.lexsort((example, term))
-        self.weight, self.example = weight[order], example[order].astype(np.int32)
-        part = term[order] * self.n_blocks + self.example // _BLOCK
-        ends = np.searchsorted(part, np.arange(n_terms * self.n_blocks + 1))
-        self.cuts = ends.astype(np.int32 if len(part) < 1 << 31 else np.int64)
+        term = np.concatenate([np.empty(0, np.int32), *[t.astype(np.int32) for t, _ in vectors]])
+        weight = np.concatenate([np.empty(0, np.float32), *[w.astype(np.float32) for _, w in vectors]])
+        example = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in vectors])
+        order = np.argsort(term, kind="stable")  # the examples of a term stay in order
+        self.weight, self.example = weight[order], example[order]
+        part = term[order].astype(np.int64) * self.n_blocks + self.example // _BLOCK
+        ends = np.cumsum(np.bincount(part, minlength=n_terms * self.n_blocks))
+        self.cuts = np.r_[0, ends].astype(np.int32 if len(part) < 1 << 31 else np.int64)
         self.most = np.zeros((n_terms, self.n_blocks), np.float32)
         np.maximum.at(self.most.reshape(-1), part, self.weight)
 
@@ -109,6 +110,16 @@ class ToxicityModel:
     index: ExampleIndex = field(default_factory=lambda: ExampleIndex([], np.empty(0), 0))
     ids: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
     steps: tuple[np.ndarray, np.ndarray] = (np.empty(0), np.empty(0))
+    sent: Broadcast | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"sent": None}
+
+    def broadcast(self, spark: SparkSession) -> Broadcast:
+        """Sent once; without what :attr:`steps` gets later."""
+        if self.sent is None:
+            self.sent = spark.sparkContext.broadcast(self)
+        return self.sent
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Known terms of a text and their weights, to length 1."""
@@ -206,7 +217,7 @@ def fit(
                 kin.append(min(map(xxhash.xxh64_intdigest, grams)) >> 1)
                 found, n = term_counts(t.as_py())
                 terms.append(found.tobytes())
-                counts.append(n.tobytes())
+                counts.append(n.astype(np.float32).tobytes())
             cols = [b["id"], b["y"], pa.array(kin, pa.int64()), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["id", "y", "kin", "terms", "counts"])
 
@@ -217,7 +228,7 @@ def fit(
     model = ToxicityModel(np.empty(0, np.int64), np.empty(0), base, k, power, prior)
     if not 0 < y.sum() < len(y):
         return model
-    vectors = [(np.frombuffer(r["terms"], np.int64), np.frombuffer(r["counts"])) for r in found]
+    vectors = [(np.frombuffer(r["terms"], np.int64), np.frombuffer(r["counts"], np.float32)) for r in found]
     terms = np.unique(np.concatenate([t for t, _ in vectors]))
     seen, n, has = set(), [0, 0], np.zeros((2, len(terms)))
     for r, (t, _) in zip(found, vectors, strict=True):
@@ -233,20 +244,20 @@ def fit(
     order = np.lexsort((np.arange(len(y)), heaviest, y))  # like examples share blocks
     model.index = ExampleIndex([vectors[i] for i in order], y[order], len(terms))
     model.ids = np.array([found[i]["id"] for i in order])
-    places = {int(i): at for at, i in enumerate(model.ids)}
-    sent = spark.sparkContext.broadcast((model, places))
+    del found, vectors
+    sent = model.broadcast(spark)
 
     def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, at = sent.value
+        m = sent.value
+        places = {int(i): at for at, i in enumerate(m.ids)}
         for b in batches:
             votes = []
             for i, t, c in zip(b["id"].to_pylist(), b["terms"].to_pylist(), b["counts"].to_pylist(), strict=True):
-                own = m.weighted(np.searchsorted(m.terms, np.frombuffer(t, np.int64)), np.frombuffer(c))
-                votes.append(m.vote(*m.index.search(*own, m.k, skip=at[i])))
+                own = m.weighted(np.searchsorted(m.terms, np.frombuffer(t, np.int64)), np.frombuffer(c, np.float32))
+                votes.append(m.vote(*m.index.search(*own, m.k, skip=places[i])))
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), b["y"]], ["vote", "y"])
 
     votes = ex.repartition(32, "id").mapInArrow(left_out, "vote double, y int").collect()
-    sent.unpersist()
     model.steps = _steps(np.array([r["vote"] for r in votes]), np.array([r["y"] for r in votes], float))
     return model
 
@@ -290,11 +301,12 @@ def toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", *, s
     empty ones among them, get the base rate and no evidence.
     """
     text_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, steps = model.broadcast(docs.sparkSession), model.steps
 
     @F.arrow_udf(_OUT_SQL)
     def score(texts: pa.Array) -> pa.Array:
         m, rows = sent.value, []
+        m.steps = steps
         for t in texts:
             s, near, cosines = m.score(t.as_py())
             shown_now = zip(near[:shown].tolist(), cosines[:shown].tolist(), strict=True)
