@@ -21,8 +21,10 @@ from ..storage import stored, text_batches
 _WORD = re.compile(r"[^\W\d_]+")
 #: Examples of a block.
 _BLOCK = 512
+#: Terms of more than this part of the examples are kept as rows; changes the work only.
+_OFTEN = 8
 #: Lengths of the stems that stand beside words as terms.
-_STEMS = (5, 6, 7)
+_STEMS = (5, 7)
 
 
 def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +54,8 @@ def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 class ExampleIndex:
     """Inverted lists over unit vectors, cut into blocks of example numbers; of each list and block the largest weight is kept.
 
-    The lists lie one after the other in flat arrays: ``cuts[t, b]`` is where the part of term t in block b starts.
+    The lists lie one after the other in flat arrays: ``cuts[t, b]`` is where the part of term t in block b starts. Terms
+    of more than an eighth of the examples have a row with a weight for each example in ``rows`` instead.
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n_terms: int):
@@ -61,16 +64,23 @@ class ExampleIndex:
         term = np.concatenate([np.empty(0, np.int32), *[t.astype(np.int32) for t, _ in vectors]])
         weight = np.concatenate([np.empty(0, np.float32), *[w.astype(np.float32) for _, w in vectors]])
         example = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in vectors])
+        self.most = np.zeros((n_terms, self.n_blocks), np.float32)
+        np.maximum.at(self.most.reshape(-1), term.astype(np.int64) * self.n_blocks + example // _BLOCK, weight)
+        often = np.flatnonzero(np.bincount(term, minlength=n_terms) > self.n / _OFTEN)
+        self.row = np.full(n_terms, -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), self.n), np.float32)
+        dense = self.row[term] >= 0
+        self.rows[self.row[term[dense]], example[dense]] = weight[dense]
+        term, weight, example = term[~dense], weight[~dense], example[~dense]
         order = np.argsort(term, kind="stable")  # the examples of a term stay in order
         self.weight, self.example = weight[order], example[order]
         part = term[order].astype(np.int64) * self.n_blocks + self.example // _BLOCK
         ends = np.cumsum(np.bincount(part, minlength=n_terms * self.n_blocks))
         self.cuts = np.r_[0, ends].astype(np.int32 if len(part) < 1 << 31 else np.int64)
-        self.most = np.zeros((n_terms, self.n_blocks), np.float32)
-        np.maximum.at(self.most.reshape(-1), part, self.weight)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(example, cosine) of the k examples of largest positive cosine with a unit query, ties to the smaller number.
+        """(example, cosine) of the k examples of largest positive cosine with a unit query, in millionths, ties to the smaller number.
 
         A block's bound is the sum of its lists' largest weights times the query's. Blocks are scored whole, from the
         largest bound down, until a bound is below the k-th cosine found; those left can't hold a nearer one.
@@ -79,18 +89,24 @@ class ExampleIndex:
         bound = weights @ self.most[terms]
         line = np.argsort(-bound, kind="stable")
         line = line[bound[line] > 0]
+        row = self.row[terms]
+        base = weights[row >= 0] @ self.rows[row[row >= 0]]
+        terms, weights = terms[row < 0], weights[row < 0]
         at, step = 0, 1
-        while at < len(line) and not (len(best) == k and bound[line[at]] < cosines[-1] - 1e-6):
-            place = terms[:, None] * self.n_blocks + np.sort(line[at : at + step])
+        while at < len(line) and not (len(best) == k and bound[line[at]] < cosines[-1] - 2e-6):
+            now = np.sort(line[at : at + step])
+            place = terms[:, None] * self.n_blocks + now
             start = self.cuts[place].ravel()
             size = self.cuts[place + 1].ravel() - start
             post = _spread(start, size)
             q = np.repeat(np.repeat(weights, place.shape[1]), size)
-            scores = np.bincount(self.example[post], q * self.weight[post], self.n)
+            scores = np.bincount(self.example[post], q * self.weight[post], self.n).astype(float)
+            for b in now.tolist():
+                scores[b * _BLOCK : (b + 1) * _BLOCK] += base[b * _BLOCK : (b + 1) * _BLOCK]
             if skip >= 0:
                 scores[skip] = 0
-            near = np.flatnonzero(scores > (cosines[-1] - 1e-9 if len(best) == k else 0))
-            best, cosines = np.concatenate([best, near]), np.concatenate([cosines, scores[near].round(9)])
+            near = np.flatnonzero(scores > (cosines[-1] - 2e-6 if len(best) == k else 1e-9))
+            best, cosines = np.concatenate([best, near]), np.concatenate([cosines, scores[near].round(6)])
             top = np.lexsort((best, -cosines))[:k]
             best, cosines = best[top], cosines[top]
             at, step = at + step, 2 * step

@@ -22,7 +22,7 @@ def test_block_max_search_is_brute_force():
     index = m.ExampleIndex(vectors, np.zeros(1700), 12)
     for _ in range(60):
         q = dict(zip(*some(), strict=True))
-        scores = [(round(sum(q.get(t, 0) * float(np.float32(w)) for t, w in zip(*v, strict=True)), 9), e) for e, v in enumerate(vectors)]
+        scores = [(round(sum(q.get(t, 0) * float(np.float32(w)) for t, w in zip(*v, strict=True)), 6), e) for e, v in enumerate(vectors)]
         want = sorted([x for x in scores if x[0] > 0], key=lambda x: (-x[0], x[1]))[:15]
         got, cosines = index.search(np.array(list(q)), np.array(list(q.values())), 15)
         assert got.tolist() == [e for _, e in want] and np.allclose(cosines, [c for c, _ in want])
@@ -39,7 +39,7 @@ def test_score_is_the_vote_of_a_brute_force_search(spark):
     def bag(text):
         n = Counter(re.findall(r"[a-z]+", text))
         for w, c in list(n.items()):
-            for k in (5, 6, 7):
+            for k in (5, 7):
                 if len(w) > k:
                     n[w[:k] + "+"] += c
         return n
