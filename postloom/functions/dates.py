@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import meaningful
+from .text import let, meaningful
 
 TZ = "Asia/Seoul"
+# The notations of dates that listings use.
 _FULL = r"(?:^|\D)((?:19|20)\d{2})\s*(?:[./-]|년\s*)\s*(\d{1,2})\s*(?:[./-]|월\s*)\s*(\d{1,2})(?:\s*일)?"
 _SHORT_YEAR = r"(?:^|\D)(\d{2})\s*[./-]\s*(\d{1,2})\s*[./-]\s*(\d{1,2})(?:\D|$)"
 _MONTH_DAY = r"(?:^|[^\d])([01]?\d)\s*[./-]\s*([0-3]?\d)(?:\D|$)"
@@ -41,25 +42,35 @@ def _in_year(text: Column, year: Column) -> Column:
 
 def parse_published(raw: Column, observed: Column, *, tz: str = TZ, compose: bool = False) -> Column:
     """(date, kind). Relative words count from the day of observation; a month and day lie at most 7 days ahead, else a year back."""
-    text, today = meaningful(raw, compose=compose), local_day(observed, tz)
-    days = F.when(text.rlike("그제|그저께"), -2).when(text.rlike("어제"), -1).when(text.rlike(r"오늘|방금|\d+\s*(?:분|시간)\s*전"), 0).otherwise(-_group(text, r"(\d+)\s*일\s*전", 1).try_cast("int"))
-    this = _in_year(text, F.year(today))
-    back = F.when(this > F.date_add(today, 7), _in_year(text, F.year(today) - 1)).otherwise(this)
-    stamp = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T"), local_day(F.try_to_timestamp(text), tz))
-    date = F.coalesce(stamp, _dated(text, back))
-    kind = F.when(days.isNotNull(), "relative").when(date.isNotNull(), "explicit").otherwise("unknown")
-    return F.struct(F.when(days.isNotNull(), F.date_add(today, days)).otherwise(date).alias("date"), kind.alias("kind"))
+
+    def read(text: Column, today: Column) -> Column:
+        ago = -_group(text, r"(\d+)\s*일\s*전", 1).try_cast("int")
+        days = F.when(text.rlike("그제|그저께"), -2).when(text.rlike("어제"), -1).when(text.rlike(r"오늘|방금|\d+\s*(?:분|시간)\s*전"), 0).otherwise(ago)
+        late = lambda this: F.when(this > F.date_add(today, 7), _in_year(text, F.year(today) - 1)).otherwise(this)
+        stamp = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}T"), local_day(F.try_to_timestamp(text), tz))
+        date = F.coalesce(stamp, _dated(text, let(_in_year(text, F.year(today)), late)))
+        relative = lambda days: F.struct(F.date_add(today, days).alias("date"), F.lit("relative").alias("kind"))
+        explicit = lambda date: F.struct(date.alias("date"), F.when(date.isNotNull(), "explicit").otherwise("unknown").alias("kind"))
+        return let(days, lambda days: F.when(days.isNotNull(), relative(days)).otherwise(let(date, explicit)))
+
+    return let(meaningful(raw, compose=compose), lambda text: let(local_day(observed, tz), lambda today: read(text, today)))
 
 
 def parse_deadline(raw: Column, observed: Column, *, tz: str = TZ, compose: bool = False) -> Column:
     """(date, kind): always open, until filled, fixed or unknown; a month and day lie within 180 days."""
-    text, today = meaningful(raw, compose=compose), local_day(observed, tz)
-    days = F.when(text.rlike("오늘"), 0).when(text.rlike("내일"), 1).otherwise(_group(text, r"(?i)D\s*-\s*(\d+)", 1).try_cast("int"))
-    this = _in_year(text, F.year(today))
-    near = F.when(this < F.date_sub(today, 180), _in_year(text, F.year(today) + 1)).when(this > F.date_add(today, 180), _in_year(text, F.year(today) - 1)).otherwise(this)
-    open_kind = F.when(text.contains("상시"), "always").when(text.rlike(r"채용\s*시"), "until-filled")
-    date = F.when(open_kind.isNull(), F.coalesce(F.date_add(today, days), _dated(text, near)))
-    return F.struct(date.alias("date"), F.coalesce(open_kind, F.when(date.isNotNull(), "fixed"), F.lit("unknown")).alias("kind"))
+
+    def read(text: Column, today: Column) -> Column:
+        left = _group(text, r"(?i)D\s*-\s*(\d+)", 1).try_cast("int")
+        days = F.when(text.rlike("오늘"), 0).when(text.rlike("내일"), 1).otherwise(left)
+        last, following = _in_year(text, F.year(today) - 1), _in_year(text, F.year(today) + 1)
+        near = lambda this: F.when(this < F.date_sub(today, 180), following).when(this > F.date_add(today, 180), last).otherwise(this)
+        open_kind = F.when(text.contains("상시"), "always").when(text.rlike(r"채용\s*시"), "until-filled")
+        date = F.coalesce(F.date_add(today, days), _dated(text, let(_in_year(text, F.year(today)), near)))
+        opened = lambda kind: F.struct(F.lit(None).cast("date").alias("date"), kind.alias("kind"))
+        dated = lambda date: F.struct(date.alias("date"), F.when(date.isNotNull(), "fixed").otherwise("unknown").alias("kind"))
+        return let(open_kind, lambda kind: F.when(kind.isNotNull(), opened(kind)).otherwise(let(date, dated)))
+
+    return let(meaningful(raw, compose=compose), lambda text: let(local_day(observed, tz), lambda today: read(text, today)))
 
 
 def deadline_state(date: Column, kind: Column, today: Column, *, soon: int = 3) -> Column:

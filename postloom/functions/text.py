@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -36,6 +36,11 @@ def nfkc(c: Column) -> Column:
     return F.arrow_udf(_composed, "string")(c)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once, however often ``use`` names it; branches would work it out each again."""
+    return F.transform(F.array(value), use)[0]
+
+
 def clean_text(c: Column, *, compose: bool = True) -> Column:
     """Composed, without zero-width characters, white space squeezed and trimmed; null becomes empty.
 
@@ -49,8 +54,7 @@ def clean_text(c: Column, *, compose: bool = True) -> Column:
 
 def meaningful(c: Column, preset: str = "listing", *, compose: bool = False) -> Column:
     """The cleaned text, or null where it says nothing."""
-    text = clean_text(c, compose=compose)
-    return F.when(~text.rlike(UNKNOWN[preset]), text)
+    return let(clean_text(c, compose=compose), lambda text: F.when(~text.rlike(UNKNOWN[preset]), text))
 
 
 def compact_key(c: Column, *, compose: bool = False) -> Column:
@@ -87,22 +91,36 @@ def title_key(title: Column, company: Column, *, compose: bool = False) -> Colum
     for pattern, to in ((LEGAL_NAMES, ""), ("촉탁직", "촉탁"), ("신입경력|경력무관", ""), (HIRING_WORDS, ""), ("채$", "")):
         t = F.regexp_replace(t, pattern, to)
     own = F.filter(company_tokens(company, compose=compose), lambda x: F.length(x) > 1)
-    bare = F.aggregate(own, t, lambda acc, x: F.replace(acc, x, F.lit("")))
-    return F.when(bare != "", bare).otherwise(t)
+    without = lambda t: F.aggregate(own, t, lambda acc, x: F.replace(acc, x, F.lit("")))
+    return let(t, lambda t: let(without(t), lambda bare: F.when(bare != "", bare).otherwise(t)))
 
 
 def dedupe_key(company: Column, title: Column, source: Column, row_id: Column, *, compose: bool = False) -> Column:
     """Company and title, or source and id where the company is only a placeholder."""
+    clean = lambda c: clean_text(c, compose=compose)
     c, t = company_key(company, compose=compose), title_key(title, company, compose=compose)
-    own = F.concat_ws(":", F.lit("source"), clean_text(source, compose=compose), clean_text(row_id, compose=compose))
-    return F.when((c == "") | (t == "") | c.rlike(PLACEHOLDER_COMPANY), own).otherwise(F.concat_ws(":", c, t))
+    return let(c, lambda c: let(t, lambda t: key_of(c, t, clean(source), clean(row_id)))) if not compose else key_of(c, t, clean(source), clean(row_id))
+
+
+def key_of(company_key: Column, title_key: Column, source: Column, row_id: Column) -> Column:
+    """P7 from keys and cleaned text."""
+    own = F.concat_ws(":", F.lit("source"), source, row_id)
+    nameless = (company_key == "") | (title_key == "") | company_key.rlike(PLACEHOLDER_COMPANY)
+    return F.when(nameless, own).otherwise(F.concat_ws(":", company_key, title_key))
 
 
 def dedupe_keys(company: Column, title: Column, *, compose: bool = False) -> Column:
     """All keys under which a row may meet another: both forms of the company with the title."""
-    t = title_key(title, company, compose=compose)
-    names = F.filter(F.array_distinct(F.array(company_key(company, compose=compose), company_compact_key(company, compose=compose))), lambda c: (c != "") & ~c.rlike(PLACEHOLDER_COMPANY))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.transform(names, lambda c: F.concat_ws(":", c, t)))
+    names = company_key(company, compose=compose), company_compact_key(company, compose=compose)
+    return keys_of(*names, title_key(title, company, compose=compose))
+
+
+def keys_of(company_key: Column, compact_key: Column, title_key: Column) -> Column:
+    """All keys, from the parts."""
+    known = lambda c: (c != "") & ~c.rlike(PLACEHOLDER_COMPANY)
+    names = F.filter(F.array_distinct(F.array(company_key, compact_key)), known)
+    none = F.array().cast("array<string>")
+    return let(title_key, lambda t: F.when(t == "", none).otherwise(F.transform(names, lambda c: F.concat_ws(":", c, t))))
 
 
 def first_label(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
@@ -117,7 +135,7 @@ def all_labels(text: Column, rules: Sequence[tuple[str, str]]) -> Column:
 
 def region_code(c: Column, *, compose: bool = False) -> Column:
     """The code of the first region in list order that the text names."""
-    return first_label(meaningful(c, compose=compose), REGIONS)
+    return let(meaningful(c, compose=compose), lambda text: first_label(text, REGIONS))
 
 
 def location_parts(c: Column, *, compose: bool = False) -> Column:
@@ -129,10 +147,9 @@ def location_parts(c: Column, *, compose: bool = False) -> Column:
 
 def employment_type(c: Column, *, strict_regular: bool = False, compose: bool = False) -> Column:
     """Labels joined by a dot, else the text itself. Unless strict, a text with 비정규직 counts as 정규직 too."""
-    text = meaningful(c, compose=compose)
     rules = [(("(?<!비)정규직" if strict_regular else p) if v == "정규직" else p, v) for p, v in EMPLOYMENT]
-    found = all_labels(text, rules)
-    return F.when(F.size(found) > 0, F.array_join(found, "·")).otherwise(text)
+    said = lambda text: let(all_labels(text, rules), lambda found: F.when(F.size(found) > 0, F.array_join(found, "·")).otherwise(text))
+    return let(meaningful(c, compose=compose), said)
 
 
 def employment_display(*fields: Column, compose: bool = False) -> Column:
@@ -144,8 +161,9 @@ def employment_display(*fields: Column, compose: bool = False) -> Column:
 
 def experience_level(c: Column, *, compose: bool = False) -> Column:
     """Open to all, newcomer, experienced, or the text itself."""
-    text = meaningful(c, compose=compose)
-    return F.when(text.rlike(r"경력\s*무관|신입\s*·?\s*경력|신입\s*/\s*경력"), "경력무관").when(text.rlike("신입|졸업예정"), "신입").when(text.rlike(r"경력|\d+\s*년"), "경력").otherwise(text)
+    either, none, some = r"경력\s*무관|신입\s*·?\s*경력|신입\s*/\s*경력", "신입|졸업예정", r"경력|\d+\s*년"
+    level = lambda text: F.when(text.rlike(either), "경력무관").when(text.rlike(none), "신입").when(text.rlike(some), "경력").otherwise(text)
+    return let(meaningful(c, compose=compose), level)
 
 
 def years_required(c: Column) -> Column:

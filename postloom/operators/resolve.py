@@ -70,13 +70,14 @@ def normalize_postings(raw: DataFrame, seen: DataFrame | None = None, *, now: Co
         "published_at": F.col("_published.date"), "published_kind": F.col("_published.kind"),
         "region_code": text.region_code(F.col("region"), compose=compose), "employment_type": text.employment_type(F.col("employment"), compose=compose), "experience_level": text.experience_level(F.col("experience"), compose=compose),
         "company_key": text.company_key(F.col("company"), compose=compose), "title_key": text.title_key(F.col("title"), F.col("company"), compose=compose),
-        "dedupe_key": text.dedupe_key(F.col("company"), F.col("title"), F.col("source"), F.col("id"), compose=compose), "dedupe_keys": text.dedupe_keys(F.col("company"), F.col("title"), compose=compose),
-        "_role": role,
+        "_compact": text.company_compact_key(F.col("company"), compose=compose), "_role": role,
     })
+    keys = text.keys_of(F.col("company_key"), F.col("_compact"), F.col("title_key"))
+    df = df.withColumns({"dedupe_key": text.key_of(F.col("company_key"), F.col("title_key"), F.col("source"), F.col("id")), "dedupe_keys": keys})
     df = df.withColumn("deadline", F.when((F.col("deadline_kind") == "unknown") & F.col("deadline").rlike(r"^\d+$"), "원문 확인").otherwise(F.col("deadline")))
     state = dates.deadline_state(F.col("deadline_at"), F.col("deadline_kind"), dates.local_day(F.col("last_seen_at"), tz))
     df = df.withColumns({"role_tags": F.col("_role.tags"), "confidence_reasons": F.col("_role.reasons"), "needs_review": F.col("_role.needs_review"), "_state": state})
-    return df.withColumns({"deadline_status": F.col("_state.status"), "days_remaining": F.col("_state.days"), "collected_at": F.col("last_seen_at")}).drop("_supplied", "_parsed", "_published", "_role", "_state")
+    return df.withColumns({"deadline_status": F.col("_state.status"), "days_remaining": F.col("_state.days"), "collected_at": F.col("last_seen_at")}).drop("_supplied", "_parsed", "_published", "_role", "_state", "_compact")
 
 
 def link_postings(norm: DataFrame, *, general: Sequence[str] = GENERAL_SOURCES, max_gap: int = 7) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,21 +144,23 @@ def sliding_admission(events: DataFrame, *, key: str, at: str, limit: int, secon
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now_key, times = object(), []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now_key, times = None, []
         for b in batches:
             flags = []
-            for k, t in zip(b[key], b[at], strict=True):
+            for k, t in zip(b["_key"].to_pylist(), b[at].to_pylist(), strict=True):
                 if k != now_key:
                     now_key, times = k, []
                 times = [x for x in times if (t - x).total_seconds() < seconds]
                 flags.append(len(times) < limit)
                 if flags[-1]:
                     times.append(t)
-            yield b.assign(admitted=flags)
+            own = [c for c in b.schema.names if c != "_key"]
+            yield pa.RecordBatch.from_arrays([*[b[c] for c in own], pa.array(flags, pa.bool_())], [*own, "admitted"])
 
-    dealt = events.repartition(F.col(key)).sortWithinPartitions(key, at, tie)
-    return dealt.mapInPandas(run, f"{fields}, admitted boolean")
+    named = events.withColumn("_key", F.to_json(F.struct(F.col(key).alias("k"))))  # a null key is a key of its own
+    dealt = named.repartition("_key").sortWithinPartitions("_key", at, tie)
+    return dealt.mapInArrow(run, f"{fields}, admitted boolean")
 
 
 def rate_view(events: DataFrame, *, key: str, at: str, seconds: int) -> DataFrame:

@@ -345,7 +345,7 @@ def application_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'g'), '(?i)</?(?:nav|ul|li|div|article|h1|p|br|footer)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS x FROM pages),
-u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS x FROM t)
+u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(replace(replace(x, chr(160), ' '), '&nbsp;', ' '), '&copy;', chr(169)), '&middot;', chr(183)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS x FROM t)
 SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '[ \t\r\f\v]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM u"""
 )
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,13 +214,16 @@ def extract_jsonld(pages: DataFrame, *, body: str = "body") -> DataFrame:
     return pages.withColumn("posting", F.from_json(F.arrow_udf(_jsonld, "string")(F.col(body)), schema))
 
 
+def _referenced(texts: pa.Array) -> pa.Array:
+    return pa.array([t if t is None else (html.unescape(t) if "&" in t else t).replace("\xa0", " ") for t in texts.to_pylist()], pa.string())
+
+
 def html_to_text(c: Column, *, length: int | None = None) -> Column:
-    """The text of a page, without a parser: silent elements go, block elements end a line, at most one empty line in between."""
+    """The text of a page, without a parser: silent elements go, block elements end a line, character references are decoded, at most one empty line in between."""
     t = F.regexp_replace(c, r"(?is)<(script|style|noscript|svg|template)\b.*?</\1\s*>|<!--.*?-->", " ")
     t = F.regexp_replace(t, r"(?i)<(?:" + "|".join(sorted(_BLOCKS)) + r")\b[^>]*>|</(?:" + "|".join(sorted(_BLOCKS)) + r")\s*>", "\n")
     t = F.regexp_replace(t, r"<[^>]*>", "")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        t = F.replace(t, F.lit(name), F.lit(char))
+    t = F.arrow_udf(_referenced, "string")(t)
     t = F.regexp_replace(F.regexp_replace(t, r"[^\S\n]+", " "), r" ?\n ?", "\n")
     t = F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
     return F.substring(t, 1, length) if length else t

@@ -35,3 +35,32 @@ def test_details(spark):
     assert t["department"] == "병동" and t["conditions"] is None and t["notes"] == "3교대인 경우 수당"
     d = sections.finalize_detail(spark.createDataFrame([(1, "-", "공고", "t"), (2, "간호", None, "t")], "k int, duties string, description string, title string"), ["duties"]).orderBy("k").collect()
     assert [x["verified"] for x in d] == [False, True] and d[0]["duties"] is None
+
+
+def test_null_keys_share_a_window(spark):
+    from postloom.operators import userstate
+
+    for kind in ("long", "string"):
+        df = spark.createDataFrame([(None, i) for i in range(6)], f"k {kind}, s long").withColumn("at", F.timestamp_seconds("s"))
+        out = userstate.sliding_admission(df, key="k", at="at", limit=2, seconds=60, tie="s")
+        assert [r["admitted"] for r in out.orderBy("s").collect()] == [True, True, False, False, False, False]
+        assert out.schema["k"].dataType == df.schema["k"].dataType
+
+
+def test_all_references_are_decoded(spark):
+    from postloom.sources import extract
+
+    df = spark.createDataFrame([("<p>&copy; 2020 &middot; caf&eacute; &#8217;x&#x41;&nbsp;y</p>",), (None,)], "h string")
+    got = [r["t"] for r in df.select(extract.html_to_text(F.col("h")).alias("t")).collect()]
+    assert got == ["© 2020 · café ’xA y", None]
+
+
+def test_safety_certificates_alone_bar_a_nurse(spark):
+    from postloom.operators import classify
+
+    row = [("보건관리자 모집", "산업안전기사 필수"), ("간호사 모집", "간호사 면허 소지자")]
+    df = spark.createDataFrame(row, "title string, qualifications string")
+    out = classify.application_tier(classify.with_facets(df), today=F.lit("2026-07-11").cast("date")).collect()
+    by_title = {r["title"]: r for r in out}
+    assert "간호사 면허만으로 지원 불가" in by_title["보건관리자 모집"]["tier_cautions"]
+    assert "간호사 면허만으로 지원 불가" not in by_title["간호사 모집"]["tier_cautions"]
