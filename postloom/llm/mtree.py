@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranks import ordered_parts, prefix_sums
 from ..storage import stored
 
 #: Entries of a page, children of a routing page.
@@ -64,15 +65,45 @@ def build_pages(vectors: np.ndarray, lift: np.ndarray) -> list[dict]:
     return pages
 
 
-def search_pages(pages: list[dict], vectors: np.ndarray, norms: float, ids: list[list[int]], query: np.ndarray, k: int, worst: int | None) -> list[tuple[int, int]]:
-    """The k (score, id) of largest inner product with query, ties to the smaller id; those below ``worst`` may be missing.
-
+def exact_products(rows: np.ndarray, query: np.ndarray) -> list[int]:
+    """Inner products of integer rows with an integer query, exact whatever their size; what a long can't hold becomes its limit."""
+    if not len(rows):
+        return []
+    most = float(np.abs(query.astype(float)).sum()) * float(np.abs(rows.astype(float)).max())
+    if most < 2**53:
+        return (rows.astype(float) @ query.astype(float)).astype(np.int64).tolist()
+    if most < 2**62:
+        return (rows @ query).tolist()
+    q = query.tolist()
+    return [max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(r, q, strict=True)))) for r in rows.tolist()]
+
+
+def _best(found: list[tuple[int, int]], k: int, each: int) -> list[tuple[int, int]]:
+    """The k (score, id) that come first, at most ``each`` of one id."""
+    out, seen = [], {}
+    for s, i in sorted(found, key=lambda x: (-x[0], x[1])):
+        if seen.get(i, 0) < each:
+            seen[i] = seen.get(i, 0) + 1
+            out.append((s, i))
+            if len(out) == k:
+                break
+    return out
+
+
+def search_pages(
+    pages: list[dict], vectors: np.ndarray, norms: float, ids: list[list[int]], query: np.ndarray, k: int, worst: int | None, each: int | None = None
+) -> list[tuple[int, int]]:
+    """The k (score, id) of largest inner product with query, at most ``each`` of one id, ties to the smaller id; those below ``worst`` may be missing.
+
+    vectors and query are integers: bounds are worked out in floating point with some slack, scores exactly.
     norms is the square of all objects' length with their last component.
     Pages wait in order of the least distance that an object below them can have. A routing or leaf entry whose stored distance to
     the object above differs too much from the query's own distance to it can't hold a nearer one and is passed
     over before its distance is worked out.
     """
+    whole, query = query, query.astype(float)
     q2 = float(query @ query)
+    each = each or k
     top: list[tuple[int, int]] = []
     limit = np.inf if worst is None else _reach(q2, norms, worst)
     slack = 1e-7 * (1 + np.sqrt(q2 + norms))
@@ -91,14 +122,14 @@ def search_pages(pages: list[dict], vectors: np.ndarray, norms: float, ids: list
             keep = np.arange(len(rows))
         if not len(rows):
             continue
-        score = vectors[rows] @ query
+        score = vectors[rows].astype(float) @ query
         dist = np.sqrt(np.maximum(0.0, q2 + norms - 2 * score))
         if p["leaf"]:
             near = np.flatnonzero(dist <= limit + slack)
             if not len(near):
                 continue
-            found = [(int(round(float(score[j]))), i) for j in near for i in ids[rows[j]]]
-            top = heapq.nsmallest(k, [*top, *found], key=lambda x: (-x[0], x[1]))
+            products = exact_products(vectors[rows[near]], whole)
+            top = _best([*top, *[(s, i) for j, s in zip(near, products, strict=True) for i in ids[rows[j]]]], k, each)
             if len(top) == k:
                 limit = min(limit, _reach(q2, norms, top[-1][0]))
         else:
@@ -113,6 +144,11 @@ def _reach(q2: float, norms: float, score: int) -> float:
     return float(np.sqrt(max(0.0, q2 + norms - 2 * score)))
 
 
+def _numbered(roots: DataFrame) -> DataFrame:
+    order = [F.col("tree")]
+    return prefix_sums(ordered_parts(roots, order, "mtree-order"), F.lit(1), order, "n").drop("part")
+
+
 _PAGE_SQL = "tree long, page int, leaf boolean, rows binary, over binary, radius binary, child binary, vectors binary, ids array<array<long>>, head binary, cover double, n int, dim int"
 
 
@@ -126,25 +162,29 @@ def top_k(df: DataFrame, *, queries: Column, id_col: str = "vec_id", vec_col: st
     Scores are inner products of the vectors floor(scale * x); ties go to the smaller id; fewer rows than k give all. One more
     component, the root of what a vector's square lacks to the largest, makes all vectors as long as each other, so the
     nearest by distance are the largest by inner product, and M-trees apply. Equal vectors are one object with their
-    k + 1 smallest ids: others can't come into any result, so a large group of copies is one entry. Objects are dealt
+    k + 1 smallest ids, up to k rows of each: others can't come into any result, so a large group of copies is one entry.
+    A search keeps 2 k rows, at most k of one id, so k are left whichever id asks. Objects are dealt
     to the nearest of some spread objects and, where more than about tree_size gather, by hash; each part becomes one
     tree, whose pages are written. A query first searches the tree with the nearest root, then those whose covering
     radius lets them hold something as near as what it has. Roots go out in blocks of root_block, so the broadcast
     is bounded.
 
     Rows with a null id, vector or component or a non-finite one take no part; shorter vectors count as filled up with zeros;
-    repeated ids are rows of their own and don't find themselves by that id; an empty table gives no rows.
+    repeated ids are rows of their own and don't find themselves by that id; an empty table gives no rows. Components beyond a long
+    count as its limits, and so do scores; up to there they are exact.
     """
     spark = df.sparkSession
     base = stored(integer_vectors(df, id_col, vec_col, queries, scale), "mtree-vectors")
-    facts = base.agg(F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)).alias("most"), F.count("*").alias("n")).first()
+    facts = base.agg(F.max(F.size("v")).alias("dim"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("most"), F.count("*").alias("n")).first()
     out = "query_id long, rank int, vec_id long, score long"
     if not facts["n"] or not facts["dim"]:
         return spark.createDataFrame([], out)
     dim, most = int(facts["dim"]), float(facts["most"])
     base = base.select("id", "asks", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(dim) - F.size("v"))).alias("v"))
     first = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    objects = stored(base.withColumn("r", first).where(F.col("r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "mtree-objects")
+    held = base.groupBy("v", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times")).withColumn("r", first).where(F.col("r") <= k + 1)
+    objects = held.groupBy("v").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("id", "times"))), lambda x: F.array_repeat(x["id"], x["times"]))).alias("ids"))
+    objects = stored(objects, "mtree-objects")
     n = objects.count()
     n_heads = max(1, min(1024, -(-n // tree_size)))
     heads = np.array([r["v"] for r in objects.orderBy(F.xxhash64("v"), "v").limit(n_heads).collect()], float)
@@ -166,7 +206,8 @@ def top_k(df: DataFrame, *, queries: Column, id_col: str = "vec_id", vec_col: st
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ids", key=lambda s: s.map(lambda x: x[0]))
-        v = np.array(pdf.v.tolist(), float)
+        whole = np.array(pdf.v.tolist(), np.int64)
+        v = whole.astype(float)
         lift, ids = lifted(v), pdf.ids.tolist()
         pages = build_pages(v, lift)
         head = v.mean(axis=0)
@@ -175,14 +216,14 @@ def top_k(df: DataFrame, *, queries: Column, id_col: str = "vec_id", vec_col: st
         rows = []
         for i, p in enumerate(pages):
             none = np.empty(0)
-            rows.append((pdf.tree.iloc[0], i, p["leaf"], _pack(p["rows"].astype("i8")), _pack(p["over"]), _pack(p.get("radius", none)), _pack(p.get("child", none).astype("i8")), _pack(v[p["rows"]]), [list(ids[j]) for j in p["rows"]] if p["leaf"] else [], _pack(np.append(head, up)), cover, len(v), dim))
+            rows.append((pdf.tree.iloc[0], i, p["leaf"], _pack(p["rows"].astype("i8")), _pack(p["over"]), _pack(p.get("radius", none)), _pack(p.get("child", none).astype("i8")), _pack(whole[p["rows"]]), [list(ids[j]) for j in p["rows"]] if p["leaf"] else [], _pack(np.append(head, up)), cover, len(v), dim))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in _PAGE_SQL.split(", ")])
 
     trees = stored(by_tree.groupBy("tree").applyInPandas(build, _PAGE_SQL), "mtree-pages")
 
     asked = base.where("asks")
     wanted = stored(asked.groupBy("v").agg(F.min("id").alias("q")), "mtree-queries")
-    roots = stored(trees.where("page = 0").select("tree", "head", "cover").withColumn("block", F.floor(F.row_number().over(Window.orderBy("tree")) / root_block)), "mtree-roots")
+    roots = stored(trees.where("page = 0").select("tree", "head", "cover").transform(_numbered).withColumn("block", F.floor(F.col("n") / root_block)), "mtree-roots")
     blocks = [r["block"] for r in roots.select("block").distinct().orderBy("block").collect()]
 
     def root_block_of(b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,10 +259,10 @@ def top_k(df: DataFrame, *, queries: Column, id_col: str = "vec_id", vec_col: st
         if not len(pages) or not len(asked):
             return pd.DataFrame({"q": [], "score": [], "id": []}, dtype="int64")
         total = int(pages.n.iloc[0])
-        v, ids, whole = np.zeros((total, dim)), [[]] * total, []
+        v, ids, whole = np.zeros((total, dim), np.int64), [[]] * total, []
         for p in pages.sort_values("page").itertuples():
             rows = np.frombuffer(p.rows, "i8")
-            v[rows] = np.frombuffer(p.vectors).reshape(-1, dim)
+            v[rows] = np.frombuffer(p.vectors, np.int64).reshape(-1, dim)
             if p.leaf:
                 for j, own in zip(rows.tolist(), p.ids, strict=True):
                     ids[j] = list(own)
@@ -229,7 +270,7 @@ def top_k(df: DataFrame, *, queries: Column, id_col: str = "vec_id", vec_col: st
         rows = []
         for a in asked.itertuples():
             worst = None if pd.isna(a.worst) else int(a.worst)
-            rows += [(a.q, s, i) for s, i in search_pages(whole, v, most, ids, np.array(a.v, float), k + 1, worst)]
+            rows += [(a.q, s, i) for s, i in search_pages(whole, v, most, ids, np.array(a.v, np.int64), 2 * k, worst, k)]
         return pd.DataFrame(rows, columns=["q", "score", "id"], dtype="int64")
 
     def searched(visits: DataFrame) -> DataFrame:
@@ -248,7 +289,7 @@ def top_k(df: DataFrame, *, queries: Column, id_col: str = "vec_id", vec_col: st
     home = stored(home.groupBy("q").agg(F.first("v").alias("v"), F.min_by("tree", F.struct("d", "tree")).alias("home")), "mtree-home")
     near = searched(home.select(F.col("home").alias("tree"), "q", "v", F.lit(None).cast("long").alias("worst")))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    worst = near.withColumn("r", F.row_number().over(order)).where(F.col("r") == k + 1).select("q", F.col("score").alias("worst"))
+    worst = near.withColumn("r", F.row_number().over(order)).where(F.col("r") == 2 * k).select("q", F.col("score").alias("worst"))
     known = stored(home.join(worst, "q", "left"), "mtree-known")
     more = None
     for b in blocks:
@@ -256,7 +297,9 @@ def top_k(df: DataFrame, *, queries: Column, id_col: str = "vec_id", vec_col: st
         own = known.mapInPandas(reach_of(send, "others"), "q long, v array<long>, tree long, worst long")
         more = own if more is None else more.union(own)
     found = near.union(searched(more.select("tree", "q", "v", "worst")))
-    best = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("q", "score", "id")
+    own = F.row_number().over(Window.partitionBy("q", "id").orderBy(F.desc("score")))
+    found = found.withColumn("own", own).where(F.col("own") <= k)
+    best = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= 2 * k).select("q", "score", "id")
     every = asked.select(F.col("id").alias("query_id"), "v").join(wanted, "v").select("query_id", "q")
     pairs = every.join(best, "q").where("id <> query_id")
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")).cast("int")).where(F.col("rank") <= k)

@@ -34,3 +34,27 @@ def test_bounds_hold():
     q = rng.integers(-9, 10, 5).astype(float)
     got = m.search_pages(pages, v, float(most), [[i] for i in range(1500)], q, 6, None)
     assert got == sorted([(int(v[i] @ q), i) for i in range(1500)], key=lambda x: (-x[0], x[1]))[:6]
+
+
+def test_scores_are_exact_for_large_components(spark):
+    rng = np.random.default_rng(3)
+    for size in (1e4, 1e6, 1e12):
+        v = rng.normal(size=(120, 8)) * size
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(500, [1e300] * 8)], "vec_id long, embedding array<double>")
+        got = m.top_k(df, queries=F.col("vec_id") % 50 == 0, k=5, tree_size=40).collect()
+        whole = {i: [int(np.floor(x * 256)) for x in row] for i, row in enumerate(v)} | {500: [2**63 - 1] * 8}
+        clip = lambda s: max(-(2**63), min(2**63 - 1, s))
+        for q in (0, 50, 100, 500):
+            want = sorted([(-clip(sum(a * b for a, b in zip(whole[q], whole[j], strict=True))), j) for j in whole if j != q])[:5]
+            assert [(-r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want, (size, q)
+
+
+def test_repeated_ids_leave_room_for_others(spark):
+    rows = [(0, [1.0, 1.0])] * 9 + [(50, [1.0, 0.5])] * 3 + [(i, [0.1 * i, 0.2]) for i in range(1, 9)] + [(7, [5.0, 5.0])] * 8
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = m.top_k(df, queries=F.col("vec_id") % 50 == 0, k=5, tree_size=4).distinct().collect()
+    for q in (0, 50):
+        own = next(v for i, v in rows if i == q)
+        score = lambda v, own=own: sum(int(np.floor(256 * a)) * int(np.floor(256 * b)) for a, b in zip(own, v, strict=True))
+        want = sorted([(-score(v), i) for i, v in rows if i != q])[:5]
+        assert [(-r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == want
