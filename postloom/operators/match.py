@@ -23,6 +23,7 @@ STOP_WORDS = ("추천", "공고", "채용", "일자리", "찾아줘", "보여줘
 
 #: What free texts and qualifications say.
 WORDS = {
+    "named_generic": r"임상\s*간호|병원\s*간호",
     "no_contract": r"(?:계약직|기간제).{0,5}(?:싫|제외|말고|빼)",
     "no_shift": r"(?:야간|나이트|밤근무|3교대|교대).{0,8}(?:없|제외|싫|말고|안\s*하|피하)|주간\s*근무|데이\s*근무|데이만|상근만",
     "particles": "(?:에서|으로|부터|까지|이면|이고|이나|거나|하고|위주로|정도로)$",
@@ -188,8 +189,11 @@ def extract_intent(queries: DataFrame, *, text_col: str = "text", length: int =
     kinds = F.array_compact(F.array(*[F.when(q.rlike(p) & (~no_contract if k == "contract" else F.lit(True)), F.lit(k)) for p, k in KINDS]))
     named = F.regexp_extract(q, r"(\d+)\s*일\s*이내", 1).try_cast("int")
     musts = [("role", must(WORDS["must_role"])), ("region", must("|".join(regions))), ("employment", must("정규직|계약직|기간제|시간제")), ("experience", must(WORDS["must_level"])), ("deadline", q.rlike(WORDS["must_day"]))]
+    roles = text.all_labels(q, [(js(w), r) for r, w in ROLE_WORDS.items()])
+    generic = (F.size(roles) > 1) & ~q.rlike(WORDS["named_generic"])  # a specific role says more than "nurse"
+    specific = F.when(generic, F.array_remove(roles, "clinical-nurse")).otherwise(roles)
     return queries.withColumns({
-        "regions": F.array_compact(F.array(*[F.when(q.contains(n), F.lit(n)) for n in regions])), "role_tags": text.all_labels(q, [(js(w), r) for r, w in ROLE_WORDS.items()]), "employment_types": kinds,
+        "regions": F.array_compact(F.array(*[F.when(q.contains(n), F.lit(n)) for n in regions])), "role_tags": specific, "employment_types": kinds,
         "experience_level": F.when(q.rlike(WORDS["entry"]), "entry").when(q.rlike(WORDS["experienced"]), "experienced").otherwise("any"),
         "include_keywords": F.slice(F.array_distinct(hold), 1, 10), "exclude_keywords": F.slice(F.array_distinct(avoid), 1, 10),
         "deadline_days": F.when(named.isNotNull(), F.least(named, F.lit(90))).when(q.rlike(WORDS["week"]), 7).when(q.rlike(WORDS["closing"]), 3),

@@ -64,3 +64,10 @@ def test_safety_certificates_alone_bar_a_nurse(spark):
     by_title = {r["title"]: r for r in out}
     assert "간호사 면허만으로 지원 불가" in by_title["보건관리자 모집"]["tier_cautions"]
     assert "간호사 면허만으로 지원 불가" not in by_title["간호사 모집"]["tier_cautions"]
+
+
+def test_generic_role_gives_way_to_a_specific_one(spark):
+    from postloom.operators import match
+
+    df = spark.createDataFrame([("산업간호사 찾아줘",), ("간호사 찾아줘",), ("임상 간호사나 보건관리 직무",)], "text string")
+    assert [r["role_tags"] for r in match.extract_intent(df).collect()] == [["occupational-nurse"], ["clinical-nurse"], ["health-manager", "clinical-nurse"]]
