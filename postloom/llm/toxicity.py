@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -79,18 +79,28 @@ class ExampleIndex:
         ends = np.cumsum(np.bincount(part, minlength=n_terms * self.n_blocks))
         self.cuts = np.r_[0, ends].astype(np.int32 if len(part) < 1 << 31 else np.int64)
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def frequent(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the terms kept as rows add to the cosine of each query and example; one product for all queries."""
+        q = np.zeros((len(vectors), len(self.rows)), np.float32)
+        for i, (terms, weights) in enumerate(vectors):
+            row = self.row[terms]
+            q[i, row[row >= 0]] = weights[row >= 0]
+        return q @ self.rows
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1, base: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(example, cosine) of the k examples of largest positive cosine with a unit query, in millionths, ties to the smaller number.
 
         A block's bound is the sum of its lists' largest weights times the query's. Blocks are scored whole, from the
-        largest bound down, until a bound is below the k-th cosine found; those left can't hold a nearer one.
+        largest bound down, until a bound is below the k-th cosine found; those left can't hold a nearer one. base is the
+        query's row of :meth:`frequent`, if the caller has it.
         """
         best, cosines = np.empty(0, np.int64), np.empty(0)
         bound = weights @ self.most[terms]
         line = np.argsort(-bound, kind="stable")
         line = line[bound[line] > 0]
         row = self.row[terms]
-        base = weights[row >= 0] @ self.rows[row[row >= 0]]
+        if base is None:
+            base = weights[row >= 0] @ self.rows[row[row >= 0]]
         terms, weights = terms[row < 0], weights[row < 0]
         at, step = 0, 1
         while at < len(line) and not (len(best) == k and bound[line[at]] < cosines[-1] - 2e-6):
@@ -161,9 +171,16 @@ class ToxicityModel:
         x, y = self.steps
         return float(0.99 * np.interp(vote, x, y) + 0.01 * vote) if len(x) else vote
 
+    def scores(self, texts: Iterable[str | None]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """(score, nearest examples, their cosines) of each text, 64 at a time."""
+        line = iter(texts)
+        while now := [self.vector(t) for t in islice(line, 64)]:
+            for (terms, weights), base in zip(now, self.index.frequent(now) if self.index.n else repeat(None), strict=False):
+                near, cosines = self.index.search(terms, weights, self.k, base=base) if self.index.n else (np.empty(0, int), np.empty(0))
+                yield (self.calibrated(self.vote(near, cosines)) if len(near) else self.base), near, cosines
+
     def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        near, cosines = self.index.search(*self.vector(text), self.k)
-        return (self.calibrated(self.vote(near, cosines)) if len(near) else self.base), near, cosines
+        return next(self.scores([text]))
 
 
 def _steps(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +218,7 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     label_col: str = "toxic",
-    max_examples: int = 4000,
+    max_examples: int = 2500,
     k: int = 15,
     power: float = 4.0,
     prior: float = 0.05,
@@ -323,8 +340,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text", *, s
     def score(texts: pa.Array) -> pa.Array:
         m, rows = sent.value, []
         m.steps = steps
-        for t in texts:
-            s, near, cosines = m.score(t.as_py())
+        for s, near, cosines in m.scores(t.as_py() for t in texts):
             shown_now = zip(near[:shown].tolist(), cosines[:shown].tolist(), strict=True)
             rows.append({"score": s, "evidence": [{"id": int(m.ids[e]), "cosine": c, "toxic": int(m.index.labels[e])} for e, c in shown_now]})
         return pa.array(rows, _OUT)
