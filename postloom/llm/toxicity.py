@@ -24,7 +24,7 @@ _BLOCK = 512
 #: Terms of more than this part of the examples are kept as rows; changes the work only.
 _OFTEN = 8
 #: Lengths of the stems that stand beside words as terms.
-_STEMS = (5, 7)
+_STEMS = (6,)
 
 
 def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
