@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import pieces
 
 
 def rating_aggregate(links: DataFrame, *, per_query: int = 12) -> DataFrame:
@@ -22,21 +23,22 @@ def rating_aggregate(links: DataFrame, *, per_query: int = 12) -> DataFrame:
 def company_lookup(companies: DataFrame, ratings: DataFrame, *, ratio: float = 0.5) -> DataFrame:
     """Each company with its rating by equal key, else the candidate whose key holds or is held by it with the best length ratio.
 
-    companies: (company_id, key), ratings: (rating_id, key). Unmatched companies meet ratings on
-    the first two letters of the shorter key, which the longer one holds somewhere.
+    companies: (company_id, key), ratings: (rating_id, key). Ratings of one key count as the first of them, and of equally good
+    candidates the first stands. Empty and null keys match nothing. The longer key's pieces are joined to the shorter
+    key, the ratings' pieces summed up to their best one before, so keys that begin alike or repeat meet nothing in vain.
     """
-    exact = companies.join(ratings.select("rating_id", "key"), "key").select("company_id", "rating_id", F.lit("ok").alias("status"), F.lit(1.0).alias("ratio"))
-    rest = companies.join(exact.select("company_id").distinct(), "company_id", "left_anti").where(F.length("key") >= 2)
-    n = 2
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substring(c, i, F.lit(n))))
-    # the shorter key is found whole in the longer one, so its first piece is among the longer one's
-    head = lambda df, i: df.select(i, "key", F.substring("key", 1, n).alias("g"))
-    full = lambda df, i: df.select(i, "key", F.explode(grams(F.col("key"))).alias("g"))
-    near = lambda a, b: a.alias("c").join(b.alias("r"), F.col("c.g") == F.col("r.g")).select("c.company_id", "r.rating_id", F.col("c.key").alias("ck"), F.col("r.key").alias("rk"))
-    both = near(head(rest, "company_id"), full(ratings, "rating_id")).unionByName(near(full(rest, "company_id"), head(ratings, "rating_id")))
-    scored = both.where((F.col("ck") != F.col("rk")) & (F.col("ck").contains(F.col("rk")) | F.col("rk").contains(F.col("ck")))).withColumn("ratio", F.least(F.length("ck"), F.length("rk")) / F.greatest(F.length("ck"), F.length("rk"))).where(F.col("ratio") >= ratio)
-    best = scored.groupBy("company_id").agg(F.min_by("rating_id", F.struct(-F.col("ratio"), F.col("rating_id"))).alias("rating_id"), F.max("ratio").alias("ratio"))
-    return exact.unionByName(best.select("company_id", "rating_id", F.lit("candidate").alias("status"), "ratio"))
+    size, least = F.length("key"), F.greatest(F.lit(1), F.floor(F.length("key") * ratio)).cast("int")
+    rated = ratings.where("key <> ''").groupBy("key").agg(F.min("rating_id").alias("rating_id"))
+    wanted = companies.where("key <> ''").select("key").distinct()
+    exact = wanted.join(rated, "key").select("key", "rating_id", F.lit("ok").alias("status"), F.lit(1.0).alias("ratio"))
+    rest = wanted.join(rated, "key", "left_anti")
+    inside = pieces.proper_pieces(rest, "key", least).withColumn("ratio", F.length("piece") / size)
+    holding = inside.join(rated.withColumnRenamed("key", "piece"), "piece").select("key", "rating_id", "ratio")
+    longest = pieces.proper_pieces(rated, "key", least).withColumn("ratio", F.length("piece") / size)
+    best_of = lambda df, by: df.where(F.col("ratio") >= ratio).groupBy(by).agg(F.min(F.struct((-F.col("ratio")).alias("q"), "rating_id")).alias("b")).select(by, "b.rating_id", (-F.col("b.q")).alias("ratio"))
+    held = rest.join(best_of(longest, "piece").withColumnRenamed("piece", "key"), "key").select("key", "rating_id", "ratio")
+    found = best_of(holding.unionByName(held), "key").select("key", "rating_id", F.lit("candidate").alias("status"), "ratio")
+    return companies.join(exact.unionByName(found), "key").select("company_id", "rating_id", "status", "ratio")
 
 
 def select_candidates(found: DataFrame, chosen: DataFrame) -> DataFrame:

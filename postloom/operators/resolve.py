@@ -86,9 +86,9 @@ def link_postings(norm: DataFrame, *, general: Sequence[str] = GENERAL_SOURCES,
     Rows meet under five families of keys: source and id, entry and id, url, any dedupe key, company (general sources
     only). Of one source they merge if the id is the same; of two, if no region or deadline (over max_gap days)
     stands against it and they share url or key, or, under one company, the longer title holds the shorter one. Rows of
-    a key that look alike to these rules (same source, region, deadline and title) are one class: classes are compared,
-    and the members of a class that matched are tied to its first row. So a key with very many rows costs a
-    row for each member, not for each pair.
+    a key that look alike to these rules (same source, region, deadline and title) are one class: classes near in time and title are
+    compared, and the members of a class that matched are tied to its first row. So a key with very many rows costs a
+    row for each member, not for each pair, and a company with very many titles costs their pieces.
     """
     short = F.regexp_replace("title_key", "신입|경력직|경력", "")
     base = norm.select(F.col("ord"), F.nullif("source_entry_id", F.lit("")).alias("entry"), "source", F.col("id"), "region_code", "deadline_at", F.col("url"), "dedupe_key", "dedupe_keys", "company_key", short.alias("short"))
@@ -104,23 +104,63 @@ def link_postings(norm: DataFrame, *, general: Sequence[str] = GENERAL_SOURCES,
     look = ["family", "key", "entry", "source", "region_code", "deadline_at", "short", "same_id"]
     rows = stored(rows.withColumn("same_id", F.when(own, F.col("id"))), "resolve-keys")
     classes = stored(rows.groupBy(*look).agg(F.min("ord").alias("rep"), F.count("*").alias("n")), "resolve-classes")
-    a, b = classes.alias("a"), classes.alias("b")
+    several = classes.groupBy("family", "key").count().where("count > 1").select("family", "key")
+    shared = classes.where(~own).join(several, ["family", "key"], "left_semi")
+    a, b = _near_in_time(shared, max_gap)
     both = F.col("a.entry").isNotNull() & F.col("b.entry").isNotNull()
     same_source = F.when(both, F.col("a.entry") == F.col("b.entry")).otherwise(F.col("a.source") == F.col("b.source"))
     region = F.coalesce(F.col("a.region_code") == F.col("b.region_code"), F.lit(True))
     gap = F.coalesce(F.abs(F.datediff("a.deadline_at", "b.deadline_at")) <= max_gap, F.lit(True))
-    shorter, longer = (F.when(F.length("a.short") <= F.length("b.short"), F.col(x)).otherwise(F.col(y)) for x, y in (("a.short", "b.short"), ("b.short", "a.short")))
-    held = (F.length(shorter) >= 10) & (F.length(shorter) >= 0.6 * F.length(longer)) & longer.contains(shorter)
-    by_id = same_source & (F.col("a.same_id") == F.col("b.same_id"))
-    by_rule = ~same_source & region & gap & F.when(F.col("a.family") == "company", held).otherwise(True)
-    accept = F.when(F.col("a.family").isin("id", "entry"), by_id).otherwise(by_rule)
-    met = stored(a.join(b, [F.col("a.family") == F.col("b.family"), F.col("a.key") == F.col("b.key"), F.col("a.rep") < F.col("b.rep")]).where(accept).select(F.col("a.rep").alias("l"), F.col("b.rep").alias("r"), F.struct(*[F.col(f"a.{c}") for c in look]).alias("la"), F.struct(*[F.col(f"b.{c}") for c in look]).alias("lb")), "resolve-met")
+    first = F.col("a.rep") < F.col("b.rep")
+    held = (F.length("b.short") >= 0.6 * F.length("a.short")) & F.col("a.short").contains(F.col("b.short")) & ((F.col("a.short") != F.col("b.short")) | first)
+    accept = ~same_source & region & gap & F.when(F.col("a.family") == "company", held).otherwise(first)
+    on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("family", "key", "block", "days")]
+    look_of = lambda side: F.struct(*[F.col(f"{side}.{c}") for c in look])
+    met = a.alias("a").join(b.alias("b"), on).where(accept).select(F.col("a.rep").alias("l"), F.col("b.rep").alias("r"), look_of("a").alias("la"), look_of("b").alias("lb"))
+    met = stored(met.distinct(), "resolve-met")
     crowd = classes.where("n > 1")
     touched = met.select(F.col("la").alias("x")).union(met.select("lb")).distinct().select("x.*")
     on = lambda x, y: [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in look]
-    ties = crowd.where(own).unionByName(crowd.where(~own).alias("c").join(touched.alias("t"), on("c", "t"), "left_semi"))
+    ties = crowd.where(~own).alias("c").join(touched.alias("t"), on("c", "t"), "left_semi")
     stars = rows.alias("m").join(ties.alias("t"), on("m", "t")).select(F.col("t.rep").alias("l"), F.col("m.ord").alias("r"))
-    return met.select("l", "r").union(stars).where("l <> r").distinct()
+    return met.select("l", "r").union(stars).union(_same_ids(rows.where(own & F.col("same_id").isNotNull()))).where("l <> r").distinct()
+
+
+def _same_ids(rows: DataFrame) -> DataFrame:
+    """(l, r): rows of one id tied to the first of them.
+
+    Under an entry and its id all are one. Under a source and its id rows of different entries stay apart, unless a
+    row without an entry, which fits each, is among them.
+    """
+    firsts = rows.groupBy("family", "key", "entry").agg(F.min("ord").alias("own"))
+    all_of = firsts.groupBy("family", "key").agg(F.min("own").alias("first"), F.bool_or(F.col("entry").isNull()).alias("open"))
+    roots = firsts.join(all_of, ["family", "key"]).select("family", "key", "entry", F.when(F.col("open"), F.col("first")).otherwise(F.col("own")).alias("l"))
+    on = [F.col(f"m.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("family", "key", "entry")]
+    return rows.alias("m").join(roots.alias("t"), on).select("t.l", F.col("m.ord").alias("r"))
+
+
+def _near_in_time(classes: DataFrame, max_gap: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the comparison of classes, with ``block`` and ``days`` to join on beside family and key.
+
+    Days are spans of max_gap + 1: the right side stands in its own span and those beside it, and each class also meets those
+    without a deadline. Of companies the left side has the longer title: it stands under each of its pieces of the lengths
+    10, 20, 40 and so on that a title it may hold can begin with, the right side under its own first piece. So
+    titles meet that share at least half of the shorter one, not all titles of a company.
+    """
+    span = F.floor(F.unix_date(F.col("deadline_at").cast("date")) / (max_gap + 1))
+    text_of = lambda *spans: F.array(*[c.cast("string") for c in spans])
+    none, every = F.lit("none"), F.lit("any")
+    left = F.when(span.isNull(), text_of(none, every)).otherwise(text_of(span, every))
+    right = F.when(span.isNull(), text_of(every)).otherwise(text_of(span - 1, span, span + 1, none))
+    size = F.length("short")
+    level = lambda n: F.floor(F.log2(n / F.lit(10))).cast("int")
+    letters = lambda k: (F.lit(10) * F.pow(F.lit(2), k)).cast("int")
+    plain = classes.where(F.col("family") != "company").withColumn("block", F.lit(0).cast("long"))
+    titled = classes.where((F.col("family") == "company") & (size >= 10))
+    cut = titled.withColumn("_k", F.explode(F.sequence(level(F.greatest(F.lit(10), F.floor(size * 0.6))), level(size)))).withColumn("_m", letters(F.col("_k")))
+    pieces = cut.withColumn("_i", F.explode(F.sequence(F.lit(1), size - F.col("_m") + 1))).withColumn("block", F.xxhash64(F.substring("short", F.col("_i"), F.col("_m")))).drop("_k", "_m", "_i")
+    heads = titled.withColumn("block", F.xxhash64(F.substring("short", F.lit(1), letters(level(size)))))
+    return plain.unionByName(pieces).withColumn("days", F.explode(left)), plain.unionByName(heads).withColumn("days", F.explode(right))
 
 
 def merge_entities(norm: DataFrame, components: DataFrame, *, now: Column, tz: str = dates.TZ) -> DataFrame:

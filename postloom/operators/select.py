@@ -166,15 +166,15 @@ def fair_interleave(df: DataFrame, group: str, host: str, score: str, *, tie: st
     """Rows with ``slot``, the place in a list that takes turns: first a group's hosts, then ``pattern`` rows of group 0 and group 1.
 
     Within a host the best score comes first, hosts take turns in order of their best row; when one group runs out the other goes on.
-    Of rows that share ``unique`` the best one stays. Ranks inside a host need only its rows; the order of turns is
-    numbered in ranges, so no group has to fit in a task.
+    Of rows that share ``unique`` the best one stays. Ranks inside a host and the order of turns are both numbered in
+    ranges, so neither a host nor a group has to fit in a task.
     """
     best = [F.col(score).desc_nulls_last(), F.col(tie).asc()]
     if unique:
         df = df.withColumn("_r", F.row_number().over(Window.partitionBy(unique).orderBy(*best))).where("_r = 1").drop("_r")
-    rank = F.row_number().over(Window.partitionBy(group, host).orderBy(*best))
-    ranked = df.withColumn("_turn", rank)
-    head = ranked.where("_turn = 1").select(F.col(group).alias("_g"), F.col(host).alias("_h"), F.col(score).alias("_best"), F.col(tie).alias("_tie"))
+    hosts = ordered_parts(df, [F.col(group).asc(), F.col(host).asc(), *best], "interleave-hosts")
+    ranked = prefix_sums(hosts, F.lit(1), best, "_turn", [group, host]).drop("part")
+    head = ranked.where("_turn = 0").select(F.col(group).alias("_g"), F.col(host).alias("_h"), F.col(score).alias("_best"), F.col(tie).alias("_tie"))
     ranked = ranked.join(head, (F.col(group) == F.col("_g")) & F.col(host).eqNullSafe(F.col("_h"))).drop("_g", "_h")
     order = [F.col("_turn").asc(), F.col("_best").desc_nulls_last(), F.col("_tie").asc()]
     parts = ordered_parts(ranked, [F.col(group).asc(), *order], "interleave")

@@ -1,6 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
-from postloom.operators import sections, select
+from postloom.operators import reputation, sections, select
 from postloom.sources import registry
 
 
@@ -71,3 +73,42 @@ def test_generic_role_gives_way_to_a_specific_one(spark):
 
     df = spark.createDataFrame([("산업간호사 찾아줘",), ("간호사 찾아줘",), ("임상 간호사나 보건관리 직무",)], "text string")
     assert [r["role_tags"] for r in match.extract_intent(df).collect()] == [["occupational-nurse"], ["clinical-nurse"], ["health-manager", "clinical-nurse"]]
+
+
+def test_lookup_of_keys_that_begin_alike(spark):
+    """Every company has the rating that a comparison of all pairs finds; repeated, empty and null keys included."""
+    rng = random.Random(4)
+    name = lambda: "su" + "".join(rng.choice("ab") for _ in range(rng.randint(0, 9)))
+    companies = [(i, name()) for i in range(150)] + [(150, ""), (151, None), (152, "a"), (153, "su" * 40)]
+    ratings = [(i, name()) for i in range(40)] + [(40, "ab"), (41, ""), (42, None), (43, "su" * 39)]
+    want = {}
+    for i, c in companies:
+        if not c:
+            continue
+        same = [r for r, k in ratings if k == c]
+        if same:
+            want[i] = (min(same), "ok")
+            continue
+        near = [(-min(len(k), len(c)) / max(len(k), len(c)), r) for r, k in ratings if k and (k in c or c in k)]
+        near = [(q, r) for q, r in near if -q >= 0.5]
+        if near:
+            want[i] = (min(near)[1], "candidate")
+    found = reputation.company_lookup(spark.createDataFrame(companies, "company_id int, key string"), spark.createDataFrame(ratings, "rating_id int, key string")).collect()
+    assert len(found) == len(want) and {r["company_id"]: (r["rating_id"], r["status"]) for r in found} == want
+    assert {s for _, s in want.values()} == {"ok", "candidate"}
+
+
+def test_turns_of_one_crowded_host(spark):
+    rng = random.Random(6)
+    rows = [(i, rng.randint(0, 1), rng.choice(["h", "h", "h", "a", "b", None]), rng.choice([None, 1, 2, 3])) for i in range(120)]
+    got = {r["ord"]: r["slot"] for r in select.fair_interleave(spark.createDataFrame(rows, "ord int, g int, host string, score int"), "g", "host", "score").collect()}
+    best = lambda r: (-(r[3] or 0), r[0])
+    want = {}
+    for g, (first, each) in enumerate(((0, 2), (2, 1))):
+        hosts = {}
+        for r in sorted((r for r in rows if r[1] == g), key=best):
+            hosts.setdefault(r[2], []).append(r)
+        turns = sorted((turn, best(own[0]), r[0]) for own in hosts.values() for turn, r in enumerate(own))
+        for n, (_, _, o) in enumerate(turns):
+            want[o] = n // each * 3 + first + n % each
+    assert got == want

@@ -105,3 +105,45 @@ def test_links(spark):
     norm = resolve.normalize_postings(frame(spark, ROWS), now=NOW())
     links = resolve.entity_links(norm, connected_components(resolve.link_postings(norm)))
     assert {(r["entity"], r["source"]) for r in links.collect()} == {(0, "사람인"), (0, "고용24"), (2, "널스잡"), (2, "병원잡")}
+
+
+def test_titles_of_one_company(spark):
+    """Containment under one company, missing regions, deadlines and entries, ids of several entries: equal to all pairs."""
+    rng = random.Random(11)
+    words = ["산업보건", "보건관리자", "간호사모집", "수도권근무", "주간상근", "신규", "정규직우대"]
+    full = ["".join(rng.choices(words, k=7)) for _ in range(4)]
+    rows = []
+    for i in range(160):
+        title = rng.choice(full)[rng.randint(0, 9) : rng.randint(16, 40)]
+        rows.append({"ord": i, "source_entry_id": rng.choice([None, None, "e1", "e2"]), "source": rng.choice(["사람인", "잡코리아", "x", "y"]), "id": str(rng.randint(0, 120)), "region_code": rng.choice(["11", "26", None]), "deadline_at": rng.choice([None, "2026-08-01", "2026-08-08", "2026-08-09", "2026-09-20"]), "url": "", "dedupe_key": f"k{rng.randint(0, 200)}", "dedupe_keys": [], "company_key": rng.choice(["a", "a", "b", ""]), "title_key": title})
+    schema = "ord int, source_entry_id string, source string, id string, region_code string, deadline_at string, url string, dedupe_key string, dedupe_keys array<string>, company_key string, title_key string"
+    norm = spark.createDataFrame(rows, schema).withColumn("deadline_at", F.to_date("deadline_at"))
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    def day(r):
+        return int(r["deadline_at"][5:7]) * 31 + int(r["deadline_at"][8:]) if r["deadline_at"] else None
+
+    met = 0
+    for a in rows:
+        for b in rows[: a["ord"]]:
+            both = a["source_entry_id"] and b["source_entry_id"]
+            same = a["source_entry_id"] == b["source_entry_id"] if both else a["source"] == b["source"]
+            if same:
+                ok = a["id"] == b["id"]
+            else:
+                near = day(a) is None or day(b) is None or abs(day(a) - day(b)) <= 7
+                s, t = sorted((a["title_key"], b["title_key"]), key=len)
+                held = len(s) >= 10 and len(s) >= 0.6 * len(t) and s in t and a["company_key"] == b["company_key"] != "" and {a["source"], b["source"]} <= set(resolve.GENERAL_SOURCES)
+                ok = (not a["region_code"] or not b["region_code"] or a["region_code"] == b["region_code"]) and near and (a["dedupe_key"] == b["dedupe_key"] or held)
+                met += ok and held
+            if ok:
+                x, y = sorted((root(a["ord"]), root(b["ord"])))
+                up[y] = x
+    comps = {r["id"]: r["component"] for r in connected_components(resolve.link_postings(norm)).collect()}
+    assert met > 20
+    assert {i: comps.get(i, i) for i in range(len(rows))} == {i: root(i) for i in range(len(rows))}
