@@ -24,6 +24,8 @@ LEGAL_NAMES = "주식회사|유한회사|의료법인|재단법인|사단법인|
 HIRING_WORDS = "채용공고|모집공고|채용|모집|구인|영입|공개"
 PLACEHOLDER_COMPANY = "등록기관|기관정보확인"
 REGIONS = (("서울", "11"), ("부산", "26"), ("대구", "27"), ("인천", "28"), ("광주", "29"), ("대전", "30"), ("울산", "31"), ("세종", "36"), ("경기", "41"), ("강원", "51"), ("충북", "43"), ("충남", "44"), ("전북", "52"), ("전남", "46"), ("경북", "47"), ("경남", "48"), ("제주", "50"))
+METRO = ("서울", "경기", "인천")
+REMOTE = r"(?i)재택|원격|리모트|remote|자율\s*근무"
 EMPLOYMENT = (("정규직", "정규직"), ("계약직|촉탁직|파견직", "계약직"), ("기간제", "기간제"), ("시간제|파트타임|아르바이트", "시간제"), ("인턴", "인턴"), ("일용", "일용직"))
 
 
@@ -138,6 +140,15 @@ def region_code(c: Column, *, compose: bool = False) -> Column:
     return let(meaningful(c, compose=compose), lambda text: first_label(text, REGIONS))
 
 
+def region_info(region: Column, title: Column, code: Column | None = None) -> Column:
+    """The region's name by code, else the first one that the text names; whether work is remote; whether the region is metropolitan."""
+    named = F.nullif(F.regexp_extract(F.coalesce(region, F.lit("")), "|".join(n for n, _ in REGIONS), 0), F.lit(""))
+    by_code = F.create_map(*[F.lit(x) for n, c in REGIONS for x in (c, n)])[code] if code is not None else None
+    group = named if by_code is None else F.coalesce(by_code, named)
+    remote = F.concat_ws(" ", region, title).rlike(REMOTE)
+    return let(group, lambda g: F.struct(g.alias("region_group"), remote.alias("is_remote"), F.coalesce(g.isin(*METRO), F.lit(False)).alias("is_metro")))
+
+
 def location_parts(c: Column, *, compose: bool = False) -> Column:
     """(text, region, district)."""
     text = meaningful(c, "match", compose=compose)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates
+from ..functions import dates, text
 from .ranks import ordered_parts, prefix_sums
 
 ANY = "전체"
@@ -255,3 +255,45 @@ def job_by_any_id(wanted: DataFrame, *frames: DataFrame, key: str = "ord", id_co
 def collection_stats(runs: DataFrame) -> DataFrame:
     """A10: requested, successful and failed queries of each source. runs: (source_id, query_label, ok)."""
     return runs.groupBy("source_id").agg(F.count("*").alias("requested"), F.count_if("ok").alias("successful"), F.count_if(~F.col("ok")).alias("failures"))
+
+
+def with_region_info(df: DataFrame) -> DataFrame:
+    """region_group, is_remote and is_metro of each row, from region, title and, where it is known, region_code."""
+    info = text.region_info(F.col("region"), F.col("title"), F.col("region_code") if "region_code" in df.columns else None)
+    return df.withColumn("_info", info).withColumns({n: F.col(f"_info.{n}") for n in ("region_group", "is_remote", "is_metro")}).drop("_info")
+
+
+#: What a request may ask.
+MODES = ("new", "unseen", "all")
+MAX_IDS, MAX_ID, MAX_JSON, MAX_LIMIT = 2000, 512, 24_000, 100
+RESERVED = ("__proto__", "constructor", "prototype")
+
+
+def validate_requests(requests: DataFrame, *, strict: bool = False) -> DataFrame:
+    """list requests with ``problem`` (null if there is none) and their page, ids and instant made plain.
+
+    requests: any of filters, profile (JSON objects), hidden, ids (JSON arrays), mode, since, seen, applied (arrays of ids), offset and
+    limit; what is null or absent takes its default. ``strict`` fails the job at the first request with a problem.
+    """
+    has = set(requests.columns)
+    kind = lambda c: F.schema_of_variant(F.try_parse_json(c))
+    form = lambda c, word: F.col(c).isNotNull() & ((F.length(c) > MAX_JSON) | ~F.coalesce(kind(F.col(c)).startswith(word), F.lit(False)))
+    unsafe = lambda x: x.isNull() | (F.trim(x) == "") | F.trim(x).isin(*RESERVED) | (F.length(x) > MAX_ID)
+    faults = [(form(c, "OBJECT"), c) for c in ("filters", "profile") if c in has] + [(form(c, "ARRAY"), c) for c in ("hidden", "ids") if c in has]
+    if "mode" in has:
+        faults.append((F.col("mode").isNotNull() & ~F.col("mode").isin(*MODES), "mode"))
+    if "since" in has:
+        faults.append((F.col("since").isNotNull() & dates.strict_iso(F.col("since")).isNull(), "since"))
+    faults += [((F.size(c) > MAX_IDS) | F.exists(c, unsafe), c) for c in ("seen", "applied") if c in has]
+    problem = F.coalesce(*[F.when(c, F.lit(n)) for c, n in faults], F.lit(None).cast("string"))
+    whole = lambda c: F.coalesce(F.when(F.isnan(F.col(c).cast("double")), None).otherwise(F.col(c)).cast("double").cast("long"), F.lit(0))
+    fixed = {"problem": problem}
+    if "offset" in has:
+        fixed["offset"] = F.greatest(F.lit(0), whole("offset"))
+    if "limit" in has:
+        fixed["limit"] = F.least(F.lit(MAX_LIMIT), F.greatest(F.lit(1), F.when(whole("limit") == 0, 24).otherwise(whole("limit"))))
+    for c in ("seen", "applied"):
+        if c in has:
+            fixed[c] = F.array_sort(F.array_distinct(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.trim(x))))
+    out = requests.withColumns(fixed)
+    return out.withColumn("problem", F.when(F.col("problem").isNotNull(), F.raise_error(F.concat(F.lit("wrong request: "), "problem"))).cast("string")) if strict else out

@@ -449,3 +449,53 @@ def rating_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last rating and count of each company."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), F.lit("s").alias("source"), F.col("event_type").alias("company_key"), F.col("event_id").alias("pos"), F.col("props").alias("url"), F.lit(1).alias("priority"), F.col("event_type").alias("name"), (F.least("value", F.lit(50)) / 10).alias("rating"), F.col("event_id").alias("review_count"))
     return reputation.rating_aggregate(e).select("query_id", "company_key", F.col("rating").cast("double").alias("rating"), "review_count")
+
+
+_PLACES = "['서울', '부산', '대구', '인천', '광주', '대전', '울산', '세종', '경기', '강원', '충북', '충남', '전북', '전남', '경북', '경남', '제주']"
+_CODES = "['11', '26', '27', '28', '29', '30', '31', '36', '41', '51', '43', '44', '52', '46', '47', '48', '50']"
+
+
+def _chosen(values: str, by: str):
+    """The entry of a list that a number names, as the SQL beside it has it."""
+    return F.array(*[F.lit(v) for v in values[2:-2].split("', '")])[F.expr(by).cast("int")]
+
+
+@query(
+    f"""WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment || ' ' || ({_PLACES})[c_custkey % 17 + 1] END AS region, CASE WHEN c_custkey % 2 = 0 THEN ({_CODES})[c_nationkey % 17 + 1] END AS code, c_custkey % 5 = 0 AS remote FROM customer),
+g AS (SELECT c_custkey, remote, coalesce(({_PLACES})[list_position({_CODES}, code)], nullif(regexp_extract(region, '{_PLACES[2:-2].replace("', '", "|")}'), '')) AS region_group FROM c)
+SELECT c_custkey, region_group, remote AS is_remote, coalesce(region_group IN ('서울', '경기', '인천'), false) AS is_metro FROM g"""
+)
+def region_infos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Region, remote work and metropolitan area of customers read as postings."""
+    c = table(spark, sf_dir, "customer").withColumns({
+        "region": F.when(F.col("c_custkey") % 3 > 0, F.concat_ws(" ", "c_mktsegment", _chosen(_PLACES, "c_custkey % 17"))), "region_code": F.when(F.col("c_custkey") % 2 == 0, _chosen(_CODES, "c_nationkey % 17")),
+        "title": F.when(F.col("c_custkey") % 5 == 0, F.concat("c_name", F.lit(" 재택 근무"))).otherwise(F.col("c_name")),
+    })
+    return select.with_region_info(c).select("c_custkey", "region_group", "is_remote", "is_metro")
+
+
+@query(
+    """WITH r AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN substr(props, 2) WHEN event_id % 11 = 0 THEN '[' || props || ']' ELSE props END AS filters, CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'new' END AS mode, value - 50 AS o, event_id % 150 AS l FROM events)
+SELECT event_id, CASE WHEN filters IS NOT NULL AND NOT (json_valid(filters) AND CASE WHEN json_valid(filters) THEN json_type(filters) = 'OBJECT' ELSE false END) THEN 'filters' WHEN mode NOT IN ('new', 'unseen', 'all') THEN 'mode' END AS problem,
+    greatest(0, trunc(coalesce(o, 0)))::BIGINT AS "offset", least(100, CASE WHEN l = 0 THEN 24 ELSE l END)::BIGINT AS "limit" FROM r"""
+)
+def checked_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events read as list requests: their first problem and their page."""
+    e = table(spark, sf_dir, "events")
+    broken = F.when(F.col("event_id") % 7 == 0, F.expr("substr(props, 2)")).when(F.col("event_id") % 11 == 0, F.concat(F.lit("["), "props", F.lit("]"))).otherwise(F.col("props"))
+    r = e.select("event_id", broken.alias("filters"), F.when(F.col("event_id") % 3 == 0, F.col("event_type")).otherwise("new").alias("mode"), (F.col("value") - 50).alias("offset"), (F.col("event_id") % 150).alias("limit"))
+    return select.validate_requests(r).select("event_id", "problem", "offset", "limit")
+
+
+_TITLES, _COMPANIES, _JOBS = "['임상시험 연구간호사 상근', '감염관리 간호사', '병동 간호사 3교대', '보건관리자 간호사 상근', '간호조무사', '사무원']", "['가온대학병원', '푸른요양병원', '국립가온센터', '가온상사']", "['정규직', '계약직', '무기계약직']"
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS t, o_custkey % 4 AS c, o_orderkey % 3 AS j FROM orders)
+SELECT o_orderkey, (CASE t WHEN 0 THEN 80 WHEN 1 THEN 60 WHEN 2 THEN -90 WHEN 3 THEN 70 WHEN 4 THEN -63 ELSE -8 END + CASE c WHEN 0 THEN 32 WHEN 1 THEN -45 WHEN 2 THEN 27 ELSE 0 END + CASE j WHEN 0 THEN 16 WHEN 1 THEN -7 ELSE -7 END)::INT AS score,
+    t IN (0, 1, 3) AND c <> 1 AS priority, CASE c WHEN 0 THEN '대학·대형병원' WHEN 2 THEN '공공·대형 기관' ELSE '' END AS organization FROM o"""
+)
+def career_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders read as postings of six jobs at four employers: which are worth a change (C11)."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", _chosen(_TITLES, "o_orderkey % 6").alias("title"), _chosen(_COMPANIES, "o_custkey % 4").alias("company"), _chosen(_JOBS, "o_orderkey % 3").alias("employment"), F.lit("board").alias("source"))
+    return classify.career_transition(classify.with_facets(o)).select("o_orderkey", "transition.score", "transition.priority", "transition.organization")
