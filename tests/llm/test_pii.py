@@ -1,3 +1,5 @@
+import hashlib
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -52,3 +54,31 @@ def test_odd_rows(odd_docs, no_docs):
     assert set(out.columns) == {*odd_docs.columns, "pii"} and rows[2]["text"] is None and rows[2]["pii"] == [] and rows[3]["text"] == ""
     assert "4111 1111" not in rows[8]["text"] and rows[4]["text"] == "word " * 3000
     assert m.pseudonymize(no_docs, key="k").count() == 0
+
+
+def test_equals_a_plain_feistel(spark):
+    """Digit strings and pairs permuted by an independent network of plain integers."""
+
+    def turns(kind, a, b, u, v):
+        for r in range(10):
+            own, other = (a, b) if r % 2 == 0 else (b, a)
+            word = "|".join(["k", kind, *map(str, (r, u, v, other))])
+            moved = own + int(hashlib.sha256(word.encode()).hexdigest()[:13], 16)
+            a, b = (moved % u, b) if r % 2 == 0 else (a, moved % v)
+        return a, b
+
+    def digits(s):
+        half = len(s) // 2
+        u, v = 10**half, 10 ** (len(s) - half)
+        a, b = turns("t", int(s[:half] or 0), int(s[half:]), u, v)
+        return (str(a).zfill(half) if half else "") + str(b).zfill(len(s) - half)
+
+    rng = random.Random(3)
+    given = [str(i) for i in range(10)] + [f"{i:02}" for i in range(100)] + ["".join(rng.choice("0123456789") for _ in range(rng.randint(1, 20))) for _ in range(150)] + ["0" * 20, "9" * 20]
+    df = spark.createDataFrame([(s,) for s in given], "s string")
+    got = {r["s"]: r["out"] for r in df.select("s", m.permute_digits("k", "t", F.col("s")).alias("out")).collect()}
+    assert got == {s: digits(s) for s in given}
+    assert len({got[f"{i:02}"] for i in range(100)}) == 100
+    pairs = [(rng.randrange(366), rng.randrange(97)) for _ in range(100)]
+    moved = spark.createDataFrame(pairs, "a int, b int").select("a", "b", m.feistel("k", "t", F.col("a"), F.col("b"), F.lit(366), F.lit(97)).alias("o")).collect()
+    assert all((r["o"]["a"], r["o"]["b"]) == turns("t", r["a"], r["b"], 366, 97) for r in moved)
