@@ -399,14 +399,22 @@ def match_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.match_queries(p, q).select("query_id", "ord", "required_region", "excluded_keywords", "preferred_salary", "overall")
 
 
+_WISHES = "['서울 정규직 간호사 신입', '부산만 계약직 제외 상근', '10일 이내 마감', '야간 없는 외래 연봉', '대전 기간제 꼭']"
+
+
 @query(
-    """WITH a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user')
-SELECT conv_id, turn, len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '))::INT AS words, 'any' AS experience_level FROM a""".replace("\\\\", "\\")
+    f"""WITH a AS (SELECT conv_id, turn, conv_id % 5 AS i, substr(trim(regexp_replace(({_WISHES})[conv_id % 5 + 1] || ' ' || coalesce(text, ''), '\\s+', ' ', 'g')), 1, 400) AS q FROM conversations WHERE role = 'user'),
+t AS (SELECT *, list_filter(string_split_regex(regexp_replace(q, '[()\\[\\]{{}}.,!?/\\\\:;"'']', ' ', 'g'), '\\s+'), lambda w: length(w) >= 2 AND w NOT IN ('서울', '정규직', '간호사', '신입', '계약직', '없는', '야간', '대전', '기간제'))[1:8] AS own FROM a),
+h AS (SELECT *, list_concat(CASE i WHEN 1 THEN ['상근'] WHEN 3 THEN ['외래'] ELSE [] END, own) AS w FROM t)
+SELECT conv_id, turn, CASE i WHEN 0 THEN '서울' WHEN 1 THEN '부산' WHEN 4 THEN '대전' ELSE '' END AS regions, CASE i WHEN 0 THEN 'entry' ELSE 'any' END AS experience_level, CASE i WHEN 0 THEN 'regular' WHEN 4 THEN 'contract' ELSE '' END AS employment_types,
+    array_to_string(list_filter(w, lambda x, n: list_position(w, x) = n)[1:10], '|') AS include_keywords, CASE i WHEN 1 THEN '계약직|기간제' WHEN 3 THEN '야간|나이트|N-KEEP|3교대|교대근무' ELSE '' END AS exclude_keywords,
+    CASE i WHEN 2 THEN 10 END::INT AS deadline_days, CASE i WHEN 3 THEN 'salary' ELSE '' END AS unresolved, CASE i WHEN 1 THEN 'region' WHEN 4 THEN 'employment' ELSE '' END AS required_fields FROM h"""
 )
 def intent_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intents of the users' turns."""
-    c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return match.extract_intent(c).select("conv_id", "turn", F.size(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")).alias("words"), "experience_level")
+    """Intents of the users' turns, each after one of five wishes."""
+    c = table(spark, sf_dir, "conversations").where("role = 'user'").withColumn("text", F.concat_ws(" ", _chosen(_WISHES, "conv_id % 5"), "text"))
+    lists = ("regions", "employment_types", "include_keywords", "exclude_keywords", "unresolved", "required_fields")
+    return match.extract_intent(c).select("conv_id", "turn", "experience_level", "deadline_days", *[F.array_join(n, "|").alias(n) for n in lists])
 
 
 @query(
@@ -435,10 +443,13 @@ def import_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.import_feed(o, x, now=F.lit(TODAY).cast("timestamp"), host="example.com")[1]
 
 
-@query("""WITH s AS (SELECT doc_id, list_distinct(list_filter(list_transform(string_split_regex(text, '[\n\r]+|[.!?] +'), lambda x: trim(x)), lambda x: x <> '')) AS xs FROM documents) SELECT doc_id, len(xs) > 0 AS has FROM s""")
+@query(
+    r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?。])\s+', '\1' || chr(10), 'g'), '[\n\r]+|\s*[•▪■□◆◇○●※]\s*|;\s*'), lambda x: trim(x)), lambda x: x <> '') AS xs FROM documents)
+SELECT doc_id, len(xs)::INT AS clauses, md5(coalesce(array_to_string(xs, '|'), '')) AS digest FROM s"""
+)
 def clause_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a document has clauses."""
-    return table(spark, sf_dir, "documents").select("doc_id", (F.size(text.split_clauses(F.col("text"))) > 0).alias("has"))
+    """Number and digest of each document's clauses."""
+    return table(spark, sf_dir, "documents").withColumn("xs", text.split_clauses(F.col("text"))).select("doc_id", F.size("xs").alias("clauses"), F.md5(F.array_join("xs", "|")).alias("digest"))
 
 
 @query(
