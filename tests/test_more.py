@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from postloom.operators import reputation, sections, select
@@ -112,3 +113,14 @@ def test_turns_of_one_crowded_host(spark):
         for n, (_, _, o) in enumerate(turns):
             want[o] = n // each * 3 + first + n % each
     assert got == want
+
+
+def test_requests(spark):
+    rows = [(0, "{}", "[]", "new", None, [" b", "a", "a"], 0), (1, "[]", None, "all", None, None, 500), (2, None, "{", "all", None, None, -3), (3, None, None, "some", None, None, None), (4, None, None, "all", "yesterday", None, 1), (5, None, None, "all", "2026-07-11", ["x" * 513], 1), (6, None, None, "all", "2026-07-11", [None], 1), (7, '{"a": "' + "x" * 24_000 + '"}', None, None, None, ["constructor"], 1)]
+    df = spark.createDataFrame(rows, "k int, filters string, ids string, mode string, since string, seen array<string>, limit int")
+    got = {r["k"]: r for r in select.validate_requests(df).collect()}
+    assert [got[k]["problem"] for k in range(8)] == [None, "filters", "ids", "mode", "since", "seen", "seen", "filters"]
+    assert [got[k]["limit"] for k in range(4)] == [24, 100, 1, 24] and got[0]["seen"] == ["a", "b"]
+    assert select.validate_requests(df.where("k = 0"), strict=True).first()["problem"] is None
+    with pytest.raises(Exception, match="wrong request: mode"):
+        select.validate_requests(df.where("k = 3"), strict=True).collect()
