@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, mixing, mtree, pii, simhash, token_counts, token_files, toxicity
+from . import decontaminate, html_text, language, mixing, mtree, pii, prefix_trie, simhash, token_counts, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct beginning of the rebuilt conversations, with the totals of its subtree."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mtree": op2_mtree,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_html_text": op9_html_text,
     "op10_decontamination": op10_decontamination,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mtree": mtree.ORACLE, "op5_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_mtree": mtree.ORACLE, "op5_mixing": mixing.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE}
