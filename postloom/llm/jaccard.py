@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..operators.components import connected_components
 from ..storage import stored, text_batches
+from . import metric_join
 
 #: Texts that are looked at for common shingles, and how many of these are put last. Both change the work only, not the result.
 _SAMPLE, _COMMON = 20_000, 1 << 16
@@ -63,11 +64,12 @@ def can_be_similar(x: bytes, y: bytes, n: int, m: int, least: Fraction) -> bool:
     return differ * (least.denominator + least.numerator) <= (n + m) * (least.denominator - least.numerator)
 
 
-def _signatures(docs: DataFrame, size: int, least: Fraction) -> DataFrame:
-    """(id, set, n, parity, prefix): a name of the set of shingles, its size, its parity, its first shingles in the common order.
+def signatures(docs: DataFrame, size: int, least: Fraction) -> DataFrame:
+    """(id, set, n, parity, prefix), stored, for docs (id, text): a name of the set of shingles, its size, its parity, its first shingles in the common order.
 
     Two sets of similarity ``least`` or more share a shingle of their prefixes, whatever the order.
     """
+    text_batches(docs.sparkSession)
     last = _common(docs, size)
     by_key = np.argsort(last)
     keys = last[by_key]
@@ -94,7 +96,7 @@ def _signatures(docs: DataFrame, size: int, least: Fraction) -> DataFrame:
 
     fields = [T.StructField("id", docs.schema["id"].dataType), T.StructField("set", T.BinaryType()), T.StructField("n", T.IntegerType())]
     fields += [T.StructField("parity", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))]
-    return docs.mapInArrow(run, T.StructType(fields))
+    return stored(docs.mapInArrow(run, T.StructType(fields)), "jaccard-rows")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -122,48 +124,22 @@ def _perhaps(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return near.where(hit).select("id", "text")
 
 
-def _spanning(left: list[np.ndarray], right: list[np.ndarray], least: Fraction, same: bool) -> list[tuple[int, int]]:
-    """Places (i, j) of pairs that connect whatever is similar among left and right, at most one for each set."""
-    sizes = np.array([len(x) for x in right])
-    keys, owners = np.concatenate(right), np.repeat(np.arange(len(right)), sizes)
-    by_key = np.argsort(keys, kind="stable")
-    keys, owners = keys[by_key], owners[by_key]
-    up = list(range(len(left) + len(right)))
-
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = x = up[up[x]]
-        return x
-
-    out = []
-    for i, own in enumerate(left):
-        lo, hi = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
-        spans = hi - lo
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum())
-        common = np.bincount(owners[at], minlength=len(right))
-        near = np.flatnonzero(common * (least.denominator + least.numerator) >= least.numerator * (len(own) + sizes))
-        for j in near.tolist():
-            a, b = root(i), root(j if same else len(left) + j)
-            if a != b:
-                up[b] = a
-                out.append((i, j))
-    return out
-
-
-def similar_pairs(docs: DataFrame, size: int, least: Fraction, *, bucket: int = 64, block: int = 1024) -> DataFrame:
+def similar_pairs(docs: DataFrame, size: int, least: Fraction, *, rows: DataFrame | None = None, empty_alike: bool = True, bucket: int = 64, limit: int = 1024) -> DataFrame:
     """Pairs (l, r) of ids that connect all texts whose shingles have a Jaccard similarity of ``least`` or more; docs: (id, text).
 
-    Equal sets are one vertex. Of others, such a pair shares a shingle of the two prefixes (a fifth of a set for 0.8);
-    pairs that share one, and that neither sizes, the shingle's places nor the parities of the sets rule out, are
-    verified over all shingles. Where more than ``bucket`` sets share a shingle, the sets tied by such shingles
-    are compared all with all in blocks of about ``block``, each returning a spanning set of its links.
-    Nothing is skipped. Whole sets of shingles travel only for ids that such a pair or block names.
+    Equal sets are one vertex; those without shingles only if ``empty_alike``. The first pivots are the sets of one
+    shingle: a text of n shingles is at 1 - 1/n from those it holds and at 1 from all others, so it goes to the regions of
+    the n - ceil(least * n) + 1 first of its own in one order, rare ones first; two similar texts meet in one. In a region of at most
+    ``bucket`` texts the pairs that neither sizes, places nor parities rule out are verified over all shingles. In
+    larger ones all are first held against two texts of the region, then :func:`metric_join.region_links` splits what is
+    not connected yet by texts as pivots. Nothing is skipped. Whole sets travel only for ids that a pair or crowded region names.
     """
     text_batches(docs.sparkSession)
     num, den = least.numerator, least.denominator
-    rows = stored(_signatures(docs, size, least), "jaccard-rows")
-    first = rows.groupBy("set").agg(F.min("id").alias("l"))
-    equal = stored(rows.select("set", "id").distinct().join(first, "set").where("id <> l").select("l", F.col("id").alias("r"), "set"), "jaccard-equal")
+    rows = signatures(docs, size, least) if rows is None else rows
+    named = rows if empty_alike else rows.where("n > 0")
+    first = named.groupBy("set").agg(F.min("id").alias("l"))
+    equal = stored(named.select("set", "id").distinct().join(first, "set").where("id <> l").select("l", F.col("id").alias("r"), "set"), "jaccard-equal")
     # a set is worked on under its first id; ids of several texts may be first for one set and not for another
     lone = rows.select("id", "set", "n", "prefix").join(equal.select(F.col("r").alias("id"), "set"), ["id", "set"], "left_anti")
     keys = lone.select("id", "n", F.posexplode("prefix").alias("pos", "key"))
@@ -174,7 +150,11 @@ def similar_pairs(docs: DataFrame, size: int, least: Fraction, *, bucket: int =
     can = (F.col("n") * den >= F.col("n2") * num) & (F.col("n2") * den >= F.col("n") * num)
     most = F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2"))
     can &= most * (den + num) >= (F.col("n") + F.col("n2")) * num
-    pairs = one.join(two, "key").where((F.col("id") < F.col("id2")) & can).select(F.col("id").alias("l"), F.col("id2").alias("r")).distinct()
+    pairs = one.join(two, "key").where((F.col("id") < F.col("id2")) & can).select(F.col("id").alias("l"), F.col("id2").alias("r"))
+    crowd = stored(shared.where(F.col("count") > bucket).select(F.col("key").alias("region"), "id").distinct(), "jaccard-crowd")
+    hubs = crowd.groupBy("region").agg(F.min("id").alias("h0"), F.min_by("id", F.xxhash64("id")).alias("h1"))
+    held = crowd.join(hubs, "region").select("id", F.explode(F.array("h0", "h1")).alias("hub")).where("id <> hub")
+    pairs = pairs.union(held.select(F.least("id", "hub"), F.greatest("id", "hub"))).distinct()
     kind = docs.schema["id"].dataType
     link = T.StructType([T.StructField("l", kind), T.StructField("r", kind)])
 
@@ -187,10 +167,7 @@ def similar_pairs(docs: DataFrame, size: int, least: Fraction, *, bucket: int =
     sized = pairs.join(odds.select(F.col("id").alias("l"), "n", F.col("parity").alias("x")), "l")
     sized = sized.join(odds.select(F.col("id").alias("r"), F.col("n").alias("m"), F.col("parity").alias("y")), "r")
     pairs = stored(sized.select("l", "r", "x", "y", "n", "m").mapInArrow(plausible, link).distinct(), "jaccard-pairs")
-    crowd = stored(shared.where(F.col("count") > bucket).select("key", "id"), "jaccard-crowd")
-    hubs = crowd.groupBy("key").agg(F.min("id").alias("l"))
-    clumps = stored(connected_components(crowd.join(hubs, "key").select("l", F.col("id").alias("r"))), "jaccard-clumps")
-    ids = pairs.select(F.col("l").alias("id")).union(pairs.select("r")).union(clumps.select("id")).distinct()
+    ids = pairs.select(F.col("l").alias("id")).union(pairs.select("r")).union(crowd.select("id")).distinct()
     sets = stored(_sets(_perhaps(docs, ids).join(ids, "id", "left_semi"), size), "jaccard-sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,26 +179,12 @@ def similar_pairs(docs: DataFrame, size: int, least: Fraction, *, bucket: int =
                 stay.append(both * den >= num * (len(x) + len(y) - both))
             yield b.select([0, 1]).filter(pa.array(stay, pa.bool_()))
 
-    found = pairs.join(sets.select(F.col("id").alias("l"), F.col("own").alias("x")), "l").join(sets.select(F.col("id").alias("r"), F.col("own").alias("y")), "r")
-    links = equal.select("l", "r").union(found.select("l", "r", "x", "y").mapInArrow(verify, link))
-    if clumps.isEmpty():
+    checked = pairs.join(sets.select(F.col("id").alias("l"), F.col("own").alias("x")), "l").join(sets.select(F.col("id").alias("r"), F.col("own").alias("y")), "r")
+    links = equal.select("l", "r").union(checked.select("l", "r", "x", "y").mapInArrow(verify, link))
+    if crowd.isEmpty():
         return links
-    blocks = clumps.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    members = clumps.join(blocks, "component").join(sets, "id").withColumn("mine", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), "mine", "id", "own")
-
-    def compare(pdf):
-        import pandas as pd
-
-        a, b = pdf["a"].iloc[0], pdf["b"].iloc[0]
-        left, right = pdf[pdf["mine"] == a], pdf[pdf["mine"] == b]
-        if left.empty or right.empty:
-            return pd.DataFrame({"l": pdf["id"][:0], "r": pdf["id"][:0]})
-        near = _spanning(*[[np.frombuffer(x, np.int64) for x in side["own"]] for side in (left, right)], least, a == b)
-        l, r = left["id"].to_numpy(), right["id"].to_numpy()  # noqa: E741
-        return pd.DataFrame({"l": l[[i for i, _ in near]] if near else l[:0], "r": r[[j for _, j in near]] if near else r[:0]})
-
-    return links.union(members.groupBy("component", "a", "b").applyInPandas(compare, link))
+    links = stored(links, "jaccard-found")
+    return links.union(metric_join.region_links(crowd, sets, links, least, limit=limit))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_text, language, mixing, mtree, pii, prefix_trie, simhash, token_counts, token_files, toxicity
+from . import decontaminate, filter_audit, html_text, language, metric_join, mixing, mtree, pii, prefix_trie, simhash, token_counts, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,16 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each source in each of their orders."""
+    return filter_audit.filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles and component of every document, by links of Jaccard similarity 0.85 or more over four-word shingles."""
+    return metric_join.jaccard_components(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mtree": op2_mtree,
@@ -84,6 +94,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_text": op9_html_text,
     "op10_decontamination": op10_decontamination,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_metric_join": op13_metric_join,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mtree": mtree.ORACLE, "op5_mixing": mixing.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op2_mtree": mtree.ORACLE,
+    "op5_mixing": mixing.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
+}

@@ -56,7 +56,7 @@ def test_stage_drops_what_brute_force_finds(spark):
     docs = spark.createDataFrame(list(enumerate(all_texts)), "doc_id long, text string")
     kept = sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
     assert kept == sorted(least_ids(all_texts))
-    links = m.similar_pairs(docs.withColumnRenamed("doc_id", "id"), 5, Fraction(4, 5), bucket=8, block=16)
+    links = m.similar_pairs(docs.withColumnRenamed("doc_id", "id"), 5, Fraction(4, 5), bucket=8, limit=16)
     gone = {r["id"] for r in m.connected_components(links).where("id <> component").collect()}
     assert sorted(set(range(len(all_texts))) - gone) == kept
 
