@@ -105,52 +105,67 @@ def _any(values: Column, test) -> Column:
     return F.exists(values, test)
 
 
+def posting_roles() -> Column:
+    """The roles of a posting: its tags and those that its text names."""
+    named = text.all_labels(F.col("search_text"), [(js(w), r) for r, w in ROLE_WORDS.items()])
+    return F.array_union(F.coalesce("role_tags", F.array().cast("array<string>")), named)
+
+
+def judged(p: DataFrame, *, roles: Column | None = None, hits: str | None = None) -> DataFrame:
+    """Pairs of a posting and a query (columns q_...) with the status of each condition, the counts and the outcome.
+
+    roles and hits name what is known of the posting already: its roles, and those of the stated words that it holds.
+    """
+    tri = lambda asked, yes, no: F.when(asked, F.when(yes, MATCHED).when(no, MISMATCHED).otherwise(UNKNOWN))
+    some = lambda c: F.size(f"q_{c}") > 0
+    roles = posting_roles() if roles is None else roles
+    listed, el = F.col("eligibility.qualifications"), F.col("eligibility.status")
+    licence = F.array_contains("q_qualifications", "간호사 면허")
+    qualified = _any(listed, lambda q: (q != "간호사 면허") & F.array_contains(F.col("q_qualifications"), q)) | ((el == "eligible") & licence)
+    region = F.coalesce(F.col("region"), F.lit(""))
+    day = F.col("schedule.weekday_daytime")
+    s = lambda f: F.col(f"schedule.{f}")
+    has = lambda x: F.when(x.rlike(r"3\s*교대"), s("kind") == "three_shift").when(x.rlike(r"2\s*교대"), s("kind") == "two_shift").when(x.rlike("(?i)야간|나이트|night"), s("night")).when(x.rlike(r"(?i)당직|온\s*콜|on[ -]?call"), s("on_call")).when(x.rlike("교대"), s("shift"))
+    lacks = lambda x: F.when(x.rlike("(?i)야간|나이트|night"), s("night") == False).when(x.rlike(r"(?i)당직|온\s*콜|on[ -]?call"), s("on_call") == False).when(x.rlike("교대"), s("shift") == False)  # noqa: E712, E731
+    words = F.coalesce(F.col("search_text"), F.lit(""))
+    if hits is None:
+        blocked = _any(F.col("q_excluded_keywords"), lambda k: words.contains(F.lower(k)))
+        liked = _any(F.col("q_keywords"), lambda k: words.contains(F.lower(k)))
+    else:
+        blocked, liked = (F.arrays_overlap(F.col(hits), F.col(c)) for c in ("q_excluded_keywords", "q_keywords"))
+    level = F.coalesce(F.col("experience_level"), F.lit(""))
+    kinds = F.coalesce("employment_types", F.array().cast("array<string>"))
+    p = p.withColumns({
+        "required_role": tri(some("role_tags"), F.arrays_overlap(roles, "q_role_tags"), F.size(roles) > 0),
+        "required_qualification": tri(some("qualifications"), (el != "ineligible") & qualified, el == "ineligible"),
+        "required_region": tri(some("regions"), _any(F.col("q_regions"), lambda r: region.contains(r)), region != ""),
+        "required_weekday_daytime": tri(F.col("q_weekday_daytime"), day == "confirmed", day == "mismatched"),
+        "excluded_patterns": F.when(some("excluded_patterns"), F.when(_any(F.col("q_excluded_patterns"), lambda x: F.coalesce(has(x), F.lit(False))), MISMATCHED).when(F.forall(F.col("q_excluded_patterns"), lambda x: F.coalesce(lacks(x), F.lit(False))), MATCHED).otherwise(UNKNOWN)),
+        "excluded_keywords": F.when(some("excluded_keywords"), F.when(blocked, MISMATCHED).when(F.col("checked"), MATCHED).otherwise(UNKNOWN)),
+        "preferred_employment": tri(some("employment_types"), F.arrays_overlap(kinds, "q_employment_types"), F.size(kinds) > 0),
+        "preferred_experience": tri(some("experience_levels"), _any(F.col("q_experience_levels"), lambda x: F.when(x == "신입·무관", level.rlike("신입|무관")).otherwise(level.contains(x))), level != ""),
+        "preferred_salary": tri(F.col("q_salary_minimum").isNotNull(), F.col("salary_minimum") >= F.col("q_salary_minimum"), F.col("salary_minimum") < F.col("q_salary_minimum")),
+        "preferred_keywords": F.when(some("keywords"), F.when(liked, MATCHED).when(F.col("checked"), MISMATCHED).otherwise(UNKNOWN)),
+    })
+    decisive = [c for c in p.columns if c.startswith(("required_", "excluded_"))]
+    every = decisive + [c for c in p.columns if c.startswith("preferred_")]
+    count = lambda cols, v: sum((F.when(F.col(c) == v, 1).otherwise(0) for c in cols), F.lit(0))
+    p = p.withColumns({"confirmed_count": count(every, MATCHED), "unknown_count": count(every, UNKNOWN), "mismatched_count": count(every, MISMATCHED), "overall": F.when(count(decisive, MISMATCHED) > 0, "mismatched").when(count(decisive, UNKNOWN) > 0, "needs_review").otherwise("confirmed")})
+    p = p.withColumn("top_recommendation", (F.col("overall") == "confirmed") & ~F.coalesce("stale", F.lit(False)) & ~F.coalesce("eligibility.composite", F.lit(False)))
+    p = p.select("query_id", "ord", *every, "confirmed_count", "unknown_count", "mismatched_count", "overall", "top_recommendation", "published_at")
+    return p
+
+
 def match_queries(postings: DataFrame, criteria: DataFrame, *, top: int | None = None, block: int = 4096) -> DataFrame:
-    """Every query against every posting, with a status for each condition and the outcome.
+    """Every query against every posting, with a status for each condition and the outcome: the report on a few
+    stated queries. Many of them, mismatched pairs left out, are for :func:`query_index.match_stored`.
 
     postings have ord, search_text, role_tags, eligibility (of :func:`eligibility`), region, schedule (of schedule_of),
     employment_types, experience_level, salary_minimum, checked (detail seen), stale and published_at. A condition is matched,
     mismatched, unknown, or null if not asked. Any mismatch of required or excluded ones decides, then any unknown. With ``top``
     only each query's best rows stay: a limit of the report.
     """
-    tri = lambda asked, yes, no: F.when(asked, F.when(yes, MATCHED).when(no, MISMATCHED).otherwise(UNKNOWN))
-
-    def judge(p: DataFrame) -> DataFrame:
-        some = lambda c: F.size(f"q_{c}") > 0
-        roles = F.array_union(F.coalesce("role_tags", F.array().cast("array<string>")), text.all_labels(F.col("search_text"), [(js(w), r) for r, w in ROLE_WORDS.items()]))
-        listed, el = F.col("eligibility.qualifications"), F.col("eligibility.status")
-        licence = F.array_contains("q_qualifications", "간호사 면허")
-        qualified = _any(listed, lambda q: (q != "간호사 면허") & F.array_contains(F.col("q_qualifications"), q)) | ((el == "eligible") & licence)
-        region = F.coalesce(F.col("region"), F.lit(""))
-        day = F.col("schedule.weekday_daytime")
-        s = lambda f: F.col(f"schedule.{f}")
-        has = lambda x: F.when(x.rlike(r"3\s*교대"), s("kind") == "three_shift").when(x.rlike(r"2\s*교대"), s("kind") == "two_shift").when(x.rlike("(?i)야간|나이트|night"), s("night")).when(x.rlike(r"(?i)당직|온\s*콜|on[ -]?call"), s("on_call")).when(x.rlike("교대"), s("shift"))
-        lacks = lambda x: F.when(x.rlike("(?i)야간|나이트|night"), s("night") == False).when(x.rlike(r"(?i)당직|온\s*콜|on[ -]?call"), s("on_call") == False).when(x.rlike("교대"), s("shift") == False)  # noqa: E712, E731
-        words = F.coalesce(F.col("search_text"), F.lit(""))
-        blocked = _any(F.col("q_excluded_keywords"), lambda k: words.contains(F.lower(k)))
-        liked = _any(F.col("q_keywords"), lambda k: words.contains(F.lower(k)))
-        level = F.coalesce(F.col("experience_level"), F.lit(""))
-        kinds = F.coalesce("employment_types", F.array().cast("array<string>"))
-        p = p.withColumns({
-            "required_role": tri(some("role_tags"), F.arrays_overlap(roles, "q_role_tags"), F.size(roles) > 0),
-            "required_qualification": tri(some("qualifications"), (el != "ineligible") & qualified, el == "ineligible"),
-            "required_region": tri(some("regions"), _any(F.col("q_regions"), lambda r: region.contains(r)), region != ""),
-            "required_weekday_daytime": tri(F.col("q_weekday_daytime"), day == "confirmed", day == "mismatched"),
-            "excluded_patterns": F.when(some("excluded_patterns"), F.when(_any(F.col("q_excluded_patterns"), lambda x: F.coalesce(has(x), F.lit(False))), MISMATCHED).when(F.forall(F.col("q_excluded_patterns"), lambda x: F.coalesce(lacks(x), F.lit(False))), MATCHED).otherwise(UNKNOWN)),
-            "excluded_keywords": F.when(some("excluded_keywords"), F.when(blocked, MISMATCHED).when(F.col("checked"), MATCHED).otherwise(UNKNOWN)),
-            "preferred_employment": tri(some("employment_types"), F.arrays_overlap(kinds, "q_employment_types"), F.size(kinds) > 0),
-            "preferred_experience": tri(some("experience_levels"), _any(F.col("q_experience_levels"), lambda x: F.when(x == "신입·무관", level.rlike("신입|무관")).otherwise(level.contains(x))), level != ""),
-            "preferred_salary": tri(F.col("q_salary_minimum").isNotNull(), F.col("salary_minimum") >= F.col("q_salary_minimum"), F.col("salary_minimum") < F.col("q_salary_minimum")),
-            "preferred_keywords": F.when(some("keywords"), F.when(liked, MATCHED).when(F.col("checked"), MISMATCHED).otherwise(UNKNOWN)),
-        })
-        decisive = [c for c in p.columns if c.startswith(("required_", "excluded_"))]
-        every = decisive + [c for c in p.columns if c.startswith("preferred_")]
-        count = lambda cols, v: sum((F.when(F.col(c) == v, 1).otherwise(0) for c in cols), F.lit(0))
-        p = p.withColumns({"confirmed_count": count(every, MATCHED), "unknown_count": count(every, UNKNOWN), "mismatched_count": count(every, MISMATCHED), "overall": F.when(count(decisive, MISMATCHED) > 0, "mismatched").when(count(decisive, UNKNOWN) > 0, "needs_review").otherwise("confirmed")})
-        p = p.withColumn("top_recommendation", (F.col("overall") == "confirmed") & ~F.coalesce("stale", F.lit(False)) & ~F.coalesce("eligibility.composite", F.lit(False)))
-        p = p.select("query_id", "ord", *every, "confirmed_count", "unknown_count", "mismatched_count", "overall", "top_recommendation", "published_at")
-        return _ranked(p, RANK_MATCH(), top)
-
+    judge = lambda p: _ranked(judged(p), RANK_MATCH(), top)
     pairs = _against(postings, normalize_criteria(criteria), judge, block)
     return pairs.drop("published_at")
 

@@ -8,12 +8,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .applications import application_state  # noqa: F401
 from .components import connected_components
 from .select import cap_per_key, identities
 
 # The steps of an application.
 NEXT_STATUS = {"interested": "preparing", "preparing": "applied", "applied": "interview", "interview": "final"}
-STATUSES = ("interested", "preparing", "applied", "interview", "final")
 
 
 def fold_events(events: DataFrame, key_cols: Sequence[str], op_col: str, ts_col: str, *, seq_col: str | None = None) -> DataFrame:
@@ -90,15 +90,6 @@ def rekey(refs: DataFrame, mapping: DataFrame, *, key: str = "job_key") -> DataF
     return refs.join(m, key, "left").withColumn(key, F.coalesce("new_key", key)).drop("new_key")
 
 
-def application_state(events: DataFrame) -> DataFrame:
-    """The last value of each column over a job's events in order; a final result holds only in the final status, unknown statuses don't count."""
-    ok = events.where(F.col("status").isNull() | F.col("status").isin(*STATUSES))
-    cols = [c for c in ("status", "final_result", "due_at", "applied_at", "interview_at") if c in events.columns]
-    last = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("updated_at", "seq", F.col(c).alias("v"))))["v"].alias(c)
-    out = ok.groupBy("user_id", "job_key").agg(*[last(c) for c in cols], F.max("updated_at").alias("updated_at"))
-    return out.withColumn("final_result", F.when(F.col("status") == "final", F.col("final_result"))) if "final_result" in cols else out
-
-
 def next_status(status: Column) -> Column:
     """The step after a status."""
     return F.create_map(*[F.lit(x) for kv in NEXT_STATUS.items() for x in kv])[status]
@@ -117,11 +108,34 @@ def deadline_alerts(saved: DataFrame, postings: DataFrame, *, today: Column, day
     return j.select(F.concat_ws(":", F.lit("deadline"), "user_id", "job_key", F.col("days").cast("string")).alias("id"), "user_id", "job_key", "days", "deadline_at")
 
 
-def upsert_notifications(old: DataFrame, new: DataFrame) -> DataFrame:
-    """One row for each id, the newest; a time of reading stays."""
-    both = old.unionByName(new, allowMissingColumns=True)
-    rest = [c for c in both.columns if c not in ("id", "read_at")]
-    return both.groupBy("id").agg(F.max_by(F.struct(*rest), "scheduled_at").alias("_r"), F.max("read_at").alias("read_at")).select("id", "_r.*", "read_at")
+def upsert_notifications(old: DataFrame, new: DataFrame, *, at: str = "scheduled_at") -> DataFrame:
+    """One row for each id, the newest by ``at``, new rows after old ones; the first created_at and a time of reading stay.
+
+    With type and job_key among the columns, a job has one schedule notification: the newest, with what it was before
+    as far as no other one of the job came between.
+    """
+    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    if {"type", "job_key"} <= set(both.columns):
+        owner = [c for c in ("user_id", "job_key") if c in both.columns]
+        tied = F.coalesce((F.col("type") == "schedule") & F.col("job_key").isNotNull(), F.lit(False))
+        order = F.struct("_new", at, "id")
+        named = [F.col(c).alias(f"_{c}") for c in owner]
+        last = both.where(tied).groupBy(*named).agg(F.max_by("id", order).alias("_last"))
+        on = tied
+        for c in owner:
+            on &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+        held = both.join(last, on, "left")
+        other = tied & (F.col("id") != F.col("_last"))
+        breaks = held.where(other).groupBy(*[F.col(f"_{c}") for c in owner]).agg(F.max(order).alias("_break")).withColumnsRenamed({f"_{c}": f"_b_{c}" for c in owner})
+        on = tied
+        for c in owner:
+            on &= F.col(c).eqNullSafe(F.col(f"_b_{c}"))
+        held = held.where(~other).join(breaks, on, "left").where(F.col("_break").isNull() | (order > F.col("_break")))
+        both = held.select(both.columns)
+    fixed = [c for c in ("created_at",) if c in both.columns]
+    rest = [c for c in both.columns if c not in ("id", "read_at", "_new", *fixed)]
+    first = [F.min(c).alias(c) for c in fixed]
+    return both.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct("_new", at)).alias("_r"), *first, F.max("read_at").alias("read_at")).select("id", "_r.*", *fixed, "read_at")
 
 
 def unread_count(notifications: DataFrame) -> DataFrame:
@@ -129,6 +143,14 @@ def unread_count(notifications: DataFrame) -> DataFrame:
     return notifications.groupBy("user_id").agg(F.count_if(F.col("read_at").isNull()).alias("unread"))
 
 
+def user_counts(saved: DataFrame, hidden: DataFrame, notifications: DataFrame) -> DataFrame:
+    """What each user has saved and hidden, and unread notifications; 0 where there are none."""
+    one = lambda df, n, c=F.lit(1): df.select("user_id", F.lit(n).alias("kind"), c.cast("int").alias("n"))  # noqa: E731, B008
+    rows = one(saved.dropDuplicates(["user_id", "job_key"]), "saved").union(one(hidden.dropDuplicates(["user_id", "job_key"]), "hidden")).union(one(notifications, "unread", F.col("read_at").isNull()))
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k)
+    return rows.groupBy("user_id").agg(of("saved"), of("hidden"), of("unread"))
+
+
 def adjacent_compaction(mutations: DataFrame, *, keep: int = 100) -> DataFrame:
     """Of mutations in a row with one key the last stays, then the newest 100 of each owner."""
     w = Window.partitionBy("owner").orderBy("seq")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, rules, text, urls
-from ..operators import classify, incremental, match, reputation, resolve, sections, select, trust, userstate
+from ..operators import applications, classify, incremental, match, query_index, reputation, resolve, sections, select, trust, userstate
 from ..sources import extract
 from .bind import TODAY, postings, table
 
@@ -399,6 +399,104 @@ def match_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.match_queries(p, q).select("query_id", "ord", "required_region", "excluded_keywords", "preferred_salary", "overall")
 
 
+@query(
+    """WITH p AS (
+  SELECT o_orderkey AS ord, n_name AS region, lower(o_orderpriority) || ' ' || lower(c_mktsegment) AS words,
+         CASE o_orderstatus WHEN 'F' THEN ['clinical-nurse'] WHEN 'O' THEN ['health-manager', 'occupational-nurse'] ELSE []::VARCHAR[] END AS roles,
+         CASE WHEN o_orderkey % 10 = 0 THEN 'ineligible' WHEN o_orderkey % 10 < 7 THEN 'eligible' ELSE 'unknown' END AS el,
+         CASE o_orderkey % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'mismatched' ELSE 'unknown' END AS day,
+         CASE o_orderkey % 5 WHEN 0 THEN true WHEN 1 THEN false END AS night,
+         CASE o_orderkey % 4 WHEN 0 THEN ['정규직'] WHEN 1 THEN ['계약직'] ELSE []::VARCHAR[] END AS kinds,
+         CASE o_orderkey % 6 WHEN 0 THEN '신입' WHEN 1 THEN '경력 3년' WHEN 2 THEN '무관' ELSE '' END AS level,
+         o_totalprice::BIGINT AS pay, o_orderkey % 2 = 0 AS checked, o_orderkey % 11 = 0 AS stale, o_orderdate::DATE AS d
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+), q AS (
+  SELECT c_custkey AS query_id, CASE WHEN c_custkey % 10 = 0 THEN NULL ELSE n_name END AS region, c_acctbal > 0 AS daytime, lower(c_mktsegment) AS avoid,
+         CASE WHEN c_acctbal < 2000 THEN 'health-manager' WHEN c_acctbal < 4000 THEN 'clinical-nurse' END AS role,
+         CASE WHEN c_acctbal < 5000 THEN '정규직' ELSE '계약직' END AS kind, CASE WHEN c_acctbal < 6000 THEN '신입·무관' ELSE '경력' END AS level,
+         100000 AS pay, 'urgent' AS liked, c_acctbal > 3000 AS no_night
+  FROM customer JOIN nation ON c_nationkey = n_nationkey
+), m AS (
+  SELECT query_id, ord, stale, d,
+    CASE WHEN role IS NULL THEN NULL WHEN list_contains(roles, role) THEN 'matched' WHEN len(roles) > 0 THEN 'mismatched' ELSE 'unknown' END AS required_role,
+    CASE el WHEN 'eligible' THEN 'matched' WHEN 'ineligible' THEN 'mismatched' ELSE 'unknown' END AS required_qualification,
+    CASE WHEN q.region IS NULL THEN NULL WHEN contains(p.region, q.region) THEN 'matched' ELSE 'mismatched' END AS required_region,
+    CASE WHEN NOT daytime THEN NULL WHEN day = 'confirmed' THEN 'matched' WHEN day = 'mismatched' THEN 'mismatched' ELSE 'unknown' END AS required_weekday_daytime,
+    CASE WHEN NOT no_night THEN NULL WHEN night THEN 'mismatched' WHEN NOT night THEN 'matched' ELSE 'unknown' END AS excluded_patterns,
+    CASE WHEN contains(words, avoid) THEN 'mismatched' WHEN checked THEN 'matched' ELSE 'unknown' END AS excluded_keywords,
+    CASE WHEN list_contains(kinds, kind) THEN 'matched' WHEN len(kinds) > 0 THEN 'mismatched' ELSE 'unknown' END AS preferred_employment,
+    CASE WHEN (q.level = '신입·무관' AND (contains(p.level, '신입') OR contains(p.level, '무관'))) OR (q.level = '경력' AND contains(p.level, '경력')) THEN 'matched'
+         WHEN p.level <> '' THEN 'mismatched' ELSE 'unknown' END AS preferred_experience,
+    CASE WHEN p.pay >= q.pay THEN 'matched' ELSE 'mismatched' END AS preferred_salary,
+    CASE WHEN contains(words, liked) THEN 'matched' WHEN checked THEN 'mismatched' ELSE 'unknown' END AS preferred_keywords
+  FROM p, q WHERE q.region IS NULL OR contains(p.region, q.region)
+), c AS (
+  SELECT *, [required_role, required_qualification, required_region, required_weekday_daytime, excluded_patterns, excluded_keywords] AS decisive,
+         decisive || [preferred_employment, preferred_experience, preferred_salary, preferred_keywords] AS every FROM m
+), o AS (
+  SELECT *, CASE WHEN list_contains(decisive, 'mismatched') THEN 'mismatched' WHEN list_contains(decisive, 'unknown') THEN 'needs_review' ELSE 'confirmed' END AS overall,
+         len(list_filter(every, lambda x: x = 'matched'))::INT AS confirmed_count, len(list_filter(every, lambda x: x = 'unknown'))::INT AS unknown_count FROM c
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (overall = 'confirmed' AND NOT stale) DESC, overall, confirmed_count DESC, unknown_count, d DESC, ord)::INT AS rank
+  FROM o WHERE overall <> 'mismatched'
+)
+SELECT query_id, ord, rank, overall, confirmed_count, unknown_count, required_role, required_qualification, required_region, required_weekday_daytime,
+       excluded_patterns, excluded_keywords, preferred_employment, preferred_experience, preferred_salary, preferred_keywords FROM r WHERE rank <= 5"""
+)
+def stored_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best postings of every customer's stored query, by the index over queries."""
+    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    o = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    key = F.col("o_orderkey")
+    texts = lambda *v: F.array(*[F.lit(x) for x in v]).cast("array<string>")
+    day = F.when(key % 3 == 0, "confirmed").when(key % 3 == 1, "mismatched").otherwise("unknown")
+    status = F.when(key % 10 == 0, "ineligible").when(key % 10 < 7, "eligible").otherwise("unknown")
+    p = o.select(
+        key.alias("ord"), F.concat_ws(" ", F.lower("o_orderpriority"), F.lower("c_mktsegment")).alias("search_text"), F.col("n_name").alias("region"),
+        F.when(F.col("o_orderstatus") == "F", texts("clinical-nurse")).when(F.col("o_orderstatus") == "O", texts("health-manager", "occupational-nurse")).otherwise(texts()).alias("role_tags"),
+        F.struct(texts().alias("qualifications"), status.alias("status"), F.lit(False).alias("composite")).alias("eligibility"),
+        F.struct(F.lit("other").alias("kind"), F.when(key % 5 == 0, True).when(key % 5 == 1, False).alias("night"), F.lit(None).cast("boolean").alias("on_call"), F.lit(None).cast("boolean").alias("shift"), day.alias("weekday_daytime")).alias("schedule"),
+        F.when(key % 4 == 0, texts("정규직")).when(key % 4 == 1, texts("계약직")).otherwise(texts()).alias("employment_types"),
+        F.when(key % 6 == 0, "신입").when(key % 6 == 1, "경력 3년").when(key % 6 == 2, "무관").otherwise("").alias("experience_level"),
+        F.round("o_totalprice").cast("long").alias("salary_minimum"), (key % 2 == 0).alias("checked"), (key % 11 == 0).alias("stale"), F.to_date("o_orderdate").alias("published_at"),
+    )
+    pay = F.col("c_acctbal")
+    q = c.select(
+        F.col("c_custkey").alias("query_id"), F.when(F.col("c_custkey") % 10 == 0, texts()).otherwise(F.array("n_name")).alias("regions"), (pay > 0).alias("weekday_daytime"), F.array("c_mktsegment").alias("excluded_keywords"),
+        F.when(pay < 2000, texts("health_manager")).when(pay < 4000, texts("clinical-nurse")).otherwise(texts()).alias("role_tags"), F.when(pay < 5000, texts("regular")).otherwise(texts("contract")).alias("employment_types"),
+        F.when(pay < 6000, texts("신입·무관")).otherwise(texts("경력")).alias("experience_levels"), F.lit(100_000).cast("long").alias("salary_minimum"), texts("URGENT").alias("keywords"), F.when(pay > 3000, texts("야간")).otherwise(texts()).alias("excluded_patterns"),
+    )
+    found = query_index.match_stored(p, q, top=5)
+    return found.drop("mismatched_count", "top_recommendation")
+
+
+@query(
+    """WITH RECURSIVE e AS (
+  SELECT event_id, user_id, event_id % 3 AS job_key, row_number() OVER (PARTITION BY user_id, event_id % 3 ORDER BY ts, event_id) AS n, event_id % 19 = 0 AS gone,
+         CASE event_type WHEN 'view' THEN 'interested' WHEN 'click' THEN 'preparing' WHEN 'signup' THEN 'applied' WHEN 'error' THEN 'interview' ELSE 'final' END AS status,
+         CASE event_id % 7 WHEN 0 THEN 'accepted' WHEN 1 THEN '' WHEN 2 THEN 'unheard of' END AS result
+  FROM events
+), r AS (
+  SELECT DISTINCT NULL::BIGINT AS event_id, user_id, job_key, 0::BIGINT AS n, true AS accepted, NULL::VARCHAR AS status_after, NULL::VARCHAR AS result_after FROM e
+  UNION ALL
+  SELECT event_id, user_id, job_key, n, gone OR fine, CASE WHEN gone THEN NULL WHEN fine THEN status ELSE status_after END, CASE WHEN gone THEN NULL WHEN fine THEN asked ELSE result_after END
+  FROM (SELECT e.*, r.status_after, r.result_after, nullif(coalesce(e.result, r.result_after), '') AS asked,
+               nullif(coalesce(e.result, r.result_after), '') IS NULL OR (nullif(coalesce(e.result, r.result_after), '') = 'accepted' AND e.status = 'final') AS fine
+        FROM r JOIN e ON e.user_id = r.user_id AND e.job_key = r.job_key AND e.n = r.n + 1)
+)
+SELECT event_id, accepted, status_after, result_after FROM r WHERE n > 0"""
+)
+def application_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which events of an application hold, and its state after each."""
+    e = table(spark, sf_dir, "events")
+    step = {"view": "interested", "click": "preparing", "signup": "applied", "error": "interview", "purchase": "final"}
+    status = F.create_map(*[F.lit(x) for kv in step.items() for x in kv])[F.col("event_type")]
+    part = F.col("event_id") % 7
+    result = F.when(part == 0, "accepted").when(part == 1, "").when(part == 2, "unheard of")
+    log = e.select("event_id", "user_id", (F.col("event_id") % 3).alias("job_key"), F.col("ts").alias("updated_at"), F.col("event_id").alias("seq"), status.alias("status"), result.alias("final_result"), F.when(F.col("event_id") % 19 == 0, "remove").alias("action"))
+    return applications.application_log(log).select("event_id", "accepted", "status_after", "result_after")
+
+
 _WISHES = "['서울 정규직 간호사 신입', '부산만 계약직 제외 상근', '10일 이내 마감', '야간 없는 외래 연봉', '대전 기간제 꼭']"
 
 

@@ -135,8 +135,8 @@ def test_user_state(spark):
     m = spark.createDataFrame([("u", 1, "save", "a"), ("u", 2, "remove", "a"), ("u", 3, "save", "b"), ("u", 4, "save", "b"), ("v", 5, "save", "a")], "owner string, seq int, action string, job_key string")
     assert sorted((r["owner"], r["job_key"]) for r in userstate.saved_set(m).collect()) == [("u", "b"), ("v", "a")]
     assert sorted(r["seq"] for r in userstate.adjacent_compaction(m).collect()) == [2, 4, 5]
-    a = spark.createDataFrame([("u", "j", 1, "applied", None), ("u", "j", 2, "final", "offer"), ("u", "j", 3, "nonsense", None)], "user_id string, job_key string, seq int, status string, final_result string").withColumn("updated_at", F.col("seq"))
-    assert userstate.application_state(a).first()["final_result"] == "offer"
+    a = spark.createDataFrame([("u", "j", 1, "applied", None), ("u", "j", 2, "final", "accepted"), ("u", "j", 3, "nonsense", None)], "user_id string, job_key string, seq int, status string, final_result string").withColumn("updated_at", F.col("seq"))
+    assert userstate.application_state(a).first()["final_result"] == "accepted"
     saved = spark.createDataFrame([("u", "j"), ("u", "k")], "user_id string, job_key string")
     posts = spark.createDataFrame([("j", dt.date(2026, 7, 14)), ("k", dt.date(2026, 7, 13))], "job_key string, deadline_at date")
     assert [r["job_key"] for r in userstate.deadline_alerts(saved, posts, today=TODAY()).collect()] == ["j"]
