@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from .feed import last_pointer, publish, read_published, snapshot_hash  # noqa: F401
 
 
 def union_sources(frames: dict[str, DataFrame]) -> DataFrame:
@@ -101,47 +102,6 @@ def upsert_details(cache: DataFrame, fetched: DataFrame, *, key: str = "url_key"
     return both.groupBy(key).agg(F.max("attempted_at").alias("attempted_at"), F.max(F.when(F.col("verified"), F.col("checked_at"))).alias("checked_at"), F.coalesce(F.bool_or("verified"), F.lit(False)).alias("verified"), F.max_by(F.struct(*rest), F.struct(good.isNotNull(), F.coalesce(good, F.col("attempted_at")))).alias("_d")).select(key, "attempted_at", "checked_at", "verified", "_d.*")
 
 
-def snapshot_hash(df: DataFrame) -> DataFrame:
-    """(rows, digest), the same whatever the order of rows."""
-    return df.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*[F.to_json(F.struct(c)) for c in sorted(df.columns)]).cast("decimal(38,0)")).alias("digest"))
-
-
-def publish(df: DataFrame, path: str, *, version: int, day: str) -> bool:
-    """Write a version unless it is empty or equal to the last, then add its pointer row. True if it was written.
-
-    Versions are never changed in place; readers follow the pointer, so they see a whole version or the one before.
-    """
-    spark = df.sparkSession
-    mark = snapshot_hash(df).first()
-    if not mark["rows"]:
-        return False
-    last = last_pointer(spark, path)
-    if last is not None and (last["rows"], last["digest"]) == (mark["rows"], mark["digest"]) and last["snapshot_day"] == day:
-        return False
-    df.write.mode("overwrite").parquet(f"{path}/version={version}")
-    spark.createDataFrame([(version, day, mark["rows"], mark["digest"], 1)], "version long, snapshot_day string, rows long, digest decimal(38,0), schema int").coalesce(1).write.mode("append").parquet(f"{path}/pointer")
-    return True
-
-
-def last_pointer(spark: SparkSession, path: str):
-    """The newest pointer row of schema 1 with rows, or None."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        pointers = spark.read.schema("version long, snapshot_day string, rows long, digest decimal(38,0), schema int").parquet(f"{path}/pointer")
-        return pointers.where("schema = 1 AND rows > 0").orderBy(F.desc("version")).first()
-    except AnalysisException:
-        return None
-
-
-def read_published(spark: SparkSession, path: str, *, day: str | None = None) -> DataFrame | None:
-    """The newest whole version with ``stale``, true if it is of another day; None if nothing was published."""
-    last = last_pointer(spark, path)
-    if last is None:
-        return None
-    return spark.read.parquet(f"{path}/version={last['version']}").withColumn("stale", F.lit(day is not None and last["snapshot_day"] != day))
-
-
 def append_feedback(feedback: DataFrame, path: str) -> None:
     """One row for each submission, by day; texts trimmed, blank ones left out."""
     rows = feedback.withColumn("message", F.trim("message")).where("message <> ''").withColumn("created_date", F.to_date("created_at"))

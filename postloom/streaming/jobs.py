@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import incremental
+from ..operators import feed
 
 
 def read_events(spark: SparkSession, path: str, schema: str, *, files: int = 8) -> DataFrame:
@@ -59,11 +59,11 @@ def upsert_batches(fold: Callable[[DataFrame, DataFrame | None], DataFrame], pat
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = incremental.last_pointer(spark, path)
+        before = feed.last_pointer(spark, path)
         if before is not None and before["version"] >= number + 1:
             return
-        old = spark.read.parquet(f"{path}/version={before['version']}") if before is not None else None
-        incremental.publish(fold(batch, old), path, version=number + 1, day="")
+        old = feed.read_version(spark, path, before) if before is not None else None
+        feed.publish(fold(batch, old), path, version=number + 1, day="")
 
     return run
 
