@@ -168,7 +168,8 @@ def similar_pairs(docs: DataFrame, size: int, least: Fraction, *, rows: DataFram
     sized = sized.join(odds.select(F.col("id").alias("r"), F.col("n").alias("m"), F.col("parity").alias("y")), "r")
     pairs = stored(sized.select("l", "r", "x", "y", "n", "m").mapInArrow(plausible, link).distinct(), "jaccard-pairs")
     ids = pairs.select(F.col("l").alias("id")).union(pairs.select("r")).union(crowd.select("id")).distinct()
-    sets = stored(_sets(_perhaps(docs, ids).join(ids, "id", "left_semi"), size), "jaccard-sets")
+    # inner, as a semi join would be pushed below the bitmap and deal out every text
+    sets = stored(_sets(_perhaps(docs, ids).join(ids, "id"), size), "jaccard-sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
