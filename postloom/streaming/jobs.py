@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import feed
+from .state import admission_stream  # noqa: F401
 
 
 def read_events(spark: SparkSession, path: str, schema: str, *, files: int = 8) -> DataFrame:
@@ -33,24 +32,6 @@ def first_views(events: DataFrame, *, keys: list[str], at: str = "ts", late: str
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def admission_stream(events: DataFrame, *, key: str, at: str, limit: int, seconds: float, tie: str) -> DataFrame:
-    """(key, id, admitted) for a stream; the state of a key is its admitted times in the window, at most ``limit``."""
-
-    def admit(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
-        df = pd.concat(list(batches)).sort_values([at, tie])
-        flags = []
-        for t in df[at].map(lambda x: x.timestamp()):
-            times = [x for x in times if t - x < seconds]
-            flags.append(len(times) < limit)
-            if flags[-1]:
-                times.append(t)
-        state.update((times,))
-        yield pd.DataFrame({"key": str(name[0]), "id": df[tie].astype(str), "admitted": flags})
-
-    return events.groupBy(key).applyInPandasWithState(admit, "key string, id string, admitted boolean", "times array<double>", "append", GroupStateTimeout.NoTimeout)
-
-
 def upsert_batches(fold: Callable[[DataFrame, DataFrame | None], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch that folds each batch into the state under path; the version of a batch is written once and then pointed to.
 
