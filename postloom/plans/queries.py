@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, rules, text, urls
-from ..operators import applications, classify, incremental, match, query_index, reputation, resolve, sections, select, trust, userstate
+from ..operators import applications, classify, incremental, match, query_index, reputation, rollover, resolve, sections, select, trust, userstate
 from ..sources import extract
+from ..storage import new_path
 from .bind import TODAY, postings, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -497,6 +499,29 @@ def application_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return applications.application_log(log).select("event_id", "accepted", "status_after", "result_after")
 
 
+@query(
+    """WITH o AS (SELECT o_orderkey AS ord, o_orderdate::DATE AS d, o_orderdate::DATE - (o_orderkey % 40)::INT AS p, DATE '1995-06-15' AS t FROM orders),
+a AS (SELECT *, date_diff('day', t, d) AS left_, date_diff('day', p, t) AS age FROM o)
+SELECT ord, CASE WHEN left_ < 0 THEN 'expired' WHEN left_ = 0 THEN 'today' WHEN left_ <= 3 THEN 'closing-soon' ELSE 'upcoming' END AS deadline_status,
+       CASE WHEN left_ < 0 THEN 'closed' WHEN left_ = 0 THEN 'today' WHEN left_ <= 7 THEN 'soon' ELSE 'open' END AS deadline_label,
+       CASE WHEN age <= 3 THEN 'new' WHEN age <= 14 THEN 'recent' ELSE 'stale' END AS freshness,
+       CASE WHEN age <= 7 THEN 0 WHEN age <= 14 THEN 2 WHEN age <= 28 THEN 5 ELSE 9 END AS age_penalty, age <= 30 AS listed,
+       list_min(list_filter([d - 7, d - 3, d, d + 1, p + 4, p + 8, p + 15, p + 29, p + 31], lambda x: x > t))::VARCHAR AS next_change FROM a"""
+)
+def day_rollover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of every order that follow from the day, rolled over five days by their calendar."""
+    o = table(spark, sf_dir, "orders").withColumn("deadline_at", F.to_date("o_orderdate"))
+    p = o.select(
+        F.col("o_orderkey").alias("ord"), "deadline_at", F.lit("fixed").alias("deadline_kind"), F.lit("").alias("deadline"),
+        F.date_sub("deadline_at", (F.col("o_orderkey") % 40).cast("int")).alias("published_at"), F.lit(None).cast("timestamp").alias("first_seen_at"),
+    )
+    path = new_path(spark, "rollover")
+    rollover.start(p, path, datetime.date(1995, 6, 10))
+    for day in (11, 12, 15):
+        rollover.roll(spark, path, datetime.date(1995, 6, day))
+    return rollover.read_day(spark, path, datetime.date(1995, 6, 15)).select("ord", *rollover.DERIVED).withColumn("next_change", F.col("next_change").cast("string"))
+
+
 _WISHES = "['서울 정규직 간호사 신입', '부산만 계약직 제외 상근', '10일 이내 마감', '야간 없는 외래 연봉', '대전 기간제 꼭']"
 
 
