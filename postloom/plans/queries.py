@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, rules, text, urls
-from ..operators import applications, classify, incremental, match, query_index, reputation, rollover, resolve, sections, select, trust, userstate
+from ..operators import applications, classify, enrich, incremental, match, query_index, reputation, rollover, resolve, sections, select, trust, userstate
 from ..sources import extract
 from ..storage import new_path
 from .bind import TODAY, postings, table
@@ -522,6 +522,48 @@ def day_rollover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollover.read_day(spark, path, datetime.date(1995, 6, 15)).select("ord", *rollover.DERIVED).withColumn("next_change", F.col("next_change").cast("string"))
 
 
+@query(
+    """WITH d AS (
+  SELECT o_custkey AS c, o_orderdate AS tm, o_orderpriority AS experience,
+         CASE o_orderkey % 4 WHEN 0 THEN 'nursing-general' WHEN 1 THEN CASE WHEN o_custkey % 2 = 0 THEN 'clinical' ELSE 'health-manager' END WHEN 2 THEN CASE WHEN o_custkey % 5 = 0 THEN 'clinical' END END AS domain,
+         1 + (o_orderkey % 3)::INT AS strength
+  FROM orders WHERE o_orderkey % 3 <> 1 AND o_orderkey % 7 <> 0
+), e AS (
+  SELECT c, struct_extract(max({'tm': tm, 'v': experience}), 'v') AS experience FROM d GROUP BY c HAVING max(tm) >= TIMESTAMP '1998-08-01' - INTERVAL 200 DAY AND max(tm) <= TIMESTAMP '1998-08-01 00:05:00'
+), b AS (
+  SELECT c, domain, max(strength) AS strength, CASE domain WHEN 'nursing-general' THEN 1 ELSE 2 END AS rank FROM d WHERE domain IS NOT NULL GROUP BY c, domain
+), t AS (
+  SELECT c, max(rank) AS rank FROM b GROUP BY c
+), s AS (
+  SELECT b.c, any_value(b.domain) AS domain, any_value(b.strength) AS strength, any_value(b.rank) AS rank FROM b JOIN t ON b.c = t.c AND b.rank = t.rank GROUP BY b.c HAVING count(*) = 1
+), p AS (
+  SELECT o_orderkey AS ord, o_custkey AS c, CASE WHEN o_orderkey % 5 = 0 THEN 'own' END AS experience, CASE o_orderkey % 6 WHEN 0 THEN 'clinical' WHEN 1 THEN 'nursing-general' END AS domain FROM orders
+)
+SELECT ord, coalesce(p.experience, e.experience) AS experience, e.c IS NOT NULL AS enriched,
+       CASE WHEN e.c IS NULL OR s.c IS NULL THEN p.domain WHEN p.domain IS NULL THEN s.domain WHEN p.domain = s.domain THEN p.domain
+            WHEN s.rank > CASE p.domain WHEN 'nursing-general' THEN 1 ELSE 2 END THEN s.domain ELSE p.domain END AS experience_domain
+FROM p LEFT JOIN e ON p.c = e.c LEFT JOIN s ON s.c = e.c"""
+)
+def enriched_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with what the details of any order of their customer taught, merged from two batches."""
+    o, key, who = table(spark, sf_dir, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    name = lambda c, of: F.concat(F.lit(c), of.cast("string"))
+    domain = F.when(key % 4 == 0, "nursing-general").when(key % 4 == 1, F.when(who % 2 == 0, "clinical").otherwise("health-manager")).when((key % 4 == 2) & (who % 5 == 0), "clinical")
+    strength = F.when(key % 3 == 0, "title-context").when(key % 3 == 1, "explicit").otherwise("explicit-detail")
+    d = o.where(key % 3 != 1).select(
+        F.array(name("o", key)).alias("ids"), F.array(name("https://c/", who)).alias("urls"), F.col("o_orderdate").cast("timestamp").alias("checked_at"), (key % 7 != 0).alias("verified"),
+        F.col("o_orderpriority").alias("experience"), domain.alias("experience_domain"), F.lit("title").alias("evidence_field"), F.lit("words").alias("evidence"), strength.alias("strength"),
+    )
+    states = [enrich.details_state(d.where(F.col("checked_at") < "1996-01-01"), ["experience"]), enrich.details_state(d.where(F.col("checked_at") >= "1996-01-01"), ["experience"])]
+    p = o.select(
+        key.alias("ord"), name("o", key).alias("id"), name("https://c/", who).alias("url"), F.when(key % 5 == 0, "own").alias("experience"),
+        F.when(key % 6 == 0, "clinical").when(key % 6 == 1, "nursing-general").alias("experience_domain"), F.lit(None).cast("string").alias("evidence_strength"),
+    )
+    now = F.lit("1998-08-01").cast("timestamp")
+    out = enrich.enrich(p, enrich.merge_states(*states), ["experience"], now=now, ttl_days=200)
+    return out.select("ord", "experience", "enriched", "experience_domain")
+
+
 _WISHES = "['서울 정규직 간호사 신입', '부산만 계약직 제외 상근', '10일 이내 마감', '야간 없는 외래 연봉', '대전 기간제 꼭']"
 
 
