@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, rules, text, urls
-from ..operators import applications, classify, enrich, incremental, match, query_index, reputation, rollover, resolve, sections, select, trust, userstate
+from ..operators import applications, classify, enrich, experience, incremental, match, query_index, reputation, rollover, resolve, sections, select, trust, userstate
 from ..sources import extract
 from ..storage import new_path
 from .bind import TODAY, postings, table
@@ -564,6 +564,21 @@ def enriched_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("ord", "experience", "enriched", "experience_domain")
 
 
+@query(
+    r"""WITH c AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\n+|[.!?。；;]|\s*[•●▪]\s*')) AS clause FROM documents),
+d AS (
+  SELECT doc_id, bool_or(regexp_matches(x, '(?i)tion.{0,18}from|from.{0,18}tion')) AS north, bool_or(regexp_matches(x, '(?i)ing.{0,18}from|from.{0,18}ing')) AS south
+  FROM (SELECT doc_id, trim(regexp_replace(clause, '\s+', ' ', 'g')) AS x FROM c) GROUP BY doc_id
+)
+SELECT doc_id, CASE WHEN north AND NOT south THEN 'north' WHEN south AND NOT north THEN 'south' ELSE 'unspecified' END AS domain FROM d"""
+)
+def experience_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The domain whose terms stand near a career word, of every document, with words of the documents as rules."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("description"))
+    out = experience.experience_domain(d, key="doc_id", terms={"north": "tion", "south": "ing"}, career="from", general=None)
+    return out.select("doc_id", "domain")
+
+
 _WISHES = "['서울 정규직 간호사 신입', '부산만 계약직 제외 상근', '10일 이내 마감', '야간 없는 외래 연봉', '대전 기간제 꼭']"
 
 
