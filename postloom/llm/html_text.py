@@ -29,7 +29,9 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _AWAY_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertisements advertising adsense sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices newsletter popup modal overlay copyright colophon pagination pager contentinfo complementary".split()
 )
-_MAYBE_AWAY_WORDS = frozenset("header masthead banner alert alerts toolbar widget widgets search login signup subscribe social share sharing tags meta form links skip".split())
+_MAYBE_AWAY_WORDS = frozenset("banner toolbar search login signup subscribe social share sharing tags links skip".split())
+#: Words for what heads or fills a page or an article alike: inside an article they say nothing.
+_EITHER_WORDS = frozenset("header masthead alert alerts widget widgets meta form".split())
 _HOME_WORDS = frozenset("article articlebody main content post entry story maincontent".split())
 
 #: Words before another word that say that an element has or lacks it, not that it is it.
@@ -91,9 +93,11 @@ def _kind(tag: str, attrs: str) -> int:
                     found = max(found, _MARKED)
                 elif ends & _MAYBE_AWAY_WORDS:
                     found = max(found, _SOFT)
+                elif ends & _EITHER_WORDS:
+                    found = max(found, _HEADER)
                 elif ends & _HOME_WORDS:
                     found = max(found, _HOME_MARK)
-    if tag in _HOME and found in (_NEUTRAL, _HOME_MARK, _SOFT):
+    if tag in _HOME and found in (_NEUTRAL, _HOME_MARK, _HEADER, _SOFT):
         return _HOME_TAG
     if tag == "header":
         return max(found, _HEADER)
@@ -337,6 +341,8 @@ def main_text(page: str | None) -> str:
     found = settings(read)
     has_home = any(found[b.element] in (_HOME_TAG, _HOME_MARK) for b in read.blocks)
     kept = min_cut([evidence(b, found[b.element], has_home) for b in read.blocks], ties(read, found))
+    if not any(kept):  # a page of short lines alone: what nothing marks and no links fill
+        kept = [found[b.element] in (_NEUTRAL, _HOME_TAG, _HOME_MARK) and 2 * b.links < len(b.text) for b in read.blocks]
     return "\n".join(b.text for b, k in zip(read.blocks, kept, strict=True) if k)
 
 

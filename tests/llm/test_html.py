@@ -87,3 +87,14 @@ def test_odd_pages(spark):
     assert len(out) == 7 and all(r["n_chars"] == len(r["text"]) for r in out)
     assert [r["text"] for r in out if r["page_id"] in (1, 2, 4)] == [""] * 4
     assert m.extract_main_text(df.limit(0)).count() == 0
+
+
+def test_headers_inside_articles_stay():
+    prose = "This is a long paragraph of plain prose that an article would hold, with many words in it and an end. " * 3
+    for mark in ("entry-header", "article-header", "post-header"):
+        page = f'<header class="site-header"><a href="/">Home</a></header><article><header class="{mark}"><h1>Rain</h1><p>The standfirst.</p></header><p>{prose}</p></article>'
+        assert m.main_text(page) == f"Rain\nThe standfirst.\n{prose.strip()}"
+    for mark in ("form-group", "video-widget", "meta-analysis", "alert"):
+        assert m.main_text(f'<article><h1>Title of it</h1><p>{prose}</p><div class="{mark}"><p>{prose}</p></div></article>').count(prose.strip()) == 2
+    assert m.main_text("<div><h1>Recipe</h1><ul><li>Flour<li>Two eggs</ul></div>") == "Recipe\nFlour\nTwo eggs"
+    assert m.main_text("<p>One short line.</p>") == "One short line." and m.main_text("<nav><a href=x>Menu</a></nav>") == ""
