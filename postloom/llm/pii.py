@@ -169,9 +169,13 @@ def _ssn(key: str, hit: Column) -> Column:
     return F.when(valid, written)
 
 
+#: Country codes of international numbers: one digit, two, or else three; no code begins another.
+_COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
+
 def _phone(key: str, hit: Column) -> Column:
-    """The country code stays; 7 to 15 digits make a number."""
-    own = F.regexp_extract(hit, r"^\+[0-9]{1,3}(?=[ .(-])", 0)
+    """The country code stays, and the digits after it are permuted whatever stands between them; 7 to 15 digits make a number."""
+    own = F.regexp_extract(hit, _COUNTRY, 0)
     rest = F.substring(hit, F.length(own) + 1, F.length(hit))
     n = F.length(_digits(hit))
     return F.when((n >= 7) & (n <= 15), F.concat(own, _refill(rest, permute_digits(key, "phone", _digits(rest)))))
@@ -219,10 +223,13 @@ def pseudonymize(docs: DataFrame, *, key: str, text_col: str = "text", into: str
     text = F.col(text_col)
     hits = F.regexp_extract_all(text, F.lit(REGEX), F.lit(0))
     moved = F.transform(hits, lambda h: F.struct(h.alias("hit"), pseudonym(h, key).alias("p")))
-    cut = docs.withColumn("_moved", F.when(text.rlike(r"[0-9@]|AKIA|(?i:password|passwd|secret|token|api_key)"), moved))
+    at, new_at = "_moved", "_new"
+    while {at, new_at} & set(docs.columns):
+        at, new_at = f"{at}_", f"{new_at}_"
+    cut = docs.withColumn(at, F.when(text.rlike(r"[0-9@]|AKIA|(?i:password|passwd|secret|token|api_key)"), moved))
     pieces = F.split(text, REGEX, -1)
-    fill = F.transform("_moved", lambda m: F.coalesce(m["p"]["value"], m["hit"]))
+    fill = F.transform(at, lambda m: F.coalesce(m["p"]["value"], m["hit"]))
     woven = F.array_join(F.transform(F.arrays_zip(pieces.alias("t"), F.concat(fill, F.array(F.lit(""))).alias("f")), lambda x: F.concat(x["t"], x["f"])), "")
-    new = F.when(F.size("_moved") > 0, woven).otherwise(text)
-    pii = F.when(F.col("_moved").isNull(), F.array().cast("array<struct<kind:string,value:string>>")).otherwise(F.transform(F.filter("_moved", lambda m: m["p"]["kind"].isNotNull()), lambda m: m["p"]))
-    return cut.withColumn("_new", new).withColumn("pii", pii).withColumn(into or text_col, F.col("_new")).drop("_moved", "_new")
+    new = F.when(F.size(at) > 0, woven).otherwise(text)
+    pii = F.when(F.col(at).isNull(), F.array().cast("array<struct<kind:string,value:string>>")).otherwise(F.transform(F.filter(at, lambda m: m["p"]["kind"].isNotNull()), lambda m: m["p"]))
+    return cut.withColumn(new_at, new).withColumn("pii", pii).withColumn(into or text_col, F.col(new_at)).drop(at, new_at)

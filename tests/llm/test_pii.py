@@ -82,3 +82,13 @@ def test_equals_a_plain_feistel(spark):
     pairs = [(rng.randrange(366), rng.randrange(97)) for _ in range(100)]
     moved = spark.createDataFrame(pairs, "a int, b int").select("a", "b", m.feistel("k", "t", F.col("a"), F.col("b"), F.lit(366), F.lit(97)).alias("o")).collect()
     assert all((r["o"]["a"], r["o"]["b"]) == turns("t", r["a"], r["b"], 366, 97) for r in moved)
+
+
+def test_notations_of_a_phone_are_linked_and_columns_stay(spark):
+    texts = ["call +1 212-555-0100 now", "call +12125550100 now", "call +1 (212) 555.0100 now", "call +44 20 7946 0958 now", "call +442079460958 now"]
+    df = spark.createDataFrame([(t, 1, 2, 3) for t in texts], "text string, _moved int, _new int, _new_ int")
+    rows = m.pseudonymize(df, key="k").collect()
+    digits = ["".join(c for c in r["text"] if c.isdigit()) for r in rows]
+    assert digits[0] == digits[1] == digits[2] != "12125550100" and digits[3] == digits[4] != "442079460958"
+    assert digits[0][0] == "1" and digits[3][:2] == "44" and all(len(d) == len(x) for d, x in zip(digits, ["12125550100"] * 3 + ["442079460958"] * 2))
+    assert {(r["_moved"], r["_new"], r["_new_"]) for r in rows} == {(1, 2, 3)} and rows[0].__fields__[:4] == df.columns
