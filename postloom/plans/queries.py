@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, rules, text, urls
-from ..operators import applications, classify, enrich, experience, incremental, match, query_index, reputation, rollover, resolve, sections, select, trust, userstate
+from ..operators import applications, classify, enrich, experience, incremental, match, query_index, reputation, rollover, resolve, sections, select, trigrams, trust, userstate
 from ..sources import extract
 from ..storage import new_path
 from .bind import TODAY, postings, table
@@ -579,6 +579,17 @@ def experience_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "domain")
 
 
+@query(
+    """WITH q AS (SELECT page_id AS query_id, trim(lower(regexp_extract(url, '[a-z]+/[0-9]+'))) AS words FROM pages WHERE page_id % 50 = 0)
+SELECT query_id, page_id AS ord FROM q JOIN pages ON contains(lower(url), words) WHERE words <> ''"""
+)
+def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages whose address holds the place of every fiftieth page's, by an index of three-letter pieces."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("ord"), F.col("url").alias("search_text"))
+    asked = pages.where("ord % 50 = 0").select(F.col("ord").alias("query_id"), F.regexp_extract("search_text", "[a-z]+/[0-9]+", 0).alias("words")).where("words <> ''")
+    return trigrams.find_texts(pages, trigrams.gram_index(pages), asked)
+
+
 _WISHES = "['서울 정규직 간호사 신입', '부산만 계약직 제외 상근', '10일 이내 마감', '야간 없는 외래 연봉', '대전 기간제 꼭']"
 
 
