@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, rules, text, urls
-from ..operators import applications, classify, enrich, experience, incremental, match, query_index, reputation, rollover, resolve, sections, select, trigrams, trust, userstate
+from ..operators import applications, blocks, classify, enrich, experience, incremental, match, query_index, reputation, rollover, resolve, sections, select, trigrams, trust, userstate
 from ..sources import extract
 from ..storage import new_path
 from .bind import TODAY, postings, table
@@ -590,6 +590,13 @@ def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trigrams.find_texts(pages, trigrams.gram_index(pages), asked)
 
 
+@query()
+def readable_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every document as readable blocks (W4); the sequential version is in tests/test_blocks.py."""
+    lines = sections.lines_of(table(spark, sf_dir, "documents"), key="doc_id")
+    return blocks.readable_blocks(lines.select("doc_id", "pos", "line"), key="doc_id").select("doc_id", "block_no", "pos", "type", "text")
+
+
 _WISHES = "['서울 정규직 간호사 신입', '부산만 계약직 제외 상근', '10일 이내 마감', '야간 없는 외래 연봉', '대전 기간제 꼭']"
 
 

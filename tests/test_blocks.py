@@ -1,0 +1,63 @@
+import random
+import re
+
+from postloom.operators import blocks as m
+
+
+def slow(lines):
+    """One document after the rules of the survey, with the whole list at hand."""
+    out, i = [], 0
+    strip = lambda x: re.sub(r"\s+", " ", re.sub(m.BULLET, "", re.sub(m.NOTE, "", re.sub(m.GROUP, "", x)))).strip()
+    label = lambda t: m.FIELD_LABELS.get(re.sub(r"[\s:：]+", "", t))
+    lines = [re.sub(r"[ \t]+", " ", x).strip() for x in lines if x is not None]
+    lines = [x for x in lines if strip(x)]
+    while i < len(lines):
+        raw, t = lines[i], strip(lines[i])
+        i += 1
+        num = re.match(m.NUMBERED, raw)
+        if b := re.match(m.BRACKETED, raw):
+            out.append(["subheading", None, b[1].strip()])
+        elif re.match(m.INLINE_HEADING, t):
+            out.append(["subheading", None, t])
+        elif label(t):
+            nxt = lines[i] if i < len(lines) else ""
+            if nxt and not (re.match(m.BRACKETED, nxt) or re.match(m.INLINE_HEADING, strip(nxt)) or label(strip(nxt))):
+                i += 1
+                v = "공고에서 확인 필요" if label(t) == "모집 인원" and re.match(r"^0\s*명$", strip(nxt)) else strip(nxt)
+                if not (label(t) in ("모집 부문", "고용 형태") and v == "기타") and not re.match(m.EMPTY_VALUE, v):
+                    out.append(["field", label(t), v])
+        else:
+            marked = any(re.match(p, raw) for p in (m.GROUP, m.NOTE, m.BULLET))
+            last = out[-1] if out else None
+            if not marked and not num and last and last[0] in ("bullet", "note") and not re.match(m.TABLE_LABEL, t) and not re.match(m.STANDALONE, t) and (re.search(r"[,，(/]$", last[2]) or not re.search(r"[.!?。]$", last[2]) or re.match(m.CONTINUES, t)):
+                last[2] += f" {t}"
+            elif num and len(raw) <= 64 and not marked:
+                out.append(["subheading", None, num[2].strip()])
+            elif re.match(m.GROUP, raw):
+                out.append(["bullet" if re.match(r"^\([^)]{1,30}\)", t) else "subheading", None, t])
+            elif re.match(m.NOTE, raw):
+                out.append(["note", None, t])
+            elif re.match(m.BULLET, raw):
+                out.append(["note" if re.search(m.SOURCE_NOTE, t) else "bullet", None, t])
+            elif len(t) <= 16 and not re.search(r"[.!?。,:：;；]", t) and (re.match(m.TABLE_LABEL, t) or len(t.split()) <= 3):
+                if last and last[0] == "fragment" and last[2].count("\n") < 5:
+                    last[2] += f"\n{t}"
+                else:
+                    out.append(["fragment", None, t])
+            else:
+                out.append(["text", None, t])
+    return [tuple(b) for b in out[:120]]
+
+
+def test_blocks_equal_sequential_version(spark):
+    rng = random.Random(16)
+    pool = ["- 병동 간호,", "• 외래 업무.", "※ 제출 서류", "□ 담당", "□ (주간) 근무", "[모집 요강]", "1. 지원 방법", "12) " + "가나 " * 15, "3. " + "가" * 70, "모집인원", "모집 인원 :", "0명", "고용형태", "기타", "정규직", "없음", "상세요강", "구 분", "내용", "등 업무 지원", "및 평가", "짧은 글", "긴 문장이 이어지는 줄입니다 그리고 끝이 납니다.", "- 본 정보는 어디에서 제공", "", "  ", None, "-", "근무지역", "서울", "문장, 하나"]
+    docs = {i: [rng.choice(pool) for _ in range(rng.randrange(0, 40))] for i in range(120)} | {500: ["- 줄"] * 150, 501: ["모집인원"]}
+    df = spark.createDataFrame([(i, p, x) for i, ls in docs.items() for p, x in enumerate(ls)], "doc int, pos int, line string").repartition(7)
+    got = {}
+    for r in m.readable_blocks(df, key="doc").collect():
+        got.setdefault(r["doc"], []).append((r["block_no"], r["type"], r["label"], r["text"]))
+    want = {i: slow(ls) for i, ls in docs.items()}
+    assert {i: [x[1:] for x in sorted(v)] for i, v in got.items()} == {i: w for i, w in want.items() if w}
+    kinds = {b[0] for w in want.values() for b in w}
+    assert kinds == {"subheading", "field", "bullet", "note", "fragment", "text"} and len(want[500]) == 120
