@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, rules, text, urls
 from ..operators import applications, blocks, classify, enrich, experience, incremental, match, query_index, reputation, rollover, resolve, sections, select, trigrams, trust, userstate
-from ..sources import extract
+from ..sources import extract, variants
 from ..storage import new_path
 from .bind import TODAY, postings, table
 
@@ -597,6 +597,19 @@ def readable_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.readable_blocks(lines.select("doc_id", "pos", "line"), key="doc_id").select("doc_id", "block_no", "pos", "type", "text")
 
 
+@query(
+    r"""WITH l AS (SELECT conv_id * 100 + turn AS turn_id, list_filter(list_transform(str_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS lines FROM conversations)
+SELECT turn_id, substr(regexp_replace(array_to_string(list_transform(lines, lambda x: '• ' || x), chr(10)), '^\s+|\s+$', '', 'g'), 1, 20000) AS text FROM l"""
+)
+def json_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every turn, written as a rich-text tree of JSON and read back by levels."""
+    t = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("turn_id"), F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    leaf = lambda x: F.array(F.struct(F.lit("text").alias("type"), x.alias("text")))
+    items = F.transform("lines", lambda x: F.struct(F.lit("listItem").alias("type"), leaf(x).alias("content")))
+    doc = F.struct(F.lit("doc").alias("type"), F.array(F.struct(F.lit("bulletList").alias("type"), items.alias("content"))).alias("content"))
+    return variants.rich_texts(t.select("turn_id", F.try_parse_json(F.to_json(doc)).alias("node")), key="turn_id")
+
+
 _WISHES = "['서울 정규직 간호사 신입', '부산만 계약직 제외 상근', '10일 이내 마감', '야간 없는 외래 연봉', '대전 기간제 꼭']"
 
 
