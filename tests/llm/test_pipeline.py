@@ -23,5 +23,5 @@ def test_pipeline_on_small_tables(spark, tmp_path):
 
 
 def test_each_operator_has_one_query():
-    assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == ["op1_toxicity", "op2_mtree", "op3_language", "op4_pii", "op5_mixing", "op6_token_files", "op7_token_counts", "op8_simhash", "op9_html_text", "op10_decontamination"]
+    assert sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0])) == ["op1_toxicity", "op2_mtree", "op3_language", "op4_pii", "op5_mixing", "op6_token_files", "op7_token_counts", "op8_simhash", "op9_html_text", "op10_decontamination", "op11_prefix_trie", "op12_filter_audit", "op13_metric_join"]
     assert json.dumps(queries.ORACLE_SQL)

@@ -63,7 +63,7 @@ def test_repeated_rows_are_turns_of_their_own(spark):
 
 
 def test_contraction_of_chains_stars_and_combs(spark):
-    edges = [(i, i - 1 if i else None) for i in range(90)] + [(1000 + i, 89 if i % 2 else i) for i in range(150)] + [(5000, None)]
+    edges = [(i, i - 1 if i else None) for i in range(90)] + [(1000 + i, 89 if i % 2 else i) for i in range(80)] + [(5000, None)]
     up, weight = dict(edges), {v: v % 7 + 1 for v, _ in edges}
     total = dict(weight)
     for v in sorted(up, key=lambda v: -sum(1 for _ in iter(lambda s=[v]: s.append(up[s.pop()]) or s[0], None))):
