@@ -92,3 +92,13 @@ def test_remembered_details(spark):
     got = {r["entry"]: r for r in sections.remember_enrichment(cache, new).collect()}
     assert set(got) == {"e", "f"} and got["e"]["ids"] == ["a", "c"] and got["e"]["experience"] == "new"
     assert [r["entry"] for r in sections.remember_enrichment(cache, new, keep=1).collect()] == ["e"]
+
+
+def test_source_registry(spark):
+    from postloom.sources import registry
+
+    r = registry.registry(spark)
+    assert {x["mode"]: x["count"] for x in r.groupBy("mode").count().collect()} == {"auto": 33, "bridge": 1, "link": 6}
+    assert r.where("name is null or not url like 'https://%'").count() == 0 and r.select("source_id").distinct().count() == 40
+    df = spark.createDataFrame([("직행",), ("New Board",), (None,)], "source string")
+    assert values(registry.with_source(df), "source_id", "source_mode") == [("zighang", "auto"), ("new board", "link"), (None, "link")]
