@@ -40,7 +40,8 @@ def derive(postings: DataFrame, today: Column) -> DataFrame:
 
 def start(postings: DataFrame, path: str, day: dt.date) -> None:
     """Write all rows as they are on a day: the first folder of the table at path."""
-    derive(postings, F.lit(day)).write.mode("overwrite").partitionBy("next_change").parquet(f"{path}/rolled={day.isoformat()}")
+    by_day = derive(postings, F.lit(day)).hint("rebalance", "next_change")  # few files a folder; large days are split
+    by_day.write.mode("overwrite").partitionBy("next_change").parquet(f"{path}/rolled={day.isoformat()}")
 
 
 def _rows(spark: SparkSession, path: str) -> DataFrame:
@@ -66,7 +67,7 @@ def roll(spark: SparkSession, path: str, day: dt.date) -> int:
     if last is None:
         return 0
     due = rows.where((F.col("rolled") <= F.lit(last)) & (F.col("next_change") > F.lit(last)) & (F.col("next_change") <= F.lit(day)))
-    again = derive(due.drop(*DERIVED, "rolled"), F.lit(day))
+    again = derive(due.drop(*DERIVED, "rolled"), F.lit(day)).hint("rebalance", "next_change")
     target = f"{path}/rolled={day.isoformat()}"
     again.write.mode("overwrite").partitionBy("next_change").parquet(target)
     return spark.read.schema(again.schema).parquet(target).count()
