@@ -40,25 +40,35 @@ def derive(postings: DataFrame, today: Column) -> DataFrame:
 
 def start(postings: DataFrame, path: str, day: dt.date) -> None:
     """Write all rows as they are on a day: the first folder of the table at path."""
-    by_day = derive(postings, F.lit(day)).hint("rebalance", "next_change")  # few files a folder; large days are split
-    by_day.write.mode("overwrite").partitionBy("next_change").parquet(f"{path}/rolled={day.isoformat()}")
+    _written(derive(postings, F.lit(day)), f"{path}/rolled={day.isoformat()}")
+
+
+def _written(rows: DataFrame, target: str) -> None:
+    """Write rows into folders of the month of their next change, few files each; a large month is split."""
+    by_month = rows.withColumn("due_month", F.date_format("next_change", "yyyy-MM")).hint("rebalance", "due_month")
+    by_month.sortWithinPartitions("next_change").write.mode("overwrite").partitionBy("due_month").parquet(target)
+
+
+def _month(day: dt.date) -> Column:
+    return F.lit(f"{day:%Y-%m}")
 
 
 def _rows(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(path)
-    return df.withColumns({"rolled": F.to_date("rolled"), "next_change": F.to_date("next_change")})
+    return df.withColumns({"rolled": F.to_date("rolled"), "due_month": F.col("due_month").cast("string")})
 
 
 def read_day(spark: SparkSession, path: str, day: dt.date) -> DataFrame:
     """The table as of a day up to which it was rolled: of each row the version whose next change is still ahead."""
     today = F.lit(day)
-    return _rows(spark, path).where((F.col("rolled") <= today) & (F.col("next_change").isNull() | (F.col("next_change") > today)))
+    ahead = F.col("next_change").isNull() | ((F.col("next_change") > today) & (F.col("due_month") >= _month(day)))
+    return _rows(spark, path).where((F.col("rolled") <= today) & ahead).drop("due_month")
 
 
 def roll(spark: SparkSession, path: str, day: dt.date) -> int:
     """Bring the table at path to a day; how many rows were worked out again.
 
-    Only folders of days that have come since the last roll are read, whole partitions of the calendar: rows due then
+    Only folders of the months that have come since the last roll are read, whole partitions of the calendar: rows due then
     are derived anew into a folder of the day, and what they supersede stays where it is, past its next change and so
     never read again. The day's folder is written over if the roll runs again, so a lost job does no harm.
     """
@@ -67,7 +77,8 @@ def roll(spark: SparkSession, path: str, day: dt.date) -> int:
     if last is None:
         return 0
     due = rows.where((F.col("rolled") <= F.lit(last)) & (F.col("next_change") > F.lit(last)) & (F.col("next_change") <= F.lit(day)))
-    again = derive(due.drop(*DERIVED, "rolled"), F.lit(day)).hint("rebalance", "next_change")
+    due = due.where(F.col("due_month").between(_month(last), _month(day)))
+    again = derive(due.drop(*DERIVED, "rolled", "due_month"), F.lit(day))
     target = f"{path}/rolled={day.isoformat()}"
-    again.write.mode("overwrite").partitionBy("next_change").parquet(target)
+    _written(again, target)
     return spark.read.schema(again.schema).parquet(target).count()

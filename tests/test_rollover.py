@@ -34,6 +34,6 @@ def test_rolled_table_equals_a_full_run_on_30_days(spark, tmp_path):
 def test_only_due_folders_are_read(spark, tmp_path):
     path = str(tmp_path / "t")
     m.start(rows(spark), path, D0)
-    plan = m._rows(spark, path).where(F.col("next_change") <= F.lit(D0 + dt.timedelta(days=1)))._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(next_change" in plan
+    plan = m._rows(spark, path).where(F.col("due_month") <= m._month(D0))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(" in plan
     assert m.roll(spark, path, D0) == 0
