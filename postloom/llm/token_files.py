@@ -8,7 +8,7 @@ import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..storage import new_path, stored, text_batches
 
 #: Words that a worker remembers at most, and pieces of words that are no word themselves.
-_KEPT, _KEPT_PIECES = 250_000, 50_000
+_KEPT, _KEPT_PIECES = 500_000, 50_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -30,11 +30,25 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Words(dict):
+    """Ids of words as they are asked for; at most _KEPT are remembered."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.make(word)
+        if len(self) < _KEPT:
+            self[word] = got
+        return got
+
+
 class WordEncoder:
     """Ids of whole texts from a byte-level BPE of the tokenizers library, which is asked once for each piece.
 
     The library's splitter never joins what lies before a space that follows a non-space with what lies after
-    it, so a text's ids are those of its first word and of each further word with its space. Words (250,000 at
+    it, so a text's ids are those of its first word and of each further word with its space. Words (500,000 at
     most) are remembered; a new one is cut into the splitter's pieces, and the library's model merges those that are new
     too. Words with other characters than plain letters, digits, signs and white space are encoded by the library as
     they are; so is, whole, a text where a lone space follows white space or that holds a special string, and every text
@@ -46,7 +60,7 @@ class WordEncoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library, self.dtype = Tokenizer.from_file(path), dtype
-        self.known: dict[str, bytes] = {}
+        self.known = _Words(self._after_space)
         self.inner: dict[str, bytes] = {}
         config = json.loads(self.library.to_str())
         special = [t["content"] for t in config["added_tokens"]]
@@ -55,21 +69,34 @@ class WordEncoder:
         self.by_word = bool(pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not config["normalizer"] and not config["post_processor"])
         self.pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[!-/:-@\[-`{-~]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
         self.letters = _byte_letters()
+        self.codes = [i.to_bytes(dtype.itemsize, "little") for i in range(self.library.get_vocab_size())]
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _merged(self, piece: str) -> bytes:
+        codes = self.codes
+        return b"".join([codes[t.id] for t in self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))])
+
     def _piece(self, piece: str) -> bytes:
-        got = self.known.get(piece[1:]) if piece[0] == " " else self.inner.get(piece)
+        if piece[0] == " " and len(piece) > 1:
+            got = self.known.get(piece[1:])
+            if got is None:
+                got = self._merged(piece)
+                if len(self.known) < _KEPT:
+                    self.known[piece[1:]] = got
+            return got
+        got = self.inner.get(piece)
         if got is None:
-            merged = self.library.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-            got = b"".join([t.id.to_bytes(self.dtype.itemsize, "little") for t in merged])
-            if piece[0] == " " and len(self.known) < _KEPT:
-                self.known[piece[1:]] = got
-            elif piece[0] != " " and len(self.inner) < _KEPT_PIECES:
+            got = self._merged(piece)
+            if len(self.inner) < _KEPT_PIECES:
                 self.inner[piece] = got
         return got
 
+    def _after_space(self, word: str) -> bytes:
+        """A word that isn't remembered, with its space; plain letters are one piece."""
+        return self._merged(" " + word) if word.isascii() and word.isalpha() else self._word(" " + word)
+
     def _word(self, word: str) -> bytes:
         pieces = self.pieces.findall(word)
         if sum(map(len, pieces)) != len(word):
@@ -80,15 +107,8 @@ class WordEncoder:
         lone = ("  " in text or text[-1:] == " ") and re.search(r"\s (?: |\Z)", text)
         if not self.by_word or lone or (self.special and self.special.search(text)):
             return self._whole(text)
-        first, *rest = text.split(" ")
-        got = list(map(self.known.get, rest))
-        if None in got:
-            for i, ids in enumerate(got):
-                if ids is None:
-                    got[i] = ids = self._word(" " + rest[i])
-                    if len(self.known) < _KEPT:
-                        self.known[rest[i]] = ids
-        return b"".join([self._word(first), *got])
+        first, space, rest = text.partition(" ")
+        return b"".join([self._word(first), *map(self.known.__getitem__, rest.split(" "))]) if space else self._word(first)
 
 
 @functools.cache

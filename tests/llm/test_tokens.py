@@ -57,3 +57,15 @@ def test_token_ids_over_16_bits(spark, tmp_path):
     assert next((tmp_path / "u4").glob("*.bin")).stat().st_size == 8
     with pytest.raises(Exception):
         token_files.read_token_files(spark, str(tmp_path / "none")).count()
+
+
+def test_words_are_remembered_up_to_the_limit(monkeypatch):
+    from tokenizers import Tokenizer
+
+
+    monkeypatch.setattr(token_files, "_KEPT", 3)
+    path = P.path("byte_bpe_50k.json")
+    own, library = token_files.WordEncoder(path, np.dtype("<u2")), Tokenizer.from_file(path)
+    for text in ("one two three four five two", "", " ", "a  b", "x é1,2 y y zz's", "two\nthree one "):
+        assert own.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+    assert isinstance(own.known, token_files._Words) and len(own.known) == 3
