@@ -77,6 +77,37 @@ def query_index(criteria: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keyed.drop("q_day_keys"), named.select("query_id", "wish")
 
 
+#: What a posting is judged by once the stated regions, words and roles that it holds are known.
+_FACTS = ["region", "_regions", "_words", "_roles", "eligibility", "schedule", "employment_types", "experience_level", "salary_minimum", "checked", "stale"]
+#: Salaries asked for up to which a posting's own is lowered to the next of them.
+_STEPS = 1_000
+
+
+def _pay_steps(said: DataFrame, wishes: DataFrame) -> DataFrame:
+    """said with its salary lowered to the largest that a wish asks for, or to one below all, so that more rows are alike; wishes compare as before."""
+    asked = [r[0] for r in wishes.where("q_salary_minimum is not null").select("q_salary_minimum").distinct().limit(_STEPS + 1).collect()]
+    if len(asked) > _STEPS:
+        return said
+    steps = F.array(*[F.lit(x).cast("long") for x in sorted(asked)]).cast("array<bigint>")
+    below = F.array_max(F.filter(steps, lambda x: x <= F.col("salary_minimum")))
+    return said.withColumn("salary_minimum", F.when(F.col("salary_minimum").isNotNull(), F.coalesce(below, F.lit(-1).cast("long"))))
+
+
+def _alike(said: DataFrame, top: int | None) -> tuple[DataFrame, DataFrame]:
+    """Classes of postings that every wish judges alike, under the name of ``ord``, and (class, ord, published_at) of their members.
+
+    Within a class a wish ranks by publication and position alone, so with ``top`` no wish takes more than the first so many of it.
+    """
+    named = said.withColumn("class", F.sha2(F.to_json(F.struct(*_FACTS), {"ignoreNullFields": "false"}), 256)).select("class", "ord", "published_at", *_FACTS)
+    if top is not None:
+        order = Window.partitionBy("class").orderBy(F.col("published_at").desc_nulls_last(), F.asc("ord"))
+        named = named.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= top).drop("_n")
+    named = stored(named, "index-alike")
+    classes = named.dropDuplicates(["class"]).withColumns({"ord": F.col("class"), "published_at": F.lit(None).cast("date")}).drop("class")
+    # few rows that each meet many wishes: dealt over the tasks by number and not by size
+    return classes.repartition(int(said.sparkSession.conf.get("spark.sql.shuffle.partitions"))), named.select("class", "ord", "published_at")
+
+
 def match_stored(postings: DataFrame, criteria: DataFrame, *, top: int | None = None) -> DataFrame:
     """The pairs of :func:`match.match_queries` that are not mismatched, for any number of stored queries.
 
@@ -84,7 +115,7 @@ def match_stored(postings: DataFrame, criteria: DataFrame, *, top: int | None =
     words of its text. Then it joins the index by equal keys, on a pair's first common region and role alone,
     so no pair is made twice and none that region, role, daytime work or licence rule out is made at all;
     avoided words and patterns and the other conditions are judged on the pairs that meet. Null and unknown fields stay
-    open, as there. With ``top`` each query's best rows stay, ranked for the wishes and not for each of those who share one.
+    open, as there. Postings that no wish can tell apart are one class, judged once. With ``top`` each query's best rows stay, ranked for the wishes and not for each of those who share one.
     """
     keyed, who = query_index(criteria)
     keyed = stored(keyed, "index-keys")
@@ -92,7 +123,7 @@ def match_stored(postings: DataFrame, criteria: DataFrame, *, top: int | None =
     regions = keyed.select(F.explode("q_regions").alias("word"))
     words = keyed.select(F.explode(F.concat("q_keywords", "q_excluded_keywords")).alias("word"))
     said = words_held(words_held(said, regions, "region", "_regions"), words, "search_text", "_words")
-    said = said.withColumn("_roles", posting_roles())
+    said, members = _alike(_pay_steps(said.withColumn("_roles", posting_roles()), keyed), top)
     told = F.coalesce("region", F.lit("")) != ""
     said = said.withColumns({
         "_region_keys": F.when(told, F.concat(F.transform("_regions", lambda v: F.concat(F.lit("="), v)), F.array(F.lit(_ASKS_NOTHING)))).otherwise(F.array(F.lit(_KNOWS_NOTHING))),
@@ -104,6 +135,7 @@ def match_stored(postings: DataFrame, criteria: DataFrame, *, top: int | None =
     first = (F.array_min(F.array_intersect("_region_keys", "q_region_keys")) == F.col("region_key")) & (F.array_min(F.array_intersect("_role_keys", "q_role_keys")) == F.col("role_key"))
     met = met.where(first & ~F.arrays_overlap("_words", "q_excluded_keywords")).withColumnRenamed("wish", "query_id")
     pairs = judged(met, roles=F.col("_roles"), hits="_words").where("overall <> 'mismatched'").withColumnRenamed("query_id", "wish")
+    pairs = pairs.drop("published_at").withColumnRenamed("ord", "class").join(members, "class").drop("class")
     if top is not None:
         order = Window.partitionBy("wish").orderBy(*RANK_MATCH())
         pairs = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

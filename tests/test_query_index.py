@@ -56,3 +56,19 @@ def test_words_held(spark):
         got = {r["id"]: r["h"] for r in m.words_held(df, words, "t", "h", block=block).collect()}
         assert got == {1: ["a", "abc", "bc"], 2: [], 3: [], 4: []}
     assert m.words_held(df, words.limit(0), "t", "h").where("size(h) > 0").count() == 0
+
+
+def test_postings_that_no_wish_tells_apart_are_judged_once(spark):
+    rng = random.Random(13)
+    p = postings(spark, rng, 6)
+    many = spark.range(500).select(F.col("id").alias("_i")).crossJoin(p).withColumns({"ord": (F.col("ord") * 1000 + F.col("_i")).cast("int"), "salary_minimum": F.col("salary_minimum") + F.col("_i") % 50, "published_at": F.expr("if(_i % 7 = 0, null, date_add(date'2026-01-01', cast(_i % 5 as int)))")}).drop("_i")
+    c = criteria(spark, rng, 30)
+    keep = ["_regions", "_words", "_roles"]
+    held = many.withColumns({k: F.array().cast("array<string>") for k in keep})
+    classes, members = m._alike(m._pay_steps(held, m.query_index(c)[0]), 3)
+    assert classes.count() <= 12 and members.count() <= 36
+    cols = sorted(m.match_stored(many, c).columns)
+    key = lambda df, extra: sorted(map(str, df.select([*cols, *extra]).collect()))
+    full = match.match_queries(many, c).where("overall <> 'mismatched'")
+    assert key(m.match_stored(many, c), []) == key(full, []) and full.count() > 100
+    assert key(m.match_stored(many, c, top=3), ["rank"]) == key(match.match_queries(many, c, top=3).where("overall <> 'mismatched'"), ["rank"])
