@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from postloom.llm import decontaminate, jaccard, mixing, token_files, toxicity
+from postloom.llm import decontaminate, jaccard, mixing, simhash, token_files, toxicity
 from postloom.storage import drop, stored_alone
 
 
@@ -17,8 +17,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: five-word shingles, Jaccard similarity of 0.8 or more."""
-    return jaccard.drop_near_duplicates(docs)
+    """One document of each near-duplicate group stays.
+
+    Groups are those of SimHash fingerprints (operator 8: three words, three bits), joined by the links that it misses:
+    a Jaccard similarity of 0.8 or more over five-word shingles.
+    """
+    return jaccard.drop_near_duplicates(docs, also=simhash.component_links(docs))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

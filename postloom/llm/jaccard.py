@@ -188,14 +188,15 @@ def similar_pairs(docs: DataFrame, size: int, least: Fraction, *, rows: DataFram
     return links.union(metric_join.region_links(crowd, sets, links, least, limit=limit))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, similarity: float = 0.8, also: DataFrame | None = None) -> DataFrame:
     """The rows of docs whose id is the smallest of its component over links of that similarity or more, one row for each; their columns stay.
 
-    Texts without words are equal. Rows of one id are one document, whatever their texts, and one of them stays.
+    ``also`` are links (l, r) of ids found in another way; components are taken over both. Texts without words are equal. Rows of one id are one document, whatever their texts, and one of them stays.
     Rows with a null id can't be told apart and all stay.
     """
     two = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    links = stored(similar_pairs(two, shingle, Fraction(str(similarity))), "jaccard-links")
+    links = similar_pairs(two, shingle, Fraction(str(similarity)))
+    links = stored(links if also is None else links.unionByName(also), "jaccard-links")
     gone = stored(connected_components(links).where("id <> component").select(F.col("id").alias(id_col)), "jaccard-gone")
     kept = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti")
     again = stored(two.join(gone.select(F.col(id_col).alias("id")), "id", "left_anti").groupBy("id").count().where("count > 1").select(F.col("id").alias(id_col)), "jaccard-again")

@@ -141,6 +141,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return own.join(groups, "fp").select("id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def component_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, max_distance: int = 3) -> DataFrame:
+    """Links (l, r) from the smallest id of each component to its other ids."""
+    found = simhash_components(docs, id_col, text_col, shingle=shingle, max_distance=max_distance)
+    return found.where("id <> component_id").select(F.col("component_id").alias("l"), F.col("id").alias("r"))
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, max_distance: int = 3) -> DataFrame:
     """The rows of docs whose id is the smallest of its component, one row for each; their columns stay.
 
