@@ -58,18 +58,20 @@ def merge_states(*states: DataFrame) -> DataFrame:
     both = parts[0]
     for s in parts[1:]:
         both = both.unionByName(s)
-    rows = stored(both.withColumn("row", F.xxhash64(F.to_json(F.struct("*")))).withColumn("first", F.array_min("names")), "enrich-rows")
-    links = rows.select(F.col("first").alias("l"), F.explode("names").alias("r"))
+    rows = stored(both.withColumn("first", F.array_min("names")), "enrich-rows")
+    # rows are vertices under their first names; a name that one alone has links nothing
+    named = rows.select(F.col("first").alias("r"), F.explode("names").alias("name"))
+    links = named.withColumn("l", F.min("r").over(Window.partitionBy("name"))).where("l <> r").select("l", "r")
     entries = stored(connected_components(links), "enrich-entries")
-    own = rows.join(entries.withColumnRenamed("id", "first"), "first").withColumnRenamed("component", "entry")
+    own = rows.join(entries.withColumnRenamed("id", "first"), "first", "left").withColumn("entry", F.coalesce("component", "first"))
     fields = [c for c in both.columns if c.startswith("f_")]
-    merged = own.groupBy("entry").agg(F.max("checked_at").alias("checked_at"), *[F.max(c).alias(c) for c in fields])
-    names = entries.groupBy(F.col("component").alias("entry")).agg(F.array_sort(F.collect_set("id")).alias("names"))
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_set("names")))).alias("names")
+    merged = own.groupBy("entry").agg(F.max("checked_at").alias("checked_at"), names, *[F.max(c).alias(c) for c in fields])
     best = own.select("entry", F.explode("domains").alias("d")).groupBy("entry", F.col("d.domain").alias("domain"))
     best = best.agg(F.max(F.struct("d.strength", "d.at", "d.field", "d.excerpt")).alias("b"))
     one = F.struct("domain", F.col("b.strength").alias("strength"), F.col("b.at").alias("at"), F.col("b.field").alias("field"), F.col("b.excerpt").alias("excerpt"))
     domains = best.groupBy("entry").agg(F.array_sort(F.collect_list(one)).alias("domains"))
-    out = merged.join(names, "entry").join(domains, "entry", "left")
+    out = merged.join(domains, "entry", "left")
     return out.select("entry", "names", "checked_at", *fields, F.coalesce("domains", F.array().cast(f"array<{_DOMAIN}>")).alias("domains"))
 
 

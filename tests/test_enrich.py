@@ -73,3 +73,13 @@ def test_overlay(spark):
     assert row(4) == (None, "10:00", "nursing-general", None, None, True)  # clinical and health-manager contradict
     assert max(len([n for n in r["names"] if n[0] == "i"]) for r in m.limited(state).collect()) <= m.IDS_KEPT
     assert m.enrich(df, state.limit(0), FIELDS, now=F.lit(T0)).where("enriched").count() == 0
+
+
+def test_names_of_one_row_alone_are_no_vertices(spark, monkeypatch):
+    seen = []
+    real = m.connected_components
+    monkeypatch.setattr(m, "connected_components", lambda links: (seen.append(links.count()), real(links))[1])
+    rows = [([f"a{i}"], [f"u{i // 3}"], dt.datetime(2026, 1, 1 + i), True, f"v{i}") for i in range(6)]
+    d = spark.createDataFrame(rows, "ids array<string>, urls array<string>, checked_at timestamp, verified boolean, experience string").withColumns({c: F.lit(None).cast("string") for c in ("experience_domain", "evidence_field", "evidence", "strength")})
+    got = {r["entry"]: (r["names"], r["f_experience"]["v"]) for r in m.merge_states(m.details_state(d, ["experience"])).collect()}
+    assert got == {"ia0": (["ia0", "ia1", "ia2", "uu0"], "v2"), "ia3": (["ia3", "ia4", "ia5", "uu1"], "v5")} and seen == [4]
