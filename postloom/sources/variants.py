@@ -98,7 +98,8 @@ def rich_texts(roots: DataFrame, *, key: str) -> DataFrame:
             nodes = level.withColumn("kids", F.array().cast("array<string>"))
         else:
             parts = done.groupBy(key, F.slice("at", 1, depth).alias("at")).agg(F.array_sort(F.collect_list(F.struct(F.element_at("at", -1).alias("pos"), "text"))).alias("kids"))
-            nodes = level.join(parts.withColumn("kids", F.col("kids.text")), [key, "at"], "left").withColumn("kids", F.coalesce("kids", F.array().cast("array<string>")))
+            # merged and not broadcast: a level's files are far smaller than its rows, and there is one join for each depth
+            nodes = level.hint("merge").join(parts.withColumn("kids", F.col("kids.text")), [key, "at"], "left").withColumn("kids", F.coalesce("kids", F.array().cast("array<string>")))
         trimmed = F.transform("kids", lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
         bullets = F.transform(F.filter(trimmed, lambda x: x != ""), lambda x: F.concat(F.lit("• "), x))
         numbers = F.filter(F.transform(trimmed, lambda x, i: F.when(x != "", F.concat((i + 1).cast("string"), F.lit(". "), x))), lambda x: x.isNotNull())

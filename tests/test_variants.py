@@ -61,3 +61,12 @@ def test_first_posting_of_a_graph(spark):
     df = spark.createDataFrame([(1, json.dumps(graph)), (2, json.dumps([{"a": 1}, {"@type": "JobPosting", "title": "second"}])), (3, "{}")], "k int, body string")
     got = {r["k"]: r["t"] for r in m.first_of_type(df.select("k", F.try_parse_json("body").alias("node")), "JobPosting", key="k").select("k", F.try_variant_get("node", "$.title", "string").alias("t")).collect()}
     assert got == {1: "inner", 2: "second"}
+
+
+def test_levels_of_trees_are_not_broadcast(spark, monkeypatch):
+    plans, real = [], m.stored
+    monkeypatch.setattr(m, "stored", lambda df, label: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df, label))[1])
+    doc = '{"type":"doc","content":[{"type":"listItem","content":[{"type":"text","text":"a"}]}]}'
+    roots = spark.createDataFrame([(1, doc)], "k int, j string").select("k", F.try_parse_json("j").alias("node"))
+    assert [r["text"] for r in m.rich_texts(roots, key="k").collect()] == ["a"]
+    assert not any("Broadcast" in p for p in plans) and any("SortMergeJoin" in p for p in plans)
