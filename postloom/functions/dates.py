@@ -10,6 +10,7 @@ from .text import let, meaningful
 TZ = "Asia/Seoul"
 # The notations of dates that listings use.
 _FULL = r"(?:^|\D)((?:19|20)\d{2})\s*(?:[./-]|년\s*)\s*(\d{1,2})\s*(?:[./-]|월\s*)\s*(\d{1,2})(?:\s*일)?"
+_ISO = r"^(?:19|20)\d{2}-\d{2}-\d{2}\z"
 _SHORT_YEAR = r"(?:^|\D)(\d{2})\s*[./-]\s*(\d{1,2})\s*[./-]\s*(\d{1,2})(?:\D|$)"
 _MONTH_DAY = r"(?:^|[^\d])([01]?\d)\s*[./-]\s*([0-3]?\d)(?:\D|$)"
 
@@ -36,6 +37,13 @@ def _dated(text: Column, month_day: Column) -> Column:
     return F.when(text.rlike(_FULL), full).when(text.rlike(_SHORT_YEAR), short).when(text.rlike(_MONTH_DAY), month_day)
 
 
+def _iso_or(raw: Column, found: str, other: Column) -> Column:
+    """(date, kind) of a plain ISO date, read as such: no other notation fits it; else ``other``."""
+    raw = raw.cast("string")
+    date = raw.try_cast("date")
+    return F.when(raw.rlike(_ISO), F.struct(date.alias("date"), F.when(date.isNotNull(), found).otherwise("unknown").alias("kind"))).otherwise(other)
+
+
 def _in_year(text: Column, year: Column) -> Column:
     return real_date(year.cast("string"), _group(text, _MONTH_DAY, 1), _group(text, _MONTH_DAY, 2))
 
@@ -53,7 +61,7 @@ def parse_published(raw: Column, observed: Column, *, tz: str = TZ, compose: boo
         explicit = lambda date: F.struct(date.alias("date"), F.when(date.isNotNull(), "explicit").otherwise("unknown").alias("kind"))
         return let(days, lambda days: F.when(days.isNotNull(), relative(days)).otherwise(let(date, explicit)))
 
-    return let(meaningful(raw, compose=compose), lambda text: let(local_day(observed, tz), lambda today: read(text, today)))
+    return _iso_or(raw, "explicit", let(meaningful(raw, compose=compose), lambda text: let(local_day(observed, tz), lambda today: read(text, today))))
 
 
 def parse_deadline(raw: Column, observed: Column, *, tz: str = TZ, compose: bool = False) -> Column:
@@ -70,7 +78,7 @@ def parse_deadline(raw: Column, observed: Column, *, tz: str = TZ, compose: bool
         dated = lambda date: F.struct(date.alias("date"), F.when(date.isNotNull(), "fixed").otherwise("unknown").alias("kind"))
         return let(open_kind, lambda kind: F.when(kind.isNotNull(), opened(kind)).otherwise(let(date, dated)))
 
-    return let(meaningful(raw, compose=compose), lambda text: let(local_day(observed, tz), lambda today: read(text, today)))
+    return _iso_or(raw, "fixed", let(meaningful(raw, compose=compose), lambda text: let(local_day(observed, tz), lambda today: read(text, today))))
 
 
 def deadline_state(date: Column, kind: Column, today: Column, *, soon: int = 3) -> Column:

@@ -64,13 +64,19 @@ def compact_key(c: Column, *, compose: bool = False) -> Column:
     return F.regexp_replace(F.lower(clean_text(c, compose=compose)), r"[^\p{L}\p{N}]+", "")
 
 
-def _strip_legal(c: Column, compose: bool) -> Column:
-    return F.regexp_replace(F.regexp_replace(clean_text(c, compose=compose), LEGAL_MARKS, " "), f"(?:{LEGAL_NAMES}|법인)", " ")
+def without_legal(clean: Column) -> Column:
+    """A cleaned company name without its legal form."""
+    return F.regexp_replace(F.regexp_replace(clean, LEGAL_MARKS, " "), f"(?:{LEGAL_NAMES}|법인)", " ")
 
 
 def company_tokens(c: Column, *, compose: bool = False) -> Column:
     """The sorted tokens of a company name without its legal form."""
-    tokens = F.split(_strip_legal(c, compose), r"[\s·,./()\[\]|]+")
+    return tokens_of(without_legal(clean_text(c, compose=compose)))
+
+
+def tokens_of(bare: Column) -> Column:
+    """The sorted tokens of a name that :func:`without_legal` gave."""
+    tokens = F.split(bare, r"[\s·,./()\[\]|]+")
     return F.array_sort(F.filter(F.transform(tokens, lambda t: F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", "")), lambda t: t != ""))
 
 
@@ -81,20 +87,35 @@ def company_key(c: Column, *, compose: bool = False) -> Column:
 
 def company_compact_key(c: Column, *, compose: bool = False) -> Column:
     """P5: one key for a name whatever its spacing."""
-    return F.regexp_replace(F.lower(_strip_legal(c, compose)), r"[^\p{L}\p{N}]+", "")
+    return compact_of(without_legal(clean_text(c, compose=compose)))
+
+
+def compact_of(bare: Column) -> Column:
+    """P5, of a name that :func:`without_legal` gave."""
+    return F.regexp_replace(F.lower(bare), r"[^\p{L}\p{N}]+", "")
 
 
 def title_key(title: Column, company: Column, *, compose: bool = False) -> Column:
     """The title without notice words, date ranges, legal forms and the company's own name (unless nothing else is left)."""
-    t = F.regexp_replace(clean_text(title, compose=compose), r"^새로운\s*글\s*", "")
+    return title_key_of(clean_text(title, compose=compose), company_tokens(company, compose=compose))
+
+
+def title_key_of(clean: Column, tokens: Column) -> Column:
+    """P6 from a cleaned title and the tokens of the company; words of Hangul are looked for only in titles that have some."""
+    t = F.regexp_replace(clean, r"^새로운\s*글\s*", "")
     t = F.regexp_replace(t, r"\(\s*\d{1,2}\s*[./-]\s*\d{1,2}\s*[~∼-]\s*\d{1,2}\s*[./-]\s*\d{1,2}\s*\)", "")
     t = F.regexp_replace(t, r"\(\s*주\s*\)|㈜", "")
     t = F.regexp_replace(F.lower(t), r"[^\p{L}\p{N}]+", "")
-    for pattern, to in ((LEGAL_NAMES, ""), ("촉탁직", "촉탁"), ("신입경력|경력무관", ""), (HIRING_WORDS, ""), ("채$", "")):
-        t = F.regexp_replace(t, pattern, to)
-    own = F.filter(company_tokens(company, compose=compose), lambda x: F.length(x) > 1)
+
+    def bare_of(t: Column) -> Column:
+        for pattern, to in ((LEGAL_NAMES, ""), ("촉탁직", "촉탁"), ("신입경력|경력무관", ""), (HIRING_WORDS, ""), ("채$", "")):
+            t = F.regexp_replace(t, pattern, to)
+        return t
+
+    own = F.filter(tokens, lambda x: F.length(x) > 1)
     without = lambda t: F.aggregate(own, t, lambda acc, x: F.replace(acc, x, F.lit("")))
-    return let(t, lambda t: let(without(t), lambda bare: F.when(bare != "", bare).otherwise(t)))
+    plain = let(t, lambda t: F.when(t.rlike("[가-힣]"), bare_of(t)).otherwise(t))
+    return let(plain, lambda t: let(without(t), lambda bare: F.when(bare != "", bare).otherwise(t)))
 
 
 def dedupe_key(company: Column, title: Column, source: Column, row_id: Column, *, compose: bool = False) -> Column:

@@ -147,3 +147,31 @@ def test_titles_of_one_company(spark):
     comps = {r["id"]: r["component"] for r in connected_components(resolve.link_postings(norm)).collect()}
     assert met > 20
     assert {i: comps.get(i, i) for i in range(len(rows))} == {i: root(i) for i in range(len(rows))}
+
+
+def test_asked_fields_store_no_more_than_links_and_counts_read(spark, monkeypatch):
+    made = {}
+    stored = resolve.stored
+    monkeypatch.setattr(resolve, "stored", lambda df, label: made.setdefault(label, stored(df, label)))
+    norm = resolve.normalize_postings(frame(spark, ROWS), now=NOW(), compose=False)
+    fields = list(resolve.COUNTED)
+    some = resolve.resolve_entities(norm, now=NOW(), fields=fields)
+    assert set(made["resolve-norm"].columns) == set(resolve.LINKING)
+    assert made["resolve-keys"].groupBy("family", "key").count().where("count = 1").count() == 0  # rows alone under a key link nothing
+    made.clear()
+    whole = resolve.resolve_entities(norm, now=NOW())
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, whole.select(*fields).collect()))
+    made.clear()
+    assert resolve.resolve_entities(norm, now=NOW(), fields=["entity", "title"]).columns == ["entity", "title"]
+    assert set(made["resolve-norm"].columns) == set(norm.columns)
+
+
+def test_plain_dates_and_titles_read_as_by_the_other_notations(spark):
+    from postloom.functions import dates, text
+
+    df = spark.createDataFrame([("1996-06-20", "1996. 6. 20"), ("1996-02-30", "1996. 2. 30"), ("1896-02-03", "1896. 2. 3"), ("1996-06-20\n", "1996. 6. 20")], "a string, b string")
+    for read in (dates.parse_deadline, dates.parse_published):
+        for r in df.select(read(F.col("a"), NOW()).alias("x"), read(F.col("b"), NOW()).alias("y")).collect():
+            assert r["x"] == r["y"]
+    t = spark.createDataFrame([("Nurse (주) 모집공고 채용", "a"), ("ICU-Nurse 24", "nurse"), ("nurse", "Nurse")], "t string, c string")
+    assert [r[0] for r in t.select(text.title_key(F.col("t"), F.col("c"))).collect()] == ["nurse", "icu24", "nurse"]
