@@ -78,3 +78,27 @@ def test_rules_and_dialect(spark):
     got = rules.apply_rules(rules.apply_rules(df, table, {"text": "text", "other": "other"}), table, {"text": "text", "other": "other"}, mode="sum", into="score").collect()
     assert [r["label"] for r in got] == [["icu", "night", "x"], [], []] and [r["score"] for r in got] == [3, 0, 0] and got[0]["score_reasons"] == ["ward", "nights"]
     assert one(spark, F.lit("a　b").rlike(rules.js(r"a\sb$")), F.lit("x").rlike(rules.js(r"[\s,]")))[:] == (True, False)
+
+
+def test_alternatives_that_need_hangul():
+    from postloom.functions.rules import without_hangul
+
+    assert without_hangul(r"중환자실|\bicu\b") == r"\bicu\b"
+    assert without_hangul("병동|입원간호") is None
+    assert without_hangul(r"(?:3\s*교대|삼교대)(?:\s*근무)?|on[ -]?call") == "on[ -]?call"
+    for kept in ("가?b", "(?:가|b)c", "[가b]c", "(?!가)b", "(?:가){0,2}b", "(?:가)?b", r"\(a|b(?:가|)"):
+        assert without_hangul(kept) == kept  # such texts need no Hangul
+
+
+def test_found_is_what_the_whole_pattern_holds(spark):
+    from postloom.functions.rules import found, js
+    from postloom.operators import classify as c
+
+    texts = ["ICU nurse, day shift", "er or (or) crc-2", "3교대 없음 night x", "주말 off 22:00~06:00", "lg 전자 clinical  research", "", "über qi day only", "병동 n-keep d/e/n", "picu_ a e r", "병원 pm"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    patterns = [*c.WORDS.values(), *c.NEGATED.values(), *c.SHIFTS.values(), *[p for p, *_ in (*c.DEPARTMENTS, *c.FACILITIES, *c.DAY_JOBS, *c.CAREER)], c._NURSE, c._MAJOR, c._PUBLIC, c._HEALTH]
+    out = df.select(*[F.struct(found(F.col("t"), p).alias("a"), F.col("t").rlike(js(p)).alias("b"), found(F.lower("t"), p, lowered=True).alias("c")) for p in patterns]).collect()
+    assert all(x["a"] == x["b"] == x["c"] for r in out for x in r)
+    edges = ["er", "a er,", "xer", "er_", "or", "(or)", "xor", "or/", "orb", "a\nor"]
+    rows = spark.createDataFrame([(t,) for t in edges], "t string").select("t", found(F.col("t"), r"\ber\b").alias("er"), found(F.col("t"), c.DEPARTMENTS[2][0]).alias("or")).collect()
+    assert {r["t"] for r in rows if r["er"]} == {"er", "a er,"} and {r["t"] for r in rows if r["or"]} == {"or", "(or)", "or/", "a\nor"}
