@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..storage import spread
 from .feed import last_pointer, publish, read_published, snapshot_hash  # noqa: F401
 
 
@@ -61,9 +62,12 @@ def merge_pages(rows: DataFrame, keys: Sequence[str], *, page: str = "page_no",
 def require_complete_batch(rows: DataFrame, pages: DataFrame, *, batch: str = "batch_id", max_rows: int = 450) -> tuple[DataFrame, DataFrame]:
     """Rows of batches whose pages are all there and not empty, and the rows of the others.
 
-    pages: (batch_id, page_no, n_pages, n_rows). A batch over max_rows is refused.
+    pages: (batch_id, page_no, n_pages, n_rows); without n_pages the last page that came is the last. A batch over max_rows is refused.
+    Pages and rows are dealt by batch into parts of bounded size.
     """
-    whole = pages.groupBy(batch).agg(F.count_distinct("page_no").alias("have"), F.max("n_pages").alias("need"), F.min("n_rows").alias("least"), F.sum("n_rows").alias("rows")).where((F.col("have") == F.col("need")) & (F.col("least") > 0) & (F.col("rows") <= max_rows)).select(batch)
+    need = F.max("n_pages" if "n_pages" in pages.columns else "page_no")
+    rows, pages = spread(rows, batch, rows=rows.count()), spread(pages, batch, rows=pages.count())
+    whole = pages.groupBy(batch).agg(F.count_distinct("page_no").alias("have"), need.alias("need"), F.min("n_rows").alias("least"), F.sum("n_rows").alias("rows")).where((F.col("have") == F.col("need")) & (F.col("least") > 0) & (F.col("rows") <= max_rows)).select(batch)
     return rows.join(whole, batch, "left_semi"), rows.join(whole, batch, "left_anti")
 
 

@@ -71,3 +71,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str, rows: int, at_once: int = 1_000_000) -> DataFrame:
+    """df of so many rows dealt by its keys into parts of about ``at_once`` rows, never fewer than Spark's own number.
+
+    So the memory of a task that sorts or groups a part doesn't grow with the table.
+    """
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-rows // at_once)), *keys)

@@ -124,3 +124,15 @@ def test_requests(spark):
     assert select.validate_requests(df.where("k = 0"), strict=True).first()["problem"] is None
     with pytest.raises(Exception, match="wrong request: mode"):
         select.validate_requests(df.where("k = 3"), strict=True).collect()
+
+
+def test_batches_are_dealt_into_parts_of_bounded_size(spark):
+    from postloom.operators import incremental
+    from postloom.storage import spread
+
+    df = spark.range(40).select((F.col("id") % 10).alias("batch_id"), F.col("id").alias("page_no"))
+    assert spread(df, "batch_id", rows=40, at_once=2).rdd.getNumPartitions() == 20
+    assert spread(df, "batch_id", rows=40).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.createDataFrame([(1, 1, 5), (1, 2, 5), (2, 2, 5), (3, 1, 0), (3, 2, 5)], "batch_id int, page_no int, n_rows int")
+    whole, rest = incremental.require_complete_batch(rows, rows)  # without n_pages
+    assert {r["batch_id"] for r in whole.collect()} == {1} and {r["batch_id"] for r in rest.collect()} == {2, 3}
