@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import spread
+
 
 def source_status(runs: DataFrame, postings: DataFrame, *, now: Column, stale_hours: float = 24, external_hours: float = 24) -> DataFrame:
     """A3: a row for each source of runs (source_id, name, status, last_attempt_at, last_success_at, fresh, external, error).
@@ -25,10 +27,17 @@ def source_status(runs: DataFrame, postings: DataFrame, *, now: Column, stale_ho
     return s.withColumn("freshness", fresh).withColumn("from_cache", (F.col("count") > 0) & (F.col("data_origin") != "live")).drop("fresh")
 
 
-def posting_trust(links: DataFrame, status: DataFrame, *, key: str = "entity", entry: str = "source_entry_id") -> DataFrame:
-    """A row for each posting: its trust state from the states of its sources, and when it was last collected."""
-    s = status.select(F.col("source_id").alias(entry), "freshness", "is_fallback", "stale", "from_cache", "last_success_at")
-    known = links.select(key, entry).distinct().join(s, entry, "left").groupBy(key).agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for c, n in ((F.col("freshness") == "fresh", "has_fresh"), (F.col("is_fallback"), "has_fallback"), (F.col("stale"), "has_stale"), (F.col("from_cache"), "served_from_cache"))], F.max("last_success_at").alias("last_collected_at"))
+def posting_trust(links: DataFrame, status: DataFrame, *, key: str = "entity", entry: str = "source_entry_id", salts: int = 8) -> DataFrame:
+    """A row for each posting: its trust state from the states of its sources, and when it was last collected.
+
+    Links meet their sources, and then their postings, in parts of bounded size; each source stands in ``salts`` copies, so the
+    links of a large one are dealt over as many parts. Repeated links say nothing new, so they stay.
+    """
+    n = links.count()
+    s = status.select(F.col("source_id").alias(entry), "freshness", "is_fallback", "stale", "from_cache", "last_success_at").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = spread(links.select(key, entry, F.pmod(F.xxhash64(key), F.lit(salts)).cast("int").alias("_salt")), entry, "_salt", rows=n)
+    met = spread(dealt.join(s, [entry, "_salt"], "left").drop("_salt", entry), key, rows=n)
+    known = met.groupBy(key).agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(n) for c, n in ((F.col("freshness") == "fresh", "has_fresh"), (F.col("is_fallback"), "has_fallback"), (F.col("stale"), "has_stale"), (F.col("from_cache"), "served_from_cache"))], F.max("last_success_at").alias("last_collected_at"))
     rest = F.col("has_fallback") | F.col("has_stale") | F.col("served_from_cache")
     state = F.when(F.col("has_fresh"), F.when(rest, "mixed").otherwise("fresh")).when(F.col("has_fallback"), "fallback").when(F.col("has_stale"), "stale").when(F.col("served_from_cache"), "cached").otherwise("unknown")
     return known.withColumn("trust_state", state).withColumn("stale", ~F.col("has_fresh") & F.col("has_stale"))

@@ -136,3 +136,15 @@ def test_batches_are_dealt_into_parts_of_bounded_size(spark):
     rows = spark.createDataFrame([(1, 1, 5), (1, 2, 5), (2, 2, 5), (3, 1, 0), (3, 2, 5)], "batch_id int, page_no int, n_rows int")
     whole, rest = incremental.require_complete_batch(rows, rows)  # without n_pages
     assert {r["batch_id"] for r in whole.collect()} == {1} and {r["batch_id"] for r in rest.collect()} == {2, 3}
+
+
+def test_trust_of_postings_deals_a_large_source_over_parts(spark):
+    from postloom.operators import trust
+
+    status = spark.createDataFrame([(1, "fresh", False, False, False, None), (2, "fallback", True, True, True, None)], "source_id int, freshness string, is_fallback boolean, stale boolean, from_cache boolean, last_success_at timestamp")
+    links = spark.createDataFrame([(i, 1) for i in range(64)] + [(0, 2), (0, 2), (64, None), (65, 9)], "entity int, source_entry_id int")
+    out = trust.posting_trust(links, status)
+    got = {r["entity"]: r["trust_state"] for r in out.collect()}
+    assert got == {i: "fresh" for i in range(1, 64)} | {0: "mixed", 64: "unknown", 65: "unknown"}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan and plan.count("RepartitionByExpression") == 2
