@@ -12,7 +12,6 @@ from ..storage import stored
 
 #: What careers and states are called in platform JSON.
 CAREERS = {"NEW": "신입", "CAREER": "경력", "NEW_CAREER": "신입·경력", "ANY": "경력무관"}
-LENGTH = 20_000
 
 
 @dataclass(frozen=True)
@@ -88,7 +87,7 @@ def rich_texts(roots: DataFrame, *, key: str) -> DataFrame:
     """(key, text) for trees (key, node variant) of rich text: list items bulleted or numbered, blocks apart by an empty line.
 
     Trees are unfolded a level at a time by ``variant_explode`` and folded back from the deepest, so depth costs rounds and no walk
-    runs in one row: every node is a row. Keys name one tree each. A tree without text gives an empty one, a null node null.
+    runs in one row: every node is a row. Keys name one tree each. A tree without text gives an empty one, a null node null. Texts are whole, however long.
     """
     levels = _levels(roots, key, "content")
     done = None
@@ -114,7 +113,7 @@ def rich_texts(roots: DataFrame, *, key: str) -> DataFrame:
     if done is None:
         return roots.select(key, F.lit(None).cast("string").alias("text")).limit(0)
     tidy = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
-    return done.select(key, F.substring(tidy, 1, LENGTH).alias("text"))
+    return done.select(key, tidy.alias("text"))
 
 
 def first_of_type(roots: DataFrame, wanted: str, *, key: str, depth: int = 12) -> DataFrame:

@@ -70,3 +70,10 @@ def test_levels_of_trees_are_not_broadcast(spark, monkeypatch):
     roots = spark.createDataFrame([(1, doc)], "k int, j string").select("k", F.try_parse_json("j").alias("node"))
     assert [r["text"] for r in m.rich_texts(roots, key="k").collect()] == ["a"]
     assert not any("Broadcast" in p for p in plans) and any("SortMergeJoin" in p for p in plans)
+
+
+def test_long_text_is_whole(spark):
+    lines = [f"줄 {i} " + "x" * 300 for i in range(200)]
+    doc = {"type": "doc", "content": [{"type": "bulletList", "content": [{"type": "listItem", "content": [{"type": "text", "text": x}]} for x in lines]}]}
+    roots = spark.createDataFrame([(1, json.dumps(doc))], "k int, j string").select("k", F.try_parse_json("j").alias("node"))
+    assert m.rich_texts(roots, key="k").first()["text"] == "\n".join(f"• {x}" for x in lines)
