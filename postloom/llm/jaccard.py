@@ -17,8 +17,8 @@ from ..operators.components import connected_components
 from ..storage import stored, text_batches
 from . import metric_join
 
-#: Texts that are looked at for common shingles, and how many of these are put last. Both change the work only, not the result.
-_SAMPLE, _COMMON = 20_000, 1 << 16
+#: Texts that are looked at for common shingles at least, one of how many in large tables, and how many shingles are put last. They change the work only, not the result.
+_SAMPLE, _SHARE, _COMMON = 20_000, 16, 1 << 21
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -28,16 +28,27 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42)), np.uint64).view(np.int64))
 
 
-def _common(docs: DataFrame, size: int) -> np.ndarray:
-    """Shingles of more than one sampled text, the most frequent last."""
+def _upper(keys: np.ndarray) -> np.ndarray:
+    """The upper halves of 64-bit hashes, in the same order."""
+    return (keys >> 32).astype(np.int32)
+
+
+def _common(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of more than one sampled text by the upper half of their hashes, ascending, and how many of these texts hold each.
+
+    The sample grows with the table, so a shingle that would crowd a region shows up at any size.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t.as_py(), size) for t in b.column(0)] or [np.empty(0, np.int64)]))], ["key"])
+            yield pa.RecordBatch.from_arrays([pa.array(_upper(np.concatenate([shingles(t.as_py(), size) for t in b.column(0)] or [np.empty(0, np.int64)])))], ["key"])
 
-    part = docs.sample(min(1.0, _SAMPLE / max(1, docs.count())), 1).select("text")
-    top = part.mapInArrow(run, "key long").groupBy("key").count().where("count > 1").orderBy(F.desc("count"), "key").limit(_COMMON)
-    return np.array([r["key"] for r in top.collect()][::-1], np.int64)
+    total = docs.count()
+    part = docs.sample(min(1.0, max(_SAMPLE, total // _SHARE) / max(1, total)), 1).select("text")
+    top = part.mapInArrow(run, "key int").groupBy("key").count().where("count > 1").orderBy(F.desc("count"), "key").limit(_COMMON).toArrow()
+    keys, often = top["key"].to_numpy(), top["count"].to_numpy()
+    by_key = np.argsort(keys)
+    return keys[by_key], np.minimum(often[by_key], 65_535).astype(np.uint16)
 
 
 def parity(own: np.ndarray, bits: int) -> np.ndarray:
@@ -70,9 +81,7 @@ def signatures(docs: DataFrame, size: int, least: Fraction) -> DataFrame:
     Two sets of similarity ``least`` or more share a shingle of their prefixes, whatever the order.
     """
     text_batches(docs.sparkSession)
-    last = _common(docs, size)
-    by_key = np.argsort(last)
-    keys = last[by_key]
+    keys, often = _common(docs, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -82,11 +91,11 @@ def signatures(docs: DataFrame, size: int, least: Fraction) -> DataFrame:
                 names.append(xxhash.xxh128_digest(own.tobytes()))
                 sizes.append(n := len(own))
                 odds.append(parity(own, parity_bits(n)).tobytes())
-                at = np.searchsorted(keys, own) if len(keys) else np.zeros(n, np.int64)
-                rank = np.zeros(n, np.int64)
+                rank = np.zeros(n, np.uint16)
                 if len(keys):
+                    at = np.searchsorted(keys, half := _upper(own))
                     at[at == len(keys)] = 0
-                    rank[hit] = by_key[at[hit := keys[at] == own]] + 1
+                    rank[hit] = often[at[hit := keys[at] == half]]
                 shared = -(-least.numerator * n // least.denominator)
                 prefixes.append(own[np.argsort(rank, kind="stable")[: n - shared + 1 if n else 0]])
             ends = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
@@ -109,19 +118,24 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([T.StructField("id", docs.schema["id"].dataType), T.StructField("own", T.BinaryType())])).distinct()
 
 
-def _perhaps(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without most of the rows whose id isn't in ids, so that few texts are dealt by id in the join that settles it.
+def _told(rows: DataFrame, marks: DataFrame, *cols: str) -> DataFrame:
+    """rows with ``maybe``: false only where no row of marks has the same cols, so that few rows are dealt out in the join that settles it.
 
-    A bitmap of hashed ids, 2**26 bits in rows of 2**15, goes out: 8 MB at most. The fuller it is, the less it keeps back.
+    A bitmap of hashed values, 2**26 bits in rows of 2**15, goes out: 8 MB at most. The fuller it is, the less it rules out.
     """
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 26))
-    bits = ids.select(F.shiftright(place, 15).alias("_row"), place.bitwiseAND((1 << 15) - 1).alias("_bit"))
-    bits = stored(bits.groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits")), "jaccard-bits")
+    place = F.pmod(F.xxhash64(*cols), F.lit(1 << 26))
     at = place.bitwiseAND((1 << 15) - 1)
+    bits = marks.select(F.shiftright(place, 15).alias("_row"), at.alias("_bit"))
+    bits = stored(bits.groupBy("_row").agg(F.bitmap_construct_agg("_bit").alias("_bits")), "jaccard-bits")
     byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     hit = F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1
-    near = docs.select("id", "text").join(F.broadcast(bits), F.shiftright(place, 15) == F.col("_row"))
-    return near.where(hit).select("id", "text")
+    near = rows.join(F.broadcast(bits), F.shiftright(place, 15) == F.col("_row"), "left")
+    return near.select(*rows.columns, F.coalesce(hit, F.lit(False)).alias("maybe"))
+
+
+def _perhaps(rows: DataFrame, marks: DataFrame, *cols: str) -> DataFrame:
+    """rows without most of those whose cols no row of marks has."""
+    return _told(rows, marks, *cols).where("maybe").drop("maybe")
 
 
 def similar_pairs(docs: DataFrame, size: int, least: Fraction, *, rows: DataFrame | None = None, empty_alike: bool = True, bucket: int = 64, limit: int = 1024) -> DataFrame:
@@ -141,10 +155,18 @@ def similar_pairs(docs: DataFrame, size: int, least: Fraction, *, rows: DataFram
     first = named.groupBy("set").agg(F.min("id").alias("l"))
     equal = stored(named.select("set", "id").distinct().join(first, "set").where("id <> l").select("l", F.col("id").alias("r"), "set"), "jaccard-equal")
     # a set is worked on under its first id; ids of several texts may be first for one set and not for another
-    lone = rows.select("id", "set", "n", "prefix").join(equal.select(F.col("r").alias("id"), "set"), ["id", "set"], "left_anti")
+    copies = equal.select(F.col("r").alias("id"), "set", F.lit(True).alias("copy"))
+    told = _told(rows.select("id", "set", "n", "prefix"), copies, "id", "set")
+    # no anti join, as it would be pushed below the bitmap and deal out every row
+    alone = told.where("maybe").join(copies, ["id", "set"], "left").where("copy is null")
+    lone = told.where("not maybe").select("id", "n", "prefix").union(alone.select("id", "n", "prefix"))
     keys = lone.select("id", "n", F.posexplode("prefix").alias("pos", "key"))
-    often = keys.groupBy("key").count().where("count > 1")
-    shared = stored(keys.join(often, "key"), "jaccard-shared")
+    # lower halves, as a prefix prefers hashes that begin alike
+    halves = keys.withColumn("half", F.col("key").bitwiseAND(0xFFFFFFFF))
+    several = halves.groupBy("half").count().where("count > 1").select("half")
+    likely = _perhaps(halves, several, "half").drop("half")
+    often = likely.groupBy("key").count().where("count > 1")
+    shared = stored(likely.join(often, "key"), "jaccard-shared")
     one = shared.where(F.col("count") <= bucket).drop("count")
     two = one.select("key", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "pos")])
     can = (F.col("n") * den >= F.col("n2") * num) & (F.col("n2") * den >= F.col("n") * num)
@@ -154,7 +176,7 @@ def similar_pairs(docs: DataFrame, size: int, least: Fraction, *, rows: DataFram
     crowd = stored(shared.where(F.col("count") > bucket).select(F.col("key").alias("region"), "id").distinct(), "jaccard-crowd")
     hubs = crowd.groupBy("region").agg(F.min("id").alias("h0"), F.min_by("id", F.xxhash64("id")).alias("h1"))
     held = crowd.join(hubs, "region").select("id", F.explode(F.array("h0", "h1")).alias("hub")).where("id <> hub")
-    pairs = pairs.union(held.select(F.least("id", "hub"), F.greatest("id", "hub"))).distinct()
+    pairs = stored(pairs.union(held.select(F.least("id", "hub"), F.greatest("id", "hub"))).distinct(), "jaccard-near")
     kind = docs.schema["id"].dataType
     link = T.StructType([T.StructField("l", kind), T.StructField("r", kind)])
 
@@ -163,13 +185,13 @@ def similar_pairs(docs: DataFrame, size: int, least: Fraction, *, rows: DataFram
             four = zip(*(b[c].to_pylist() for c in ("x", "y", "n", "m")), strict=True)
             yield b.select(["l", "r"]).filter(pa.array([can_be_similar(*v, least) for v in four], pa.bool_()))
 
-    odds = rows.select("id", "n", "parity").distinct()
+    odds = _perhaps(rows.select("id", "n", "parity"), pairs.select(F.col("l").alias("id")).union(pairs.select("r")), "id").distinct()
     sized = pairs.join(odds.select(F.col("id").alias("l"), "n", F.col("parity").alias("x")), "l")
     sized = sized.join(odds.select(F.col("id").alias("r"), F.col("n").alias("m"), F.col("parity").alias("y")), "r")
     pairs = stored(sized.select("l", "r", "x", "y", "n", "m").mapInArrow(plausible, link).distinct(), "jaccard-pairs")
     ids = pairs.select(F.col("l").alias("id")).union(pairs.select("r")).union(crowd.select("id")).distinct()
     # inner, as a semi join would be pushed below the bitmap and deal out every text
-    sets = stored(_sets(_perhaps(docs, ids).join(ids, "id"), size), "jaccard-sets")
+    sets = stored(_sets(_perhaps(docs.select("id", "text"), ids, "id").join(ids, "id"), size), "jaccard-sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.components import connected_components
-from ..storage import stored
+from ..storage import stored, stored_alone
 
 #: What rounding may add to a sum of distances; windows are wider by so much.
 _EPS = 1e-9
@@ -167,6 +167,6 @@ def jaccard_components(docs: DataFrame, *, shingle: int = 4, similarity: str | f
     least = Fraction(str(similarity))
     two = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = jaccard.signatures(two, shingle, least)
-    links = stored(jaccard.similar_pairs(two, shingle, least, rows=rows, empty_alike=False), "metric-links")
+    links, _ = stored_alone(docs.sparkSession, lambda: jaccard.similar_pairs(two, shingle, least, rows=rows, empty_alike=False), "metric-links")
     found = connected_components(links)
     return rows.select("id", F.col("n").cast("long").alias("n_shingles")).join(found, "id", "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component_id"))

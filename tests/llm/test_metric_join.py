@@ -4,6 +4,7 @@ from fractions import Fraction
 
 import numpy as np
 
+from postloom import storage
 from postloom.llm import jaccard, metric_join as m
 
 
@@ -89,6 +90,36 @@ def test_stock_sentences_without_near_pairs_do_not_clump(spark):
     assert len(links) < 100
 
 
+def test_shingles_of_a_twentieth_of_the_texts_crowd_no_region(spark, monkeypatch):
+    tables, real = {}, jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df, label: tables.setdefault(label, real(df, label)))
+    monkeypatch.setattr(jaccard, "_SAMPLE", 20)  # as 20,000 are to two million texts
+    stock = [" ".join(f"s{k}w{j}" for j in range(12)) for k in range(20)]
+    rows = [(i, " ".join([stock[i % 20], *(f"d{i // 2 if i < 40 else i}w{j}" for j in range(100))])) for i in range(2000)]
+    rows = [(i, t.replace("s1w", "s0w") if i < 40 else t) for i, t in rows]
+    df = spark.createDataFrame(rows, "id long, text string")
+    links = {tuple(sorted(r)) for r in jaccard.similar_pairs(df, 4, Fraction(85, 100)).collect()}
+    sets = {i: {tuple(w[j : j + 4]) for j in range(len(w) - 3)} for i, t in rows[:40] for w in [t.split()]}
+    assert links == {(a, b) for a in sets for b in sets if a < b and jac(sets[a], sets[b]) >= Fraction(85, 100)} != set()
+    assert tables["jaccard-crowd"].isEmpty()
+
+
+def test_bitmap_loses_no_row(spark):
+    rows = spark.range(20_000).selectExpr("id", "cast(id % 7 as string) AS text")
+    marks = spark.range(0, 20_000, 9).selectExpr("id", "cast(id % 7 as string) AS text")
+    for cols in (("id",), ("id", "text")):
+        kept = {r["id"] for r in jaccard._perhaps(rows, marks, *cols).collect()}
+        assert set(range(0, 20_000, 9)) <= kept and len(kept) < 2_300
+    assert jaccard._perhaps(rows, marks.limit(0), "id").isEmpty()
+
+
+def test_tables_on_the_way_go(spark):
+    first = len(storage._MADE)
+    assert m.jaccard_components(spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e"), (3, "f")], "doc_id long, text string")).count() == 3
+    left = {path.rsplit("/", 1)[1].rsplit("-", 1)[0] for path in storage._MADE[first:]}
+    assert "jaccard-rows" in left and not left & {"jaccard-shared", "jaccard-pairs", "jaccard-sets", "jaccard-bits"}
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = m.jaccard_components(odd_docs).collect()
     assert len(rows) == 8 and {r["component_id"] for r in rows if r["id"] in (1, 5)} == {1}
